@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,15 +9,17 @@ LEVEL_BITS = 21  # one window sees at most 2**21 distinct prefixes of a group
 LEVELS = 3  # covers every non-negative value below 2**63
 
 
-def _narrow(candidates: DataFrame, group: list[str]) -> DataFrame:
+def _narrow(candidates: DataFrame) -> DataFrame:
     """Keep the bucket in which the wanted rank falls; make the rank local to it."""
-    running = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    before = F.col("running") - F.col("n")
-    return (
-        candidates.withColumn("running", F.sum("n").over(running))
-        .where((before <= F.col("rank")) & (F.col("rank") < F.col("running")))
-        .withColumn("rank", F.col("rank") - before)
+    running = (
+        Window.partitionBy("group", "pick")
+        .orderBy("bucket")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    before = F.col("running") - F.col("n")
+    return candidates.withColumn("running", F.sum("n").over(running)).where(
+        (before <= F.col("rank")) & (F.col("rank") < F.col("running"))
+    ).select("group", "pick", "bucket", "total", (F.col("rank") - before).alias("rank"))
 
 
 def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -32,42 +31,32 @@ def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     two coarser prefixes of the value; walking down from the coarsest prefix, each
     window sees at most 2**LEVEL_BITS rows per group. A group may be NULL.
     """
-    group = [f"g{i}" for i in range(len(keys))]
-    levels = [
-        rows.select(*[F.col(k).alias(g) for k, g in zip(keys, group)], F.col(value).alias("bucket"))
-        .groupBy(*group, "bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
-    ]
+    # A struct is never NULL itself, so NULL groups join by plain equality; with the
+    # bucket not nullable either, no join adds a filter and all levels read one shuffle.
+    group = F.struct(*keys).alias("group")
+    bucket = F.coalesce(F.col(value), F.lit(0)).alias("bucket")
+    counted = rows.select(group, bucket).groupBy("group", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    prefix = F.shiftright("bucket", LEVEL_BITS)
+    levels = [counted]
     while len(levels) < LEVELS:
-        prefix = F.shiftright("bucket", LEVEL_BITS)
-        levels.append(levels[-1].groupBy(*group, prefix.alias("bucket")).agg(F.sum("n").alias("n")))
+        levels.append(levels[-1].groupBy("group", prefix.alias("bucket")).agg(F.sum("n").alias("n")))
 
-    total = F.sum("n").over(Window.partitionBy(*group))
-    middle = F.array_distinct(
-        F.array(F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2))
-    )
+    total = F.sum("n").over(Window.partitionBy("group"))
+    middle = F.expr("array_distinct(array((total - 1) div 2, total div 2))")
     found = _narrow(
         levels[-1]
         .withColumn("total", total)
-        .withColumn("rank", F.explode(middle))
-        .withColumn("pick", F.col("rank")),
-        [*group, "pick"],
+        .select("*", F.explode(middle).alias("rank"))
+        .withColumn("pick", F.col("rank"))
     )
     for finer in reversed(levels[:-1]):
-        wanted = found.select(
-            *[F.col(g).alias(f"of_{g}") for g in group],
-            F.col("bucket").alias("of_bucket"), "rank", "pick", "total",
-        )
-        match = [F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in group]
-        match.append(F.shiftright("bucket", LEVEL_BITS) == F.col("of_bucket"))
-        joined = finer.join(wanted, reduce(and_, match))
-        found = _narrow(
-            joined.select(*group, "bucket", "n", "rank", "pick", "total"), [*group, "pick"]
-        )
+        wanted = found.withColumnsRenamed({"group": "of_group", "bucket": "of_bucket"})
+        match = (F.col("group") == F.col("of_group")) & (prefix == F.col("of_bucket"))
+        found = _narrow(finer.join(wanted, match))
     return (
-        found.groupBy(*group)
+        found.groupBy("group")
         .agg(F.avg("bucket").alias("median"), F.first("total").alias("n"))
-        .select(*[F.col(g).alias(k) for k, g in zip(keys, group)], "median", "n")
+        .select("group.*", "median", "n")
     )
 
 

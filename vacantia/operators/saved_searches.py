@@ -8,9 +8,10 @@ of the descending salary axis, and a prefix of any length is the union of at
 most one block per binary digit of that length (block ``b`` of level ``l``
 covers the positions ``b * 2**l`` up to ``(b + 1) * 2**l``).
 
-Postings are cut to the best ``MAX_LIMIT`` per cell before any shuffle, and
-again for every coarser cell; searches meet these short lists by equi-join. The
-result is exact: the best rows of a union are among the best rows of its parts.
+Postings are cut to the best ``MAX_LIMIT`` per cell within each task before any
+shuffle, crowded cells are spread over several tasks, and every coarser cell is
+cut again; searches meet these short lists by equi-join. The result is exact: the
+best rows of a union are among the best rows of its parts.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ CELL = ["seniority", "country", "years", "level", "block"]
 BEYOND_YEARS = MAX_EXPERIENCE_YEARS + 1
 UNKNOWN_YEARS = MAX_EXPERIENCE_YEARS + 2
 VALUE_AXIS_BITS = MAX_SALARY_FILTER.bit_length()
+CELL_SPREAD = 32  # tasks that share one crowded cell while it is first cut
 
 
 class _SalaryAxis:
@@ -196,7 +198,11 @@ def saved_search_hits(searches: DataFrame, silver: DataFrame, max_steps: int = 4
     placed = _cells(
         silver.select("job_id", "seniority", "country", "years_exp", "salary_min", "salary_max"), axis
     ).select("job_id", "seniority", "country", "years", "position", keys)
-    finest = _best(placed, ["seniority", "country", "years", "position", "sort"])
+    spread = F.pmod(F.xxhash64("job_id"), F.lit(CELL_SPREAD))
+    finest = _best(
+        placed.withColumn("spread", spread),
+        ["seniority", "country", "years", "position", "sort", "spread"],
+    )
     lists = _best(_widen(finest, axis, ["job_id", "sort", "sort_key"]), [*CELL, "sort"])
     wanted = _searches_in_cells(shapes, axis)
     met = (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vacantia.operators.bucket_levels import Quota
 from vacantia.operators.credentials import audit_credentials
 from vacantia.operators.token_bucket import ROWS_PER_CHUNK, admit_requests
+from vacantia.sources.workspace import stage
 
 
 def decide_access(
@@ -26,6 +27,8 @@ def decide_access(
     their credential status. Valid ones end as ``ok`` or ``limited``.
     """
     audited = audit_credentials(log, registry, raw_key=raw_key, at=at)
+    # Read by both branches and by the sampling pass of the sort.
+    audited = stage(audited.select(tie, at, "client_id", "status"), "audited")
     refused = audited.where(F.col("status") != "ok").select(tie, "client_id", "status")
     decided = admit_requests(
         audited.where(F.col("status") == "ok"), quota, at=at, tie=tie, rows_per_chunk=rows_per_chunk

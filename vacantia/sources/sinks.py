@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from vacantia.errors import ContractError
-from vacantia.operators.contract import check_columns, split_rows
+from vacantia.operators.contract import check_columns, split_checked, with_violations
 from vacantia.schema import METRIC_COLUMNS, POSTING_COLUMNS
+from vacantia.sources.workspace import stage
 
 
 def replace_table(
@@ -37,23 +38,25 @@ def write_postings(
 ) -> int:
     """Replace the silver table.
 
-    ``on_bad="raise"`` looks for a bad row first, so that the old table is still
-    there when the check fails; ``"quarantine"`` writes bad rows to
-    ``quarantine_path``. ``cluster_by`` range-partitions the files on those
-    columns and the key, which lets searches skip files by their statistics.
+    The joined rows are computed once, into working storage, together with their
+    violations. With ``on_bad="raise"`` a bad row stops the load while the old
+    table is still there; ``"quarantine"`` writes bad rows to ``quarantine_path``.
+    ``cluster_by`` range-partitions the files on those columns and the key, which
+    lets searches skip files by their statistics.
     """
+    if on_bad not in ("raise", "quarantine"):
+        raise ValueError(f"on_bad must be raise or quarantine, not {on_bad}")
+    if on_bad == "quarantine" and quarantine_path is None:
+        raise ValueError("quarantine needs a path")
     check_columns(silver.columns, POSTING_COLUMNS)
-    accepted, rejected = split_rows(silver)
+    checked = stage(with_violations(silver), "silver")
+    accepted, rejected = split_checked(checked)
     if on_bad == "raise":
         first = rejected.select("job_id", "violations").take(1)
         if first:
             raise ContractError(f"posting {first[0]['job_id']} breaks {first[0]['violations']}")
-    elif on_bad == "quarantine":
-        if quarantine_path is None:
-            raise ValueError("quarantine needs a path")
-        rejected.write.mode("overwrite").parquet(quarantine_path)
     else:
-        raise ValueError(f"on_bad must be raise or quarantine, not {on_bad}")
+        rejected.write.mode("overwrite").parquet(quarantine_path)
     if cluster_by:
         order = [*cluster_by, "job_id"]
         accepted = accepted.repartitionByRange(*order).sortWithinPartitions(*order)
