@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,11 +28,11 @@ def market_metrics(gold: DataFrame, dimension: str = "seniority", k: int = MIN_G
 
 
 def metrics_as_of(metrics: DataFrame) -> datetime:
-    """Build time of the metrics; the current time when there are none."""
-    first = metrics.select("as_of").take(1)
+    """Build time of the metrics in UTC; the current time when there are none."""
+    first = metrics.select(F.unix_micros("as_of").alias("us")).take(1)
     if not first:
         return datetime.now(timezone.utc)
-    return first[0]["as_of"]
+    return datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=first[0]["us"])
 
 
 def check_dimension(dimension: str) -> None:
