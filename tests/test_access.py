@@ -70,6 +70,15 @@ def test_level_maps_equal_the_run(seed):
             run = [level] + [-1] * (len(gains) - 1)
             _, left = spend(run, [0, *gains[1:].tolist()], quota)
             assert found.at(level) == left[-1]
+            short = found.first_token(quota)
+            assert short is None or short.at(level % quota.per_us) == left[-1]
+
+
+def test_long_busy_run_has_a_tiny_map():
+    quota = Quota.per_minute(120)
+    gains = quota.refills(np.random.default_rng(1).integers(0, 2000, 5000))
+    assert len(map_of_run(gains, quota).pieces) > 100
+    assert len(map_of_run(gains, quota).first_token(quota).pieces) <= 3
 
 
 def test_level_map_joins_pieces():

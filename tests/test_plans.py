@@ -12,7 +12,7 @@ from vacantia.operators.saved_searches import saved_search_hits
 from vacantia.operators.token_bucket import admit_requests
 from vacantia.plans.gold import build_gold
 from vacantia.plans.metrics import market_metrics
-from vacantia.plans.search import Cursor, fingerprint, matching, page_rows
+from vacantia.plans.search import Cursor, fingerprint, matching, page_rows, search
 from vacantia.plans.silver import build_silver
 from vacantia.sources import samples
 from vacantia.sources.sinks import write_metrics, write_postings
@@ -67,6 +67,16 @@ def test_keyset_reaches_the_scan_and_the_page_is_a_top_k(spark, tables, sort, co
     assert "Exchange" not in plan(page)
 
 
+def test_pages_are_merged_on_an_executor(spark, tables, monkeypatch):
+    seen = []
+    frame_type = type(spark.range(1))
+    collect = frame_type.collect
+    monkeypatch.setattr(frame_type, "collect", lambda df: seen.append(plan(df, "simple")) or collect(df))
+    search(read_postings(spark, tables[0]), limit=5, with_total=False)
+    assert len(seen) == 1 and "Coalesce" in seen[0]
+    assert seen[0].index("Coalesce") < seen[0].index("TakeOrderedAndProject")
+
+
 def test_total_reads_only_the_filter_columns(spark, tables):
     counted = matching(read_postings(spark, tables[0]), Filters(country="NATION_1")).agg(F.count("*"))
     schema = next(line for line in plan(counted).splitlines() if "ReadSchema" in line)

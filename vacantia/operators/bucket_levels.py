@@ -138,6 +138,28 @@ class LevelMap:
                     result._add(low + first - value, low + last - value, onward, target)
         return result
 
+    def _window(self, low: int, high: int) -> LevelMap:
+        """The part for starts ``low..high``, counted from ``low``."""
+        window = LevelMap()
+        for a, b, moves, value in self.pieces:
+            first, last = max(a, low), min(b, high)
+            if first <= last:
+                target = value + first - a if moves else value
+                window._add(first - low, last - low, moves, target)
+        return window
+
+    def first_token(self, quota: Quota) -> LevelMap | None:
+        """The part below one token, if whole tokens at the start make no difference.
+
+        True of any run long enough to use them up, which keeps such maps tiny.
+        """
+        token = quota.per_us
+        first = self._window(0, token - 1)
+        for k in range(1, quota.capacity):
+            if self._window(k * token, (k + 1) * token - 1).pieces != first.pieces:
+                return None
+        return first if self.at(quota.full) == self.at(0) else None
+
     def turned(self, by: int, token: int) -> LevelMap:
         """The levels, all below one token, moved on by ``by`` and wrapped at the token."""
         turn = LevelMap([(0, token - by - 1, True, by)])

@@ -68,9 +68,10 @@ def _describe_chunks(quota: Quota) -> Callable[[pd.DataFrame], pd.DataFrame]:
         single = bool(first == last)
         if single:
             leaving = map_of_run(gains, quota)
+            short = leaving.first_token(quota)
         else:
             _, left = spend(levels.tolist(), gains.tolist(), quota)
-            leaving = LevelMap.fixed(quota, int(left[-1]))
+            leaving, short = LevelMap.fixed(quota, int(left[-1])), None
         here = {"part": chunk["part"].iloc[0], "slice": chunk["slice"].iloc[0]}
         rows = [
             here
@@ -81,14 +82,15 @@ def _describe_chunks(quota: Quota) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 "first_us": run["clock"].iloc[0],
                 "last_us": run["clock"].iloc[-1],
                 "first_level": min(quota.full, int(levels[0] + gains[0])),
-                "pieces": [int(n) for piece in leaving.pieces for n in piece],
+                "pieces": [int(n) for piece in (short or leaving).pieces for n in piece],
+                "below": quota.per_us if short else quota.full + 1,
             }
         ]
         if not single:
             rows.append(
                 here
                 | {"client": first, "enters": True, "leaves": False, "first_us": 0, "last_us": 0,
-                   "first_level": 0, "pieces": []}
+                   "first_level": 0, "pieces": [], "below": 1}
             )
         return pd.DataFrame(rows)
 
@@ -116,7 +118,7 @@ def _chain(quota: Quota) -> Callable[[pd.DataFrame], pd.DataFrame]:
                     gain = int(quota.refills(np.array([link.first_us - at]))[0])
                     begin = min(quota.full, level + gain)
                 leaving = _map_from(link.pieces)
-                level, at = leaving.at(begin), int(link.last_us)
+                level, at = leaving.at(begin % link.below), int(link.last_us)
         return pd.DataFrame(entries, columns=["part", "slice", "entry_level", "entry_us"])
 
     return chain
@@ -169,6 +171,7 @@ def admit_requests(
             T.StructField("last_us", T.LongType()),
             T.StructField("first_level", T.LongType()),
             T.StructField("pieces", T.ArrayType(T.LongType())),
+            T.StructField("below", T.LongType()),
         ]
     )
     decisions = T.StructType(

@@ -91,7 +91,9 @@ def search(
     """One page. At most ``limit`` + 1 rows reach the driver; the extra one tells
     whether more follow."""
     frame = page_rows(silver, filters, sort, limit, cursor, extra=1, ignore_case=ignore_case)
-    rows = frame.withColumn("sort_key", ordering(sort).key()).collect()
+    # Collecting the limit itself would send the best rows of every task to the
+    # driver; below the coalesce they are merged on an executor.
+    rows = frame.withColumn("sort_key", ordering(sort).key()).coalesce(1).collect()
     items = rows[:limit]
     following = None
     if len(rows) > limit:
