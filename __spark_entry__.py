@@ -319,7 +319,7 @@ def _bucket_stream(spark: SparkSession, folder: str) -> DataFrame:
     # The pattern makes a table of one file and a folder of files equally readable.
     log = (
         spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", 8)
+        .option("maxBytesPerTrigger", str(256 << 20))
         .parquet(f"{folder}/events*.parquet")
     )
     path, checkpoint = new_path(spark, "decisions"), new_path(spark, "admission-checkpoint")
