@@ -155,6 +155,19 @@ def test_jdbc_options():
         jdbc_options("jdbc:x", "t", partition_column="id")
 
 
-def test_shared_folder_is_the_configured_one(spark):
-    folder = shared_folder(spark)
-    assert spark.conf.get("spark.checkpoint.dir") == folder
+class Session:
+    """The parts of a session that choosing a folder looks at."""
+
+    def __init__(self, folder, master, application="app-1"):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": application})
+
+
+def test_shared_folder():
+    assert shared_folder(Session("s3://bucket/work", "yarn")) == "s3://bucket/work"
+    assert shared_folder(Session("/work", "local[4]")) == "/work"
+    own = shared_folder(Session(None, "local[4]"))
+    assert own == shared_folder(Session(None, "local[4]"))
+    assert own != shared_folder(Session(None, "local[4]", "app-2"))
+    with pytest.raises(RuntimeError):
+        shared_folder(Session(None, "yarn"))
