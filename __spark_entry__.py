@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vacantia.functions.columns import representative_salary
 from vacantia.operators.bucket_levels import Quota
 from vacantia.operators.contract import split_rows
 from vacantia.operators.credentials import audit_credentials
@@ -164,6 +165,11 @@ def _silver(spark: SparkSession, folder: str) -> DataFrame:
     return build_silver(samples.posts(spark, folder), samples.companies(spark, folder))
 
 
+def _midpoints(spark: SparkSession, folder: str) -> DataFrame:
+    priced = _silver(spark, folder).dropna(subset=["salary_min", "salary_max"])
+    return priced.select("job_id", representative_salary().alias("rep_salary"))
+
+
 def _silver_rewrite(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "silver")
     for _ in range(2):
@@ -343,6 +349,11 @@ REGISTERED: dict[str, tuple[Query, str]] = {
         _untidy_numbers,
         f"{UNTIDY_SQL} SELECT job_id, years_exp, seniority, salary_min, salary_max FROM silver",
     ),
+    "representative_salary": (
+        _midpoints,
+        f"""{SILVER_SQL} SELECT job_id, (salary_min + salary_max) / 2.0 AS rep_salary FROM silver
+WHERE salary_min IS NOT NULL AND salary_max IS NOT NULL""",
+    ),
     "silver_rewrite": (_silver_rewrite, f"{SILVER_SQL} SELECT * FROM silver"),
     "contract_split": (
         _contract,
