@@ -84,35 +84,40 @@ class _SalaryAxis:
             .drop("step")
         )
 
-    def blocks_of_position(self) -> Column:
+    def _by_level(self, df: DataFrame) -> DataFrame:
+        """Every row once per level; plain expressions stay in generated code."""
+        return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(self.bits - 1))).alias("level"))
+
+    def blocks_of_position(self, df: DataFrame) -> DataFrame:
         """Blocks around a position; prefixes only ever use even ones."""
-        return F.expr(
-            f"filter(transform(sequence(0, {self.bits - 1}), l -> named_struct("
-            "'level', l, 'block', shiftright(position, l))), b -> b.block % 2 = 0)"
-        )
+        block = F.expr("shiftright(position, level)")
+        return self._by_level(df).withColumn("block", block).where("block % 2 = 0")
 
-    def blocks_of_prefix(self) -> Column:
+    def blocks_of_prefix(self, df: DataFrame) -> DataFrame:
         """The blocks that make up a prefix: one per set bit of its length."""
-        return F.expr(
-            f"transform(filter(sequence(0, {self.bits - 1}), l -> shiftright(prefix, l) % 2 = 1),"
-            " l -> named_struct('level', l, 'block', shiftright(prefix, l) - 1))"
-        )
+        bit = F.expr("shiftright(prefix, level)")
+        leveled = self._by_level(df).withColumn("bit", bit).where("bit % 2 = 1")
+        return leveled.withColumn("block", F.col("bit") - 1)
 
 
 def _searches_in_cells(shapes: DataFrame, axis: _SalaryAxis) -> DataFrame:
     """One row per cell that a search shape accepts."""
-    any_years = F.lit(UNKNOWN_YEARS)
-    return (
-        axis.prefix(shapes)
-        .withColumn("years", F.explode(F.sequence(F.lit(0), F.coalesce("experience_max", any_years))))
-        .select("shape_id", "seniority", "country", "sort", "limit", "years",
-                F.inline(axis.blocks_of_prefix()))
+    last = F.coalesce("experience_max", F.lit(UNKNOWN_YEARS))
+    years = F.explode(F.sequence(F.lit(0), last)).alias("years")
+    return axis.blocks_of_prefix(axis.prefix(shapes).select("*", years)).select(
+        "shape_id", *CELL, "sort", "limit"
     )
 
 
-def _with_any(column: str) -> Column:
-    """The value and NULL for "any"; a NULL value only counts as "any"."""
-    return F.explode(F.array_distinct(F.array(F.col(column), F.lit(None).cast("string"))))
+def _also_any(df: DataFrame, column: str) -> DataFrame:
+    """Every row also with NULL for "any"; a row without value only as "any"."""
+    value = F.when(F.col("is_any"), F.lit(None).cast("string")).otherwise(F.col(column))
+    return (
+        df.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("is_any"))
+        .where(F.col("is_any") | F.col(column).isNotNull())
+        .withColumn(column, value)
+        .drop("is_any")
+    )
 
 
 def _cells(postings: DataFrame, axis: _SalaryAxis) -> DataFrame:
@@ -126,11 +131,8 @@ def _cells(postings: DataFrame, axis: _SalaryAxis) -> DataFrame:
 
 def _widen(cells: DataFrame, axis: _SalaryAxis, carried: list[str]) -> DataFrame:
     """Repeat every row in each coarser cell that contains its cell."""
-    return (
-        cells.withColumn("seniority", _with_any("seniority"))
-        .withColumn("country", _with_any("country"))
-        .select("seniority", "country", "years", *carried, F.inline(axis.blocks_of_position()))
-    )
+    wide = _also_any(_also_any(cells, "seniority"), "country")
+    return axis.blocks_of_position(wide).select(*CELL, *carried)
 
 
 def _best(rows: DataFrame, group: list[str], limit: int = MAX_LIMIT) -> DataFrame:
