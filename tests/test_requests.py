@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Row
 
 from conftest import random_postings
+from vacantia.operators import saved_searches
 from vacantia.operators.filters import Filters
 from vacantia.operators.ordering import ORDERINGS
 from vacantia.operators.requests import (
@@ -121,3 +122,37 @@ def test_saved_search_is_the_search_page(spark):
     hits = saved_search_hits(df, silver).orderBy("pos").collect()
     assert [r["job_id"] for r in hits] == [r["job_id"] for r in page.items]
     assert saved_search_totals(df, silver).first()["total"] == page.total
+
+
+@pytest.mark.parametrize("max_steps", [4096, 0])
+@pytest.mark.parametrize("salaries", [4, 3000])
+def test_hopeless_postings_are_ruled_out_without_changing_a_page(spark, monkeypatch, max_steps, salaries):
+    rng = random.Random(salaries)
+    silver = random_postings(spark, rng, 6000, countries=("DK", None), salaries=salaries, hot=2000).cache()
+    sorts = list(ORDERINGS)
+    searches = [
+        (i, rng.choice([None, "mid"]), rng.choice([None, 4]), rng.choice([None, 0, 2, 900, 2500]),
+         rng.choice([None, "DK"]), sorts[i % 3], 100)
+        for i in range(24)
+    ]
+    df = spark.createDataFrame(searches, SEARCHES)
+    found = sorted(map(tuple, saved_search_hits(df, silver, max_steps).collect()))
+
+    counts = []
+
+    def spy(placed, axis):
+        kept = original(placed, axis)
+        counts.append((placed.count(), kept.count()))
+        return kept
+
+    original = saved_searches._promising
+    monkeypatch.setattr(saved_searches, "_promising", spy)
+    saved_search_hits(df, silver, max_steps).count()
+    assert counts[0][1] < counts[0][0]
+
+    monkeypatch.setattr(saved_searches, "_promising", lambda placed, axis: placed)
+    assert found == sorted(map(tuple, saved_search_hits(df, silver, max_steps).collect()))
+    for request_id, seniority, years, salary, country, sort, limit in searches:
+        filters = Filters(seniority, years, salary, country)
+        page = [r["job_id"] for r in search(silver, filters, sort, limit, with_total=False).items]
+        assert [job for request, _, job in found if request == request_id] == page

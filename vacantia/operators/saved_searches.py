@@ -8,10 +8,11 @@ of the descending salary axis, and a prefix of any length is the union of at
 most one block per binary digit of that length (block ``b`` of level ``l``
 covers the positions ``b * 2**l`` up to ``(b + 1) * 2**l``).
 
-Postings are cut to the best ``MAX_LIMIT`` per cell within each task before any
-shuffle, crowded cells are spread over several tasks, and every coarser cell is
-cut again; searches meet these short lists by equi-join. The result is exact: the
-best rows of a union are among the best rows of its parts.
+Row counts first rule out the postings that can be on no first page. The others
+are cut to the best ``MAX_LIMIT`` per cell within each task before any shuffle,
+crowded cells are spread over several tasks, and every coarser cell is cut again;
+searches meet these short lists by equi-join. The result is exact: the best rows
+of a union are among the best rows of its parts.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ from pyspark.sql import functions as F
 
 from vacantia.operators.ordering import ORDERINGS
 from vacantia.schema import MAX_EXPERIENCE_YEARS, MAX_LIMIT, MAX_SALARY_FILTER
+from vacantia.sources.workspace import stage
 
 SHAPE = ["seniority", "experience_max", "salary_min", "country", "sort"]
 CELL = ["seniority", "country", "years", "level", "block"]
 BEYOND_YEARS = MAX_EXPERIENCE_YEARS + 1
 UNKNOWN_YEARS = MAX_EXPERIENCE_YEARS + 2
 VALUE_AXIS_BITS = MAX_SALARY_FILTER.bit_length()
+COARSE_BITS = 9  # at most 512 stretches of the salary axis are told apart when rows are ruled out
 CELL_SPREAD = 32  # tasks that share one crowded cell while it is first cut
 
 
@@ -84,29 +87,31 @@ class _SalaryAxis:
             .drop("step")
         )
 
-    def _by_level(self, df: DataFrame) -> DataFrame:
-        """Every row once per level; plain expressions stay in generated code."""
-        return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(self.bits - 1))).alias("level"))
 
-    def blocks_of_position(self, df: DataFrame) -> DataFrame:
-        """Blocks around a position; prefixes only ever use even ones."""
-        block = F.expr("shiftright(position, level)")
-        return self._by_level(df).withColumn("block", block).where("block % 2 = 0")
+def _by_level(df: DataFrame, bits: int) -> DataFrame:
+    """Every row once per level; plain expressions stay in generated code."""
+    return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("level"))
 
-    def blocks_of_prefix(self, df: DataFrame) -> DataFrame:
-        """The blocks that make up a prefix: one per set bit of its length."""
-        bit = F.expr("shiftright(prefix, level)")
-        leveled = self._by_level(df).withColumn("bit", bit).where("bit % 2 = 1")
-        return leveled.withColumn("block", F.col("bit") - 1)
+
+def _blocks_around(df: DataFrame, position: str, bits: int) -> DataFrame:
+    """Blocks around a position; prefixes only ever use even ones."""
+    block = F.expr(f"shiftright({position}, level)")
+    return _by_level(df, bits).withColumn("block", block).where("block % 2 = 0")
+
+
+def _blocks_of_prefix(df: DataFrame, length: str, bits: int) -> DataFrame:
+    """The blocks that make up a prefix: one per set bit of its length."""
+    bit = F.expr(f"shiftright({length}, level)")
+    leveled = _by_level(df, bits).withColumn("bit", bit).where("bit % 2 = 1")
+    return leveled.withColumn("block", F.col("bit") - 1).drop("bit")
 
 
 def _searches_in_cells(shapes: DataFrame, axis: _SalaryAxis) -> DataFrame:
     """One row per cell that a search shape accepts."""
     last = F.coalesce("experience_max", F.lit(UNKNOWN_YEARS))
     years = F.explode(F.sequence(F.lit(0), last)).alias("years")
-    return axis.blocks_of_prefix(axis.prefix(shapes).select("*", years)).select(
-        "shape_id", *CELL, "sort", "limit"
-    )
+    in_years = axis.prefix(shapes).select("*", years)
+    return _blocks_of_prefix(in_years, "prefix", axis.bits).select("shape_id", *CELL, "sort", "limit")
 
 
 def _also_any(df: DataFrame, column: str) -> DataFrame:
@@ -132,7 +137,7 @@ def _cells(postings: DataFrame, axis: _SalaryAxis) -> DataFrame:
 def _widen(cells: DataFrame, axis: _SalaryAxis, carried: list[str]) -> DataFrame:
     """Repeat every row in each coarser cell that contains its cell."""
     wide = _also_any(_also_any(cells, "seniority"), "country")
-    return axis.blocks_of_position(wide).select(*CELL, *carried)
+    return _blocks_around(wide, "position", axis.bits).select(*CELL, *carried)
 
 
 def _best(rows: DataFrame, group: list[str], limit: int = MAX_LIMIT) -> DataFrame:
@@ -152,6 +157,67 @@ def _meet(wanted: DataFrame, cells: DataFrame, *also: str) -> DataFrame:
     return cells.join(wanted, match)
 
 
+def _coarse(number: Column) -> Column:
+    """A coarse size of a whole number that never changes its order; only 0 gives 0.
+
+    Square roots are correctly rounded, hence monotonic.
+    """
+    size = F.floor(F.sqrt(F.sqrt(F.abs(number).cast("double"))) * 16)
+    return F.when(number < 0, -size).otherwise(size)
+
+
+def _hint() -> Column:
+    """A number such that a smaller hint always means an earlier row of the same sort.
+
+    It holds the coarse sort key and, where all rows of that hint share one key
+    (experience, or no salary), the coarse job id as well.
+    """
+    by_years = F.col("sort") == "experience_asc"
+    key = F.when(by_years, F.col("sort_key")).otherwise(_coarse(F.col("sort_key")))
+    tied = by_years | (F.col("sort_key") == 0)
+    return key * F.lit(1 << 21) + F.when(tied, _coarse(F.col("job_id"))).otherwise(F.lit(0))
+
+
+def _promising(placed: DataFrame, axis: _SalaryAxis) -> DataFrame:
+    """Leave out rows that ``MAX_LIMIT`` other rows beat in every search.
+
+    A search that accepts a row accepts all rows before it on the salary axis in
+    the same seniority, country and experience. Row counts per hint give, for
+    every stretch of the axis, a hint below which ``MAX_LIMIT`` rows lie; a row
+    with a larger hint than a stretch before it cannot reach any first page.
+    """
+    shift = max(0, axis.bits - COARSE_BITS)
+    bits = axis.bits - shift
+    cell = F.struct("seniority", "country", "years", "sort")
+    hinted = placed.withColumns(
+        {"cell": cell, "stretch": F.shiftright("position", shift), "hint": _hint()}
+    )
+    counts = hinted.groupBy("cell", "stretch", "hint").agg(F.count(F.lit(1)).alias("n"))
+    upward = Window.partitionBy("cell", "level", "block").orderBy("hint")
+    cutoffs = (
+        _blocks_around(counts, "stretch", bits)
+        .groupBy("cell", "level", "block", "hint")
+        .agg(F.sum("n").alias("n"))
+        .withColumn("running", F.sum("n").over(upward))
+        .where(F.col("running") >= MAX_LIMIT)
+        .groupBy("cell", "level", "block")
+        .agg(F.min("hint").alias("cutoff"))
+    )
+    # Rows of one exact position are accepted together; of a coarser stretch they are not.
+    before = F.col("stretch") + F.lit(0 if shift else 1)
+    stretches = counts.select("cell", "stretch").distinct().withColumn("before", before)
+    limits = (
+        _blocks_of_prefix(stretches, "before", bits)
+        .join(cutoffs, ["cell", "level", "block"])
+        .groupBy("cell", "stretch")
+        .agg(F.min("cutoff").alias("cutoff"))
+    )
+    # Written, so that the planner knows its size before it chooses the join.
+    limits = stage(limits, "cutoffs")
+    kept = F.col("cutoff").isNull() | (F.col("hint") <= F.col("cutoff"))
+    return hinted.join(limits, ["cell", "stretch"], "left").where(kept).select(*placed.columns)
+
+
 def _shapes(searches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Searches with their shape, and each distinct shape with its largest limit."""
     shape_id = F.sha2(F.to_json(F.struct(*SHAPE)), 256)
@@ -189,17 +255,19 @@ def saved_search_hits(searches: DataFrame, silver: DataFrame, max_steps: int = 4
     """
     axis = _SalaryAxis(searches, max_steps)
     labelled, shapes = _shapes(searches)
+    sorts = sorted(row["sort"] for row in searches.select("sort").distinct().collect())
     keys = F.inline(
         F.array(
             *[
-                F.struct(F.lit(name).alias("sort"), order.key().alias("sort_key"))
-                for name, order in ORDERINGS.items()
+                F.struct(F.lit(name).alias("sort"), ORDERINGS[name].key().alias("sort_key"))
+                for name in sorts
             ]
         )
     )
     placed = _cells(
         silver.select("job_id", "seniority", "country", "years_exp", "salary_min", "salary_max"), axis
     ).select("job_id", "seniority", "country", "years", "position", keys)
+    placed = _promising(placed, axis)
     spread = F.pmod(F.xxhash64("job_id"), F.lit(CELL_SPREAD))
     finest = _best(
         placed.withColumn("spread", spread),
