@@ -36,7 +36,7 @@ from vacantia.streaming.token_bucket import admit_stream, start_admission
 
 RUN_AT = datetime(2024, 2, 1, tzinfo=timezone.utc)
 QUOTA = Quota(tokens=1, per_us=12 * 3600 * 1_000_000, capacity=3)
-HOSTILE = "Denmark'; DROP TABLE silver_jobs; --"
+HOSTILE = "NATION_1'; DROP TABLE orders; --"
 
 Query = Callable[[SparkSession, str], DataFrame]
 

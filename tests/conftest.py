@@ -18,7 +18,7 @@ def spark():
 
 @pytest.fixture(scope="session")
 def three(spark):
-    """The three reference postings."""
+    """Three postings whose answers are worked out by hand."""
     rows = [
         (1, "A", "C1", "Denmark", "senior", 4, 39918, 78808),
         (2, "B", "C2", "Bulgaria", "mid", 3, 43334, 76458),

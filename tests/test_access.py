@@ -162,3 +162,14 @@ def test_refused_requests_do_not_use_up_the_quota(spark, registry):
     assert [s for _, s in sorted((r["event_id"], r["status"]) for r in found)] == [
         "ok", "missing", "unknown", "ok", "limited", "missing"
     ]
+
+
+def test_no_requests(spark):
+    assert admit_requests(log_of(spark, [("c", 0)]).limit(0), Quota.per_minute(120)).count() == 0
+
+
+def test_requests_of_nobody_and_without_a_time(spark):
+    log = spark.createDataFrame([(None, 1, START), ("c", 2, START)], LOG)
+    assert decisions_of(admit_requests(log, Quota.per_minute(1))) == {2: True}
+    with pytest.raises(Exception, match="without a time"):
+        admit_requests(spark.createDataFrame([("c", 1, None)], LOG), Quota.per_minute(1))

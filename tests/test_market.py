@@ -74,3 +74,7 @@ def test_refused_names(spark, three):
     check_metric("median_salary")
     with pytest.raises(RequestError):
         check_metric("avg_password")
+
+
+def test_no_postings(spark, three):
+    assert build_gold(three.limit(0), AS_OF).count() == 0

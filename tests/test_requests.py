@@ -156,3 +156,11 @@ def test_hopeless_postings_are_ruled_out_without_changing_a_page(spark, monkeypa
         filters = Filters(seniority, years, salary, country)
         page = [r["job_id"] for r in search(silver, filters, sort, limit, with_total=False).items]
         assert [job for request, _, job in found if request == request_id] == page
+
+
+def test_no_searches_and_no_postings(spark, three):
+    df = spark.createDataFrame([(1, None, None, 5, None, "salary_min_asc", 5)], SEARCHES)
+    assert saved_search_hits(df, three.limit(0)).count() == 0
+    assert saved_search_totals(df, three.limit(0)).first()["total"] == 0
+    assert saved_search_hits(df.limit(0), three).count() == 0
+    assert saved_search_totals(df.limit(0), three).count() == 0

@@ -24,7 +24,7 @@ def ids(page):
         ({"experience_max": 3, "country": "Denmark"}, [3]),
         ({"country": "denmark"}, []),
         ({"country": ""}, []),
-        ({"country": "Denmark'; DROP TABLE silver_jobs; --"}, []),
+        ({"country": "Denmark'; DROP TABLE postings; --"}, []),
         ({"country": "O'Hare"}, []),
         ({}, [1, 2, 3]),
     ],

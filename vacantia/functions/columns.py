@@ -43,6 +43,10 @@ def key_digest(raw: str | Column) -> Column:
 
 
 def utc_micros(column: str | Column) -> Column:
-    """Microseconds since the epoch; zone-less timestamps are read as UTC."""
+    """Microseconds since the epoch; zone-less timestamps are read as UTC.
+
+    What has no time has no place in an order, so NULL is an error.
+    """
     column = F.col(column) if isinstance(column, str) else column
-    return F.unix_micros(column.cast("timestamp"))
+    missing = F.raise_error("a row without a time cannot be ordered").cast("bigint")
+    return F.coalesce(F.unix_micros(column.cast("timestamp")), missing)

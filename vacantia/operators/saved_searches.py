@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.operators.ordering import ORDERINGS
-from vacantia.schema import MAX_EXPERIENCE_YEARS, MAX_LIMIT, MAX_SALARY_FILTER
+from vacantia.schema import DEFAULT_SORT, MAX_EXPERIENCE_YEARS, MAX_LIMIT, MAX_SALARY_FILTER
 from vacantia.sources.workspace import stage
 
 SHAPE = ["seniority", "experience_max", "salary_min", "country", "sort"]
@@ -192,7 +192,10 @@ def _promising(placed: DataFrame, axis: _SalaryAxis) -> DataFrame:
     hinted = placed.withColumns(
         {"cell": cell, "stretch": F.shiftright("position", shift), "hint": _hint()}
     )
-    counts = hinted.groupBy("cell", "stretch", "hint").agg(F.count(F.lit(1)).alias("n"))
+    # Written, because both readers below would otherwise scan the postings again.
+    counts = stage(
+        hinted.groupBy("cell", "stretch", "hint").agg(F.count(F.lit(1)).alias("n")), "counts"
+    )
     upward = Window.partitionBy("cell", "level", "block").orderBy("hint")
     cutoffs = (
         _blocks_around(counts, "stretch", bits)
@@ -255,7 +258,8 @@ def saved_search_hits(searches: DataFrame, silver: DataFrame, max_steps: int = 4
     """
     axis = _SalaryAxis(searches, max_steps)
     labelled, shapes = _shapes(searches)
-    sorts = sorted(row["sort"] for row in searches.select("sort").distinct().collect())
+    asked = sorted(row["sort"] for row in searches.select("sort").distinct().collect())
+    sorts = asked or [DEFAULT_SORT]
     keys = F.inline(
         F.array(
             *[
