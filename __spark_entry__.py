@@ -58,7 +58,7 @@ company AS (
   FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
 
-def _silver_sql(source: str = "posts", where: str = "TRUE") -> str:
+def _silver_sql(source: str = "posts") -> str:
     return f"""
 silver AS (
   SELECT job_id, title, company_name, country,
@@ -74,7 +74,7 @@ silver AS (
                CASE WHEN regexp_full_match(trim(maximumsalary), '[0-9]+')
                     THEN CAST(trim(maximumsalary) AS BIGINT) END AS salary_max,
                qualification
-        FROM {source} p JOIN company c ON c.id_company = p.id_company WHERE {where}))"""
+        FROM {source} p JOIN company c ON c.id_company = p.id_company))"""
 
 
 SILVER_SQL = f"WITH {POSTS_SQL}, {_silver_sql()}"
@@ -127,9 +127,10 @@ LOG_SQL = """
 log AS (SELECT event_id, ts, CASE WHEN event_id % 17 <> 0
                THEN concat('key-', CAST(user_id AS VARCHAR)) END AS raw_key FROM events),
 registry AS (SELECT DISTINCT user_id AS client_id,
-                    sha256(concat('key-', CAST(user_id AS VARCHAR))) AS key_sha256,
+                    sha256(concat(CASE WHEN user_id % 5 = 0 THEN 'new-key-' ELSE 'key-' END,
+                                  CAST(user_id AS VARCHAR))) AS key_sha256,
                     CASE WHEN user_id % 3 = 0 THEN TIMESTAMP '2024-01-15' END AS expires_at
-             FROM events WHERE user_id % 5 <> 0),
+             FROM events),
 audited AS (
   SELECT event_id, ts, client_id,
          CASE WHEN raw_key IS NULL THEN 'missing' WHEN client_id IS NULL THEN 'unknown'
@@ -197,12 +198,6 @@ def _gold_rewrite(spark: SparkSession, folder: str) -> DataFrame:
     return read_metrics(spark, path).drop("as_of")
 
 
-def _recent_gold(spark: SparkSession, folder: str) -> DataFrame:
-    pin_session(spark)
-    early = samples.posts(spark, folder).where(F.col("createdat") < F.lit("1995-01-15").cast("timestamp"))
-    return build_gold(build_silver(early, samples.companies(spark, folder)), RUN_AT)
-
-
 def _contract(spark: SparkSession, folder: str) -> DataFrame:
     pin_session(spark)
     silver = build_silver(samples.untidy_posts(spark, folder), samples.companies(spark, folder))
@@ -279,7 +274,11 @@ SELECT dimension_value, CASE WHEN posting_count >= 5 THEN median_salary END AS m
 
 
 def _small_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return market_metrics(_recent_gold(spark, folder), "country").drop("as_of")
+    """Each company stands for a country of its own, so many groups are small."""
+    pin_session(spark)
+    companies = samples.companies(spark, folder).withColumn("country", F.col("companyname"))
+    gold = build_gold(build_silver(samples.posts(spark, folder), companies), RUN_AT)
+    return market_metrics(gold, "country").drop("as_of")
 
 
 def _validate_searches(spark: SparkSession, folder: str) -> DataFrame:
@@ -412,7 +411,7 @@ UNION ALL SELECT 'gold', count(*) FROM gold""",
     "market_metrics_country": (_metrics("country"), _metrics_sql("country")),
     "market_metrics_small_groups": (
         _small_groups,
-        f"""WITH {POSTS_SQL}, {_silver_sql(where="createdat < TIMESTAMP '1995-01-15'")}, {GOLD_SQL}
+        f"""WITH {POSTS_SQL.replace("n_name AS country", "c_name AS country")}, {_silver_sql()}, {GOLD_SQL}
 SELECT dimension_value, CASE WHEN posting_count >= 5 THEN median_salary END AS median_salary,
        posting_count FROM gold WHERE dimension = 'country'""",
     ),

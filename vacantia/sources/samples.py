@@ -128,16 +128,16 @@ def request_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def client_registry(spark: SparkSession, folder: str) -> DataFrame:
-    """Clients of the log; every fifth never registered, every third has an end date."""
+    """Clients of the log; every fifth now has another key, every third has an end date."""
     user = F.col("user_id")
+    key = F.concat(F.when(user % 5 == 0, "new-key-").otherwise("key-"), user)
     return (
         read_table(spark, folder, "events")
         .select("user_id")
         .distinct()
-        .where(user % 5 != 0)
         .select(
             user.alias("client_id"),
-            key_digest(F.concat(F.lit("key-"), user)).alias("key_sha256"),
+            key_digest(key).alias("key_sha256"),
             F.when(user % 3 == 0, F.lit("2024-01-15").cast("timestamp")).alias("expires_at"),
         )
     )
