@@ -5,10 +5,12 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from vacantia.operators import saved_searches
 from vacantia.operators.bucket_levels import Quota
+from vacantia.operators.credentials import audit_credentials
 from vacantia.operators.filters import Filters
 from vacantia.operators.requests import typed_search_requests
-from vacantia.operators.saved_searches import saved_search_hits
+from vacantia.operators.saved_searches import saved_search_hits, saved_search_totals
 from vacantia.operators.token_bucket import admit_requests
 from vacantia.plans.gold import build_gold
 from vacantia.plans.metrics import market_metrics
@@ -103,9 +105,15 @@ def test_gold_scans_once(spark, tables):
     assert "ReusedExchange" in final and "Python" not in final
 
 
-def test_saved_searches_cut_early_and_never_pair(spark, tables):
+def test_saved_searches_cut_early_and_never_pair(spark, tables, monkeypatch):
+    plans = []
+    write = saved_searches.stage
+    monkeypatch.setattr(
+        saved_searches, "stage", lambda df, name: plans.append(plan(df, "simple")) or write(df, name)
+    )
     searches = typed_search_requests(samples.searches(spark, FOLDER))
-    text = plan(saved_search_hits(searches, read_postings(spark, tables[0])), "simple")
+    plans.append(plan(saved_search_hits(searches, read_postings(spark, tables[0])), "simple"))
+    text = "\n".join(plans)
     assert text.count("WindowGroupLimit") == 6
     assert "NestedLoop" not in text and "Cartesian" not in text
 
@@ -119,8 +127,9 @@ def test_token_bucket_shuffles_its_chunks_once(spark):
     assert final.count("FileScan") == 1
 
 
-def test_join_with_a_hot_company_is_split(spark):
-    """With both sides too large to broadcast, the hot company's partition is split."""
+@pytest.fixture
+def crowded(spark):
+    """No broadcasts, and partitions of 20 KB already count as large."""
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -129,23 +138,56 @@ def test_join_with_a_hot_company_is_split(spark):
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
     }
     before = {name: spark.conf.get(name, None) for name in settings}
-    try:
-        for name, value in settings.items():
-            spark.conf.set(name, value)
-        hot = F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id") % 100)
-        posts = spark.range(0, 60_000, numPartitions=16).select(
-            F.col("id").alias("id_jobpost"), hot.alias("id_company"),
-            F.sha2(F.col("id").cast("string"), 256).alias("jobtitle"),
-            F.lit("1").alias("minimumsalary"), F.lit("2").alias("maximumsalary"),
-            F.lit("3").alias("experience"), F.lit("q").alias("qualification"),
-        )
-        companies = spark.range(100).select(
-            F.col("id").alias("id_company"), F.col("id").cast("string").alias("companyname"),
-            F.lit("DK").alias("country"),
-        )
-        silver = build_silver(posts, companies)
-        assert len(silver.collect()) == 60_000
-        assert "skew=true" in plan(silver, "simple").split("Initial Plan")[0]
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_join_with_a_hot_company_is_split(spark, crowded):
+    hot = F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id") % 100)
+    posts = spark.range(0, 60_000, numPartitions=16).select(
+        F.col("id").alias("id_jobpost"), hot.alias("id_company"),
+        F.sha2(F.col("id").cast("string"), 256).alias("jobtitle"),
+        F.lit("1").alias("minimumsalary"), F.lit("2").alias("maximumsalary"),
+        F.lit("3").alias("experience"), F.lit("q").alias("qualification"),
+    )
+    companies = spark.range(100).select(
+        F.col("id").alias("id_company"), F.col("id").cast("string").alias("companyname"),
+        F.lit("DK").alias("country"),
+    )
+    silver = build_silver(posts, companies)
+    assert len(silver.collect()) == 60_000
+    assert "skew=true" in plan(silver, "simple").split("Initial Plan")[0]
+
+
+def test_audit_with_a_hot_client_is_split(spark, crowded):
+    kind = F.col("id") % 3
+    key = F.when(kind == 0, "k7").when(kind == 1, F.concat(F.lit("k"), F.col("id") % 500))
+    log = spark.range(0, 60_000, numPartitions=16).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), key.alias("raw_key")
+    )
+    registry = spark.range(500).select(
+        F.col("id").alias("client_id"),
+        F.sha2(F.concat(F.lit("k"), F.col("id")), 256).alias("key_sha256"),
+        F.lit(None).cast("timestamp").alias("expires_at"),
+    )
+    audited = audit_credentials(log, registry)
+    counts = {r["status"]: r["count"] for r in audited.groupBy("status").count().collect()}
+    assert counts == {"ok": 40_000, "missing": 20_000}
+    audited.collect()
+    assert "skew=true" in plan(audited, "simple").split("Initial Plan")[0]
+
+
+def test_search_that_many_requests_share_is_split(spark, crowded, tables):
+    shared = F.when(F.col("id") % 2 == 0, F.lit(3)).otherwise(F.col("id") % 40)
+    searches = spark.range(0, 60_000, numPartitions=16).select(
+        F.col("id").alias("request_id"), F.lit(None).cast("string").alias("seniority"),
+        F.lit(None).cast("int").alias("experience_max"), (shared * 1000).cast("bigint").alias("salary_min"),
+        F.lit(None).cast("string").alias("country"), F.lit("salary_max_desc").alias("sort"),
+        F.lit(1).alias("limit"),
+    )
+    totals = saved_search_totals(searches, read_postings(spark, tables[0]))
+    assert len(totals.collect()) == 60_000
+    assert "skew=true" in plan(totals, "simple").split("Initial Plan")[0]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions.columns import key_digest
+from vacantia.sources.workspace import stage
 
 MISSING_KEY_SPREAD = 1024
 
@@ -32,6 +33,9 @@ def audit_credentials(
         .agg(F.min(F.struct("client_id", "expires_at")).alias("owner"))
         .select("key_sha256", "owner.*")
     )
+    # Written, so that the join sees its size and can split the log of a busy client:
+    # the adaptive planner splits plain shuffles, not one that an aggregation sits on.
+    owners = stage(owners, "owners")
     has_key = F.coalesce(F.col(raw_key) != "", F.lit(False))
     kept = [name for name in log.columns if name != raw_key]
     spread = F.pmod(F.xxhash64(*kept), F.lit(MISSING_KEY_SPREAD)).cast("string")

@@ -245,6 +245,8 @@ def saved_search_totals(searches: DataFrame, silver: DataFrame, max_steps: int =
         .groupBy(F.col("of_shape_id").alias("shape_id"))
         .agg(F.sum("n").alias("total"))
     )
+    # Written, so that the join can split a search that very many requests share.
+    totals = stage(totals, "totals")
     return labelled.join(totals, "shape_id", "left").select(
         "request_id", F.coalesce("total", F.lit(0)).cast("bigint").alias("total")
     )
@@ -285,6 +287,7 @@ def saved_search_hits(searches: DataFrame, silver: DataFrame, max_steps: int = 4
         .select(F.col("of_shape_id").alias("shape_id"), "job_id", "sort_key")
     )
     hits = _best(met, ["shape_id"]).select("shape_id", F.col("place").alias("pos"), "job_id")
+    hits = stage(hits, "hits")
     return (
         labelled.join(hits, "shape_id")
         .where(F.col("pos") <= F.col("limit"))
