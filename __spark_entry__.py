@@ -497,9 +497,30 @@ def entry(spark: SparkSession) -> DataFrame:
     return page_rows(silver, Filters(country="NATION_1"))
 
 
+def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries of the ``llm`` subpackage and of the corpus pipeline, where they are installed."""
+    try:
+        from vacantia.llm.queries import ORACLE_SQL, QUERIES
+    except ModuleNotFoundError as gone:
+        if not (gone.name or "").startswith("vacantia.llm"):
+            raise
+        return {}, {}
+    found, sql = dict(QUERIES), dict(ORACLE_SQL)
+    try:
+        import corpus_pipeline
+    except ModuleNotFoundError as gone:
+        if gone.name != "corpus_pipeline":
+            raise
+        return found, sql
+    found["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Query]:
-    return {name: query for name, (query, _) in REGISTERED.items()}
+    return {name: query for name, (query, _) in REGISTERED.items()} | _corpus()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in REGISTERED.items()}
+    return {name: sql for name, (_, sql) in REGISTERED.items()} | _corpus()[1]
