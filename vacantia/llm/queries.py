@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm.exact_dedup import DigestIndex
+from vacantia.llm.license_scan import LEAST_DICE, TEMPLATES, scan_licenses, size_bounds, template_bigrams
+from vacantia.llm.packing import pack_documents
+from vacantia.llm.topk_search import top_k
+from vacantia.llm.toxicity import fit_toxicity, score_toxicity
 from vacantia.llm.url_filter import Rule, filter_urls, host_of, path_of
 from vacantia.session import pin_session
 from vacantia.sources.workspace import new_path
@@ -53,12 +57,84 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = pack_documents(_table(spark, folder, "documents"), "byte_bpe_50k", keep_ids=False)
+    return pieces.drop("ids")
+
+
+def toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = fit_toxicity(docs, _table(spark, folder, "labels"))
+    return score_toxicity(docs, model).drop("passages")
+
+
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_licenses(_table(spark, folder, "documents").select("doc_id", "text"))
+    licences = F.array_join(F.array_sort(F.array_distinct(F.col("matches.licence"))), ",")
+    best = F.coalesce(F.floor(F.array_max(F.col("matches.dice")) * 1000), F.lit(0))
+    return found.select("doc_id", licences.alias("licences"), F.size("matches").alias("n_matches"), best.alias("best_permille"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": topk_search,
+    "op2_packing": packing,
     "op6_url_filter": url_filter,
+    "op7_toxicity": toxicity,
+    "op8_license_scan": license_scan,
     "op9_exact_dedup": exact_dedup,
 }
 
+def _license_sql() -> str:
+    rows = []
+    for name, texts in TEMPLATES.items():
+        for i, text in enumerate(texts):
+            bigrams = template_bigrams(text)
+            fewest, most = size_bounds(len(bigrams), LEAST_DICE)
+            rows.append(f"('{name}', {i}, {bigrams}, {fewest}, {most})")
+    return f"""
+WITH templates(licence, i, wanted, fewest, most) AS (VALUES {", ".join(rows)}),
+units AS (
+  SELECT row_no, unnest(string_split(coalesce(text, ''), chr(10))
+           || list_filter(regexp_split_to_array(coalesce(text, ''), '\\n[ \\t\\r]*\\n'),
+                          lambda p: contains(trim(p, ' '), chr(10)))) AS unit
+  FROM (SELECT text, row_number() OVER () AS row_no FROM documents)),
+words AS (
+  SELECT row_no, row_number() OVER () AS unit_no, string_split(trim(regexp_replace(translate(unit,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), ' ') AS w FROM units),
+bigrams AS (
+  SELECT row_no, unit_no,
+         list_distinct(list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1])) AS b FROM words),
+dice AS (
+  SELECT row_no, unit_no, licence, 2.0 * len(list_intersect(b, wanted)) / (len(b) + len(wanted)) AS dice,
+         max(2.0 * len(list_intersect(b, wanted)) / (len(b) + len(wanted))) OVER (PARTITION BY unit_no) AS best
+  FROM bigrams JOIN templates ON len(b) BETWEEN fewest AND most
+  WHERE 2 * len(list_intersect(b, wanted)) * {LEAST_DICE.denominator} >= {LEAST_DICE.numerator} * (len(b) + len(wanted))),
+found AS (
+  SELECT row_no, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, count(*) AS n_matches,
+         CAST(floor(max(dice) * 1000) AS BIGINT) AS best_permille
+  FROM dice WHERE dice = best GROUP BY row_no)
+SELECT doc_id, coalesce(licences, '') AS licences, coalesce(n_matches, 0)::INTEGER AS n_matches, coalesce(best_permille, 0) AS best_permille
+FROM (SELECT doc_id, row_number() OVER () AS row_no FROM documents) LEFT JOIN found USING (row_no)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_topk_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+WHERE rank <= 10""",
+    "op8_license_scan": _license_sql(),
     "op6_url_filter": r"""
 WITH parts AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
