@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from vacantia.llm.exact_dedup import DigestIndex
 from vacantia.llm.license_scan import LEAST_DICE, TEMPLATES, scan_licenses, size_bounds, template_bigrams
+from vacantia.llm.line_crf import fit_line_field, score_quality
 from vacantia.llm.packing import pack_documents
+from vacantia.llm.substring_dedup import remove_repeats
 from vacantia.llm.topk_search import top_k
 from vacantia.llm.toxicity import fit_toxicity, score_toxicity
 from vacantia.llm.url_filter import Rule, filter_urls, host_of, path_of
@@ -66,6 +68,15 @@ def packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.drop("ids")
 
 
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(_table(spark, folder, "documents"), keep_text=False).drop("kept")
+
+
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return score_quality(docs, fit_line_field(docs, _table(spark, folder, "labels")))
+
+
 def toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     model = fit_toxicity(docs, _table(spark, folder, "labels"))
@@ -82,6 +93,8 @@ def license_scan(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": topk_search,
     "op2_packing": packing,
+    "op3_substring_dedup": substring_dedup,
+    "op5_quality_classifier": quality,
     "op6_url_filter": url_filter,
     "op7_toxicity": toxicity,
     "op8_license_scan": license_scan,
@@ -134,6 +147,22 @@ pairs AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
 WHERE rank <= 10""",
+    "op3_substring_dedup": r"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS row_no,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda w: w <> '') AS words
+  FROM documents),
+windows AS (
+  SELECT row_no, i, array_to_string(words[i:i + 34], ' ') AS w
+  FROM (SELECT row_no, words, unnest(range(1, len(words) - 33)) AS i FROM texts)),
+starts AS (SELECT row_no, i FROM (SELECT row_no, i, count(*) OVER (PARTITION BY w) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT row_no, unnest(range(i, i + 35)) AS j FROM starts),
+kept AS (
+  SELECT row_no, string_agg(words[j], ' ' ORDER BY j) AS kept, count(*) AS n
+  FROM (SELECT row_no, words, unnest(range(1, len(words) + 1)) AS j FROM texts) ANTI JOIN gone USING (row_no, j)
+  GROUP BY row_no)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (row_no)""",
     "op8_license_scan": _license_sql(),
     "op6_url_filter": r"""
 WITH parts AS (
