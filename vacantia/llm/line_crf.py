@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.llm.labelled import fit_logistic, held_out, logistic, sampled_docs, training_labels
@@ -241,26 +241,28 @@ def fit_line_field(docs: DataFrame, labels: DataFrame, sample_per_class: int = S
     return field
 
 
-_SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+def quality_score(field: LineField, text: Column) -> Column:
+    """The score of a text, between 0 and 1; documents keep their other columns."""
+
+    @F.arrow_udf("double")
+    def score(column: pa.Array) -> pa.Array:
+        texts = column.to_pylist()
+        parts, at = [], 0
+        while at < len(texts):
+            end, held = at + 1, len(texts[at])
+            while end < len(texts) and held + len(texts[end]) <= TEXT_AT_ONCE:
+                held += len(texts[end])
+                end += 1
+            parts.append(field.scores(Lines([line_features(text) for text in texts[at:end]])))
+            at = end
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
+
+    return score(F.coalesce(text, F.lit("")))
 
 
 def score_quality(docs: DataFrame, field: LineField, threshold: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            at = 0
-            while at < len(ids):
-                end, held = at + 1, len(texts[at] or "")
-                while end < len(ids) and held + len(texts[end] or "") <= TEXT_AT_ONCE:
-                    held += len(texts[end] or "")
-                    end += 1
-                scores = field.scores(Lines([line_features(text or "") for text in texts[at:end]]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at:end], pa.int64()), pa.array(scores)], schema=_SCORED)
-                at = end
-
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id bigint, score double")
+    scored = docs.select("doc_id", quality_score(field, F.col("text")).alias("score"))
     return scored.select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),

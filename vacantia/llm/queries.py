@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from vacantia.llm.exact_dedup import DigestIndex
 from vacantia.llm.license_scan import LEAST_DICE, TEMPLATES, scan_licenses, size_bounds, template_bigrams
 from vacantia.llm.line_crf import fit_line_field, score_quality
+from vacantia.llm.ngram_join import near_duplicates
 from vacantia.llm.packing import pack_documents
+from vacantia.llm.sentencepiece_viterbi import decode_ids, encode_texts
 from vacantia.llm.substring_dedup import remove_repeats
 from vacantia.llm.topk_search import top_k
 from vacantia.llm.toxicity import fit_toxicity, score_toxicity
@@ -72,6 +74,22 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(_table(spark, folder, "documents"), keep_text=False).drop("kept")
 
 
+def sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Encode every text and decode it again."""
+    model = "piece_bpe_32k.model"
+    decoded = decode_ids(encode_texts(_table(spark, folder, "documents"), model), model)
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_table(spark, folder, "documents"))
+
+
 def quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return score_quality(docs, fit_line_field(docs, _table(spark, folder, "labels")))
@@ -94,11 +112,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": topk_search,
     "op2_packing": packing,
     "op3_substring_dedup": substring_dedup,
+    "op4_sentencepiece": sentencepiece,
     "op5_quality_classifier": quality,
     "op6_url_filter": url_filter,
     "op7_toxicity": toxicity,
     "op8_license_scan": license_scan,
     "op9_exact_dedup": exact_dedup,
+    "op10_ngram_join": ngram_join,
 }
 
 def _license_sql() -> str:

@@ -148,6 +148,16 @@ def _cut(text: str, runs: list[tuple[int, int]], window: int, keep_text: bool) -
     }
 
 
+def _with_rest(rows: list[dict], part: pa.RecordBatch) -> pa.RecordBatch:
+    """One row per row of ``part``, which keeps its column ``rest``."""
+    batch = pa.RecordBatch.from_pylist(rows, _JUDGED_ARROW)
+    return pa.RecordBatch.from_arrays([*batch.columns, part.column("rest")], names=[*batch.schema.names, "rest"])
+
+
+def _judged_schema(docs: DataFrame) -> str:
+    return f"{_JUDGED}, rest {docs.schema['rest'].dataType.simpleString()}"
+
+
 def _judge(docs: DataFrame, window: int, keep_text: bool) -> DataFrame:
     """Finish the documents without doubtful paths; hand on the text of the others."""
 
@@ -155,7 +165,7 @@ def _judge(docs: DataFrame, window: int, keep_text: bool) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
-                for row in part.to_pylist():
+                for row in part.select([*_KEY, "text", "runs"]).to_pylist():
                     runs = row.pop("runs") or []
                     text = row.pop("text") or ""
                     sure = [(r["begin"], r["count"]) for r in runs if r["sure"]]
@@ -165,9 +175,9 @@ def _judge(docs: DataFrame, window: int, keep_text: bool) -> DataFrame:
                         rows.append(row | {"text": text} | flat)
                     else:
                         rows.append(row | _cut(text, sure, window, keep_text))
-                yield pa.RecordBatch.from_pylist(rows, _JUDGED_ARROW)
+                yield _with_rest(rows, part)
 
-    return docs.mapInArrow(judge, _JUDGED)
+    return docs.select(*_KEY, "text", "runs", "rest").mapInArrow(judge, _judged_schema(docs))
 
 
 _WINDOWS = pa.schema([("one", pa.int64()), ("two", pa.int64()), ("id", pa.int64()), ("text_hash", pa.int64()), ("begin", pa.int32())])
@@ -209,15 +219,14 @@ def _finish(open_docs: DataFrame, window: int, keep_text: bool) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
-                for row in part.to_pylist():
+                for row in part.select([*_KEY, "text", "sure", "repeated"]).to_pylist():
                     sure, repeated = row.pop("sure") or [], row.pop("repeated") or []
                     runs = [*zip(sure[::2], sure[1::2], strict=True), *((begin, 1) for begin in repeated)]
-                    text = row.pop("text")
-                    row.pop("unsure")
-                    rows.append(row | _cut(text, runs, window, keep_text))
-                yield pa.RecordBatch.from_pylist(rows, _JUDGED_ARROW)
+                    rows.append(row | _cut(row.pop("text"), runs, window, keep_text))
+                yield _with_rest(rows, part)
 
-    return open_docs.mapInArrow(finish, _JUDGED)
+    columns = open_docs.select(*_KEY, "text", "sure", "repeated", "rest")
+    return columns.mapInArrow(finish, _judged_schema(open_docs))
 
 
 def remove_repeats(
@@ -227,16 +236,19 @@ def remove_repeats(
     window: int = WINDOW,
     kmer: int = KMER,
     keep_text: bool = True,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per row: the id, ``n_words, n_removed, kept, kept_sha256``.
+    """Per row: the id, ``n_words, n_removed, kept, kept_sha256`` and the columns ``carry``.
 
     ``kept`` is the text that stays, its words joined by one space; without ``keep_text``
     it is null. Intermediate tables go to the session's shared folder.
     """
+    rest = F.struct(F.lit(0).alias("none"), *[F.col(name).alias(f"carried_{i}") for i, name in enumerate(carry)])
     rows = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
+        rest.alias("rest"),
     )
     anchors = stage(_anchors(rows, window, kmer), "anchors")
     counts = anchors.groupBy("anchor").agg(
@@ -262,4 +274,5 @@ def remove_repeats(
     )
     result = done.unionByName(_finish(left.join(found, _KEY, "left"), window, keep_text))
     key = F.when(F.col("id") != _NO_ID, F.col("id"))
-    return result.select(key.alias(doc_id), "n_words", "n_removed", "kept", "kept_sha256")
+    carried = [F.col(f"rest.carried_{i}").alias(name) for i, name in enumerate(carry)]
+    return result.select(key.alias(doc_id), "n_words", "n_removed", "kept", "kept_sha256", *carried)
