@@ -54,6 +54,9 @@ class Vocabulary:
         self.of_byte = {i: b for b, i in self.bytes.items()}
         self.spelled = lowest - 10.0
         self.longest = max(map(len, self.known), default=1)
+        #: Every beginning of a piece: the piece itself, or True for a beginning only.
+        self.beginnings: dict[str, tuple[int, float] | bool] = {p[:n]: True for p in self.known for n in range(1, len(p))}
+        self.beginnings |= self.known
         #: Whether no piece has a meta symbol behind another character.
         self.words_end_paths = all(SPACE not in piece.lstrip(SPACE) for piece in self.known)
 
@@ -68,27 +71,41 @@ class Vocabulary:
 
 def committed_ids(vocabulary: Vocabulary, text: str) -> Iterator[list[int]]:
     """Ids of ``text`` (with meta symbols), in parts, each as soon as it is certain."""
-    get, longest, spelled = vocabulary.known.get, vocabulary.longest, vocabulary.spelled
+    get, longest, spelled = vocabulary.beginnings.get, vocabulary.longest, vocabulary.spelled
+    size, base = len(text), 0
     # Of each boundary from the last commit on: best score, and the last piece's begin and id.
-    base, score, began, piece = 0, [0.0], [0], [-1]
-    for end in range(1, len(text) + 1):
-        best, origin, chosen, found = None, 0, -1, None
-        for begin in range(max(base, end - longest), end):
-            found = get(text[begin:end])
-            if found is not None:
-                total = score[begin - base] + found[1]
-                if best is None or total > best:
-                    best, origin, chosen = total, begin, found[0]
-        # ``found`` is now that of the last character alone.
-        if found is None and (best is None or score[-1] + spelled > best):
-            best, origin, chosen = score[-1] + spelled, end - 1, -1
-        score.append(best)
-        began.append(origin)
-        piece.append(chosen)
-        if (end - base) % longest and end < len(text):
+    score: list[float | None] = [0.0, None]
+    began, piece = [0, 0], [-1, -1]
+    for begin in range(size):
+        here = score[begin - base]
+        end, known = begin + 1, get(text[begin])
+        if known is None or known is True:
+            # No piece for this character alone.
+            if score[end - base] is None or here + spelled > score[end - base]:
+                score[end - base], began[end - base], piece[end - base] = here + spelled, begin, -1
+        while known is not None:
+            if known is not True and (score[end - base] is None or here + known[1] > score[end - base]):
+                score[end - base], began[end - base], piece[end - base] = here + known[1], begin, known[0]
+            end += 1
+            if end > size:
+                break
+            if end - base == len(score):
+                score.append(None)
+                began.append(0)
+                piece.append(-1)
+            known = get(text[begin:end])
+        done = begin + 1
+        if done == size:
+            ends = {size}
+        elif (done - base) % longest == 0:
+            # Paths go on from this boundary and from those that a piece has reached beyond it.
+            ends = {at for at in range(done, base + len(score)) if score[at - base] is not None}
+        else:
+            if done + 1 - base == len(score):
+                score.append(None)
+                began.append(0)
+                piece.append(-1)
             continue
-        # A later piece can begin at these boundaries; at the end only at the last one.
-        ends = {end} if end == len(text) else set(range(max(base, end + 1 - longest), end + 1))
         while len(ends) > 1:
             last = max(ends)
             ends.remove(last)
@@ -97,12 +114,16 @@ def committed_ids(vocabulary: Vocabulary, text: str) -> Iterator[list[int]]:
         if meeting > base:
             path, at = [], meeting
             while at > base:
-                begin, number = began[at - base], piece[at - base]
-                path.append([number] if number >= 0 else vocabulary.spell(text[begin]))
-                at = begin
+                start, number = began[at - base], piece[at - base]
+                path.append([number] if number >= 0 else vocabulary.spell(text[start]))
+                at = start
             yield list(chain.from_iterable(reversed(path)))
             del score[: meeting - base], began[: meeting - base], piece[: meeting - base]
             base = meeting
+        while len(score) <= done + 1 - base:
+            score.append(None)
+            began.append(0)
+            piece.append(-1)
 
 
 class Encoder(dict):
