@@ -32,7 +32,7 @@ from vacantia.sources import samples
 from vacantia.sources.sinks import write_metrics, write_postings
 from vacantia.sources.tables import read_metrics, read_postings
 from vacantia.sources.workspace import new_path
-from vacantia.streaming.token_bucket import admit_stream, start_admission
+from vacantia.streaming.token_bucket import read_decisions, start_admission
 
 RUN_AT = datetime(2024, 2, 1, tzinfo=timezone.utc)
 QUOTA = Quota(tokens=1, per_us=12 * 3600 * 1_000_000, capacity=3)
@@ -70,7 +70,7 @@ silver AS (
                CASE WHEN regexp_full_match(trim(experience), '[0-9]+')
                     THEN CAST(trim(experience) AS INTEGER) END AS years_exp,
                CASE WHEN regexp_full_match(trim(minimumsalary), '[0-9]+')
-                    THEN CAST(trim(minimumsalary) AS BIGINT) END AS salary_min,
+                    THEN TRY_CAST(trim(minimumsalary) AS BIGINT) END AS salary_min,
                CASE WHEN regexp_full_match(trim(maximumsalary), '[0-9]+')
                     THEN CAST(trim(maximumsalary) AS BIGINT) END AS salary_max,
                qualification
@@ -81,9 +81,10 @@ SILVER_SQL = f"WITH {POSTS_SQL}, {_silver_sql()}"
 
 UNTIDY_SQL = f"""WITH {POSTS_SQL}, untidy AS (
   SELECT * REPLACE (
-    CASE id_jobpost % 6 WHEN 0 THEN '  ' || minimumsalary || ' ' WHEN 1 THEN minimumsalary || '.5'
+    CASE WHEN id_jobpost % 23 = 0 THEN '9223372036854775807' WHEN id_jobpost % 29 = 0 THEN '9223372036854775808'
+    ELSE CASE id_jobpost % 6 WHEN 0 THEN '  ' || minimumsalary || ' ' WHEN 1 THEN minimumsalary || '.5'
          WHEN 2 THEN '-' || minimumsalary WHEN 3 THEN '' WHEN 4 THEN minimumsalary || ' EUR'
-         ELSE minimumsalary END AS minimumsalary,
+         ELSE minimumsalary END END AS minimumsalary,
     CASE WHEN id_jobpost % 17 = 0 THEN 'n/a' ELSE experience END AS experience,
     CASE WHEN id_jobpost % 19 = 0 THEN NULL ELSE jobtitle END AS jobtitle)
   FROM posts), {_silver_sql("untidy")}"""
@@ -93,9 +94,10 @@ rep AS (SELECT seniority, country, (salary_min + salary_max) / 2.0 AS salary FRO
         WHERE salary_min IS NOT NULL AND salary_max IS NOT NULL),
 gold AS (
   SELECT 'seniority' AS dimension, seniority AS dimension_value,
-         median(salary) AS median_salary, count(*) AS posting_count FROM rep GROUP BY seniority
+         median(salary) AS median_salary, count(*) AS posting_count, '2024-02-01 00:00:00' AS as_of
+  FROM rep GROUP BY seniority
   UNION ALL
-  SELECT 'country', country, median(salary), count(*) FROM rep GROUP BY country)"""
+  SELECT 'country', country, median(salary), count(*), '2024-02-01 00:00:00' FROM rep GROUP BY country)"""
 
 ORDER_SQL = {
     "salary_max_desc": "-coalesce(salary_max, 0), job_id",
@@ -123,6 +125,23 @@ matches AS (
     ON seniority = coalesce(w_seniority, seniority) AND years_exp <= coalesce(w_years, years_exp)
    AND coalesce(salary_max, -1) >= coalesce(w_salary, -1) AND country = coalesce(w_country, country))"""
 
+# Pages of five at most, so that the pairs stay few enough for one process.
+PRICED_SQL = """
+searches AS (
+  SELECT o_orderkey AS request_id,
+         CASE o_orderkey % 4 WHEN 1 THEN 'junior' WHEN 2 THEN 'mid' WHEN 3 THEN 'senior' END AS w_seniority,
+         CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 END AS w_years,
+         CAST(floor(o_totalprice / 3) AS BIGINT) AS w_salary,
+         CASE WHEN o_orderkey % 2 = 0 THEN 'salary_max_desc' ELSE 'salary_min_asc' END AS w_sort,
+         o_orderkey % 5 + 1 AS w_limit
+  FROM orders),
+matches AS (
+  SELECT request_id, w_limit, job_id,
+         CASE w_sort WHEN 'salary_max_desc' THEN -coalesce(salary_max, 0) ELSE coalesce(salary_min, 0) END AS sort_key
+  FROM searches JOIN silver
+    ON seniority = coalesce(w_seniority, seniority) AND years_exp <= coalesce(w_years, years_exp)
+   AND salary_max >= w_salary)"""
+
 LOG_SQL = """
 log AS (SELECT event_id, ts, CASE WHEN event_id % 17 <> 0
                THEN concat('key-', CAST(user_id AS VARCHAR)) END AS raw_key FROM events),
@@ -154,9 +173,11 @@ bucket AS (
   FROM bucket b JOIN numbered n ON n.client = b.client AND n.i = b.i + 1)"""
 
 
-EVENTS_SQL = "requests AS (SELECT user_id AS client, event_id, epoch_us(ts) AS us FROM events)"
+EVENTS_SQL = """requests AS (
+  SELECT user_id AS client, event_id, epoch_us(ts) AS us FROM events WHERE event_id % 19 <> 0)"""
 BUCKET_SQL = f"""WITH RECURSIVE {EVENTS_SQL}, {_bucket_sql("requests")}
-SELECT client AS user_id, event_id, admitted, level / {QUOTA.per_us}.0 AS tokens_left FROM bucket"""
+SELECT client AS user_id, event_id, admitted, level / {QUOTA.per_us}.0 AS tokens_left FROM bucket
+UNION ALL SELECT NULL, event_id, NULL, NULL FROM events WHERE event_id % 19 = 0"""
 
 # ---------------------------------------------------------------- queries
 
@@ -191,11 +212,16 @@ def _gold(spark: SparkSession, folder: str) -> DataFrame:
     return build_gold(_silver(spark, folder), RUN_AT)
 
 
+def _dated(metrics: DataFrame) -> DataFrame:
+    """The build time as text, so that both engines show it alike."""
+    return metrics.withColumn("as_of", F.date_format("as_of", "yyyy-MM-dd HH:mm:ss"))
+
+
 def _gold_rewrite(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "gold")
     for _ in range(2):
         write_metrics(_gold(spark, folder), path)
-    return read_metrics(spark, path).drop("as_of")
+    return _dated(read_metrics(spark, path))
 
 
 def _contract(spark: SparkSession, folder: str) -> DataFrame:
@@ -226,6 +252,34 @@ def _page_sql(where: str = "TRUE", sort: str = "salary_max_desc", first: int = 1
 WHERE pos BETWEEN {first} AND {last}"""
 
 
+def _stored_silver(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "silver")
+    write_postings(_silver(spark, folder), path, cluster_by=("country", "salary_max"))
+    return read_postings(spark, path)
+
+
+def _stored_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The first page of a search over the stored silver table."""
+    filters = Filters(seniority="mid", experience_max=3, salary_min=40_000, country="NATION_7")
+    return with_position(page_rows(_stored_silver(spark, folder), filters, "salary_max_desc", 100), "salary_max_desc")
+
+
+def _stored_second_page(spark: SparkSession, folder: str) -> DataFrame:
+    silver = _stored_silver(spark, folder)
+    first = search(silver, sort="salary_min_asc", limit=20, with_total=False)
+    page = page_rows(silver, sort="salary_min_asc", limit=20, cursor=first.next_cursor)
+    return with_position(page, "salary_min_asc", start=21)
+
+
+def _stored_metrics(dimension: str) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        path = new_path(spark, "gold")
+        write_metrics(_gold(spark, folder), path)
+        return _dated(market_metrics(read_metrics(spark, path), dimension))
+
+    return run
+
+
 def _second_page(sort: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         silver = _silver(spark, folder)
@@ -262,7 +316,7 @@ def _export_sql(sort: str, where: str = "TRUE") -> str:
 
 def _metrics(dimension: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return market_metrics(_gold(spark, folder), dimension).drop("as_of")
+        return _dated(market_metrics(_gold(spark, folder), dimension))
 
     return run
 
@@ -270,7 +324,7 @@ def _metrics(dimension: str) -> Query:
 def _metrics_sql(dimension: str) -> str:
     return f"""{SILVER_SQL}, {GOLD_SQL}
 SELECT dimension_value, CASE WHEN posting_count >= 5 THEN median_salary END AS median_salary,
-       posting_count FROM gold WHERE dimension = '{dimension}'"""
+       posting_count, as_of FROM gold WHERE dimension = '{dimension}'"""
 
 
 def _small_groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -278,7 +332,7 @@ def _small_groups(spark: SparkSession, folder: str) -> DataFrame:
     pin_session(spark)
     companies = samples.companies(spark, folder).withColumn("country", F.col("companyname"))
     gold = build_gold(build_silver(samples.posts(spark, folder), companies), RUN_AT)
-    return market_metrics(gold, "country").drop("as_of")
+    return _dated(market_metrics(gold, "country"))
 
 
 def _validate_searches(spark: SparkSession, folder: str) -> DataFrame:
@@ -304,6 +358,14 @@ def _saved_totals(spark: SparkSession, folder: str) -> DataFrame:
     return saved_search_totals(searches, _silver(spark, folder))
 
 
+def _priced_hits(spark: SparkSession, folder: str) -> DataFrame:
+    return saved_search_hits(samples.priced_searches(spark, folder), _silver(spark, folder))
+
+
+def _priced_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return saved_search_totals(samples.priced_searches(spark, folder), _silver(spark, folder))
+
+
 def _audit(spark: SparkSession, folder: str) -> DataFrame:
     pin_session(spark)
     audited = audit_credentials(samples.request_log(spark, folder), samples.client_registry(spark, folder))
@@ -312,27 +374,27 @@ def _audit(spark: SparkSession, folder: str) -> DataFrame:
 
 def _bucket_batch(spark: SparkSession, folder: str) -> DataFrame:
     pin_session(spark)
-    log = spark.read.parquet(f"{folder}/events.parquet").select("event_id", "user_id", "ts")
+    log = samples.events_by_client(spark, folder)
     return admit_requests(log, QUOTA, client="user_id").select(
         "user_id", "event_id", "admitted", "tokens_left"
     )
 
 
 def _bucket_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The log arrives in four stretches of time, one file and micro-batch after the other."""
     pin_session(spark)
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    # The pattern makes a table of one file and a folder of files equally readable.
-    log = (
-        spark.readStream.schema(schema)
-        .option("maxBytesPerTrigger", str(256 << 20))
-        .parquet(f"{folder}/events*.parquet")
-    )
-    path, checkpoint = new_path(spark, "decisions"), new_path(spark, "admission-checkpoint")
-    decisions = admit_stream(log, QUOTA, client="user_id")
-    start_admission(decisions, path, checkpoint).awaitTermination()
-    return spark.read.schema(decisions.schema).parquet(path).select(
-        "user_id", "event_id", "admitted", "tokens_left"
-    )
+    source, path, checkpoint = (new_path(spark, name) for name in ("arrivals", "decisions", "admission-checkpoint"))
+    events = samples.events_by_client(spark, folder)
+    bounds = events.select(F.expr("percentile_approx(unix_micros(cast(ts AS timestamp)), array(0.25, 0.5, 0.75))")).first()[0]
+    edges = [None, *(bounds or []), None]
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    for low, high in zip(edges, edges[1:]):
+        part = events if low is None else events.where(us > low)
+        part = part if high is None else part.where(us <= high)
+        part.coalesce(1).write.mode("append").parquet(source)
+    log = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    start_admission(log, QUOTA, path, checkpoint, client="user_id").awaitTermination()
+    return read_decisions(spark, path).select("user_id", "event_id", "admitted", "tokens_left")
 
 
 def _access(spark: SparkSession, folder: str) -> DataFrame:
@@ -393,6 +455,15 @@ UNION ALL SELECT 'gold', count(*) FROM gold""",
         f"keyset_page2_{sort}": (_second_page(sort), _page_sql(sort=sort, first=21, last=40))
         for sort in ORDER_SQL
     },
+    "stored_search": (
+        _stored_page,
+        _page_sql(
+            "seniority = 'mid' AND years_exp <= 3 AND salary_max >= 40000 AND country = 'NATION_7'"
+        ),
+    ),
+    "stored_keyset_page2": (_stored_second_page, _page_sql(sort="salary_min_asc", first=21, last=40)),
+    "stored_metrics_seniority": (_stored_metrics("seniority"), _metrics_sql("seniority")),
+    "stored_metrics_country": (_stored_metrics("country"), _metrics_sql("country")),
     "keyset_zero_key": (
         _zero_key_page,
         _page_sql("coalesce(salary_max, 0) = 0 AND job_id > 700", last=20),
@@ -403,7 +474,7 @@ UNION ALL SELECT 'gold', count(*) FROM gold""",
         _export_sql("salary_min_asc", "seniority = 'senior'"),
     ),
     "gold_build": (
-        lambda spark, folder: _gold(spark, folder).drop("as_of"),
+        lambda spark, folder: _dated(_gold(spark, folder)),
         f"{SILVER_SQL}, {GOLD_SQL} SELECT * FROM gold",
     ),
     "gold_rewrite": (_gold_rewrite, f"{SILVER_SQL}, {GOLD_SQL} SELECT * FROM gold"),
@@ -413,7 +484,7 @@ UNION ALL SELECT 'gold', count(*) FROM gold""",
         _small_groups,
         f"""WITH {POSTS_SQL.replace("n_name AS country", "c_name AS country")}, {_silver_sql()}, {GOLD_SQL}
 SELECT dimension_value, CASE WHEN posting_count >= 5 THEN median_salary END AS median_salary,
-       posting_count FROM gold WHERE dimension = 'country'""",
+       posting_count, as_of FROM gold WHERE dimension = 'country'""",
     ),
     "saved_search_hits": (
         _saved_hits,
@@ -425,6 +496,18 @@ WHERE pos <= w_limit""",
     "saved_search_totals": (
         _saved_totals,
         f"""{SILVER_SQL}, {SEARCHES_SQL} SELECT s.request_id, count(job_id) AS total
+FROM searches s LEFT JOIN matches m ON m.request_id = s.request_id GROUP BY s.request_id""",
+    ),
+    "priced_search_hits": (
+        _priced_hits,
+        f"""{SILVER_SQL}, {PRICED_SQL} SELECT request_id, pos, job_id FROM (
+  SELECT request_id, w_limit, job_id,
+         row_number() OVER (PARTITION BY request_id ORDER BY sort_key, job_id) AS pos FROM matches)
+WHERE pos <= w_limit""",
+    ),
+    "priced_search_totals": (
+        _priced_totals,
+        f"""{SILVER_SQL}, {PRICED_SQL} SELECT s.request_id, count(job_id) AS total
 FROM searches s LEFT JOIN matches m ON m.request_id = s.request_id GROUP BY s.request_id""",
     ),
     "credential_audit": (
@@ -455,6 +538,10 @@ def _request_sql(required: bool) -> str:
          CASE WHEN c_custkey % 10 = 0 THEN c_mktsegment END AS city,
          CASE WHEN c_custkey % 6 = 0 THEN 'newest' ELSE 'experience_asc' END AS sort
   FROM customer),
+given AS (SELECT * REPLACE (
+    CASE WHEN request_id % 7 <> 0 THEN seniority END AS seniority, CASE WHEN request_id % 7 <> 0 THEN years END AS years,
+    CASE WHEN request_id % 7 <> 0 THEN salary END AS salary, CASE WHEN request_id % 7 <> 0 THEN country END AS country,
+    CASE WHEN request_id % 7 <> 0 THEN city END AS city) FROM asked),
 judged AS (
   SELECT request_id, CASE
     WHEN w_limit > 100 THEN 'LIMIT_EXCEEDED limit'
@@ -465,7 +552,7 @@ judged AS (
     WHEN salary NOT BETWEEN 0 AND 1000000000 THEN 'INVALID_FILTER filters.salary_min'
     WHEN length(country) > 100 THEN 'INVALID_FILTER filters.country'
     WHEN sort NOT IN ('salary_max_desc', 'salary_min_asc', 'experience_asc') THEN 'INVALID_REQUEST sort'
-    WHEN w_limit < 1 THEN 'INVALID_REQUEST limit' END AS fault FROM asked)
+    WHEN w_limit < 1 THEN 'INVALID_REQUEST limit' END AS fault FROM given)
 SELECT request_id, fault IS NULL AS ok, CASE WHEN fault IS NOT NULL THEN split_part(fault, ' ', 1) END AS code,
        CASE WHEN fault IS NOT NULL THEN split_part(fault, ' ', 2) END AS field FROM judged"""
 

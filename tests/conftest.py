@@ -10,8 +10,8 @@ from vacantia.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, "tests")
+def spark(tmp_path_factory):
+    session = local_session(8, "tests", working=str(tmp_path_factory.mktemp("working")))
     yield session
     session.stop()
 

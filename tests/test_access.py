@@ -170,6 +170,22 @@ def test_no_requests(spark):
 
 def test_requests_of_nobody_and_without_a_time(spark):
     log = spark.createDataFrame([(None, 1, START), ("c", 2, START)], LOG)
-    assert decisions_of(admit_requests(log, Quota.per_minute(1))) == {2: True}
+    assert decisions_of(admit_requests(log, Quota.per_minute(1))) == {1: None, 2: True}
     with pytest.raises(Exception, match="without a time"):
         admit_requests(spark.createDataFrame([("c", 1, None)], LOG), Quota.per_minute(1))
+
+
+def test_long_runs_are_described_in_seconds():
+    import time
+
+    rng = np.random.default_rng(1)
+    quota = Quota(tokens=1, per_us=1000, capacity=100_000)
+    begin = time.perf_counter()
+    run = map_of_run(rng.integers(0, 3000, 100_000), quota)
+    run.first_token(quota)
+    assert time.perf_counter() - begin < 20
+
+
+def test_log_with_a_map_column(spark, registry):
+    log = spark.sql("SELECT 1 event_id, timestamp'2024-01-01' ts, cast(null as string) raw_key, map('a', 1) props UNION ALL SELECT 2, timestamp'2024-01-01', 'k-open', map('a', 2)")
+    assert {r.event_id: r.status for r in audit_credentials(log, registry).collect()} == {1: "missing", 2: "ok"}

@@ -14,7 +14,7 @@ from vacantia.schema import METRIC_COLUMNS
 AS_OF = datetime(2025, 3, 1, tzinfo=timezone.utc)
 
 
-@pytest.mark.parametrize("top", [3, 10**6, 2**45, 2**62])
+@pytest.mark.parametrize("top", [3, 10**6, 2**45, 2**63 - 1])
 def test_exact_median(spark, top):
     rng = random.Random(top)
     rows = [(rng.choice(["a", "b", None]), rng.randint(0, 1), rng.randint(0, top)) for _ in range(400)]
@@ -31,6 +31,18 @@ def test_exact_median(spark, top):
         assert found[key][0] == pytest.approx(statistics.median(values), rel=1e-15)
 
 
+def test_nulls_are_no_values(spark):
+    df = spark.createDataFrame([("a", 4), ("a", None), ("a", None), ("b", None)], "g string, v bigint")
+    assert [tuple(r) for r in exact_median(df, ["g"], "v").collect()] == [("a", 4.0, 1)]
+
+
+def test_sums_beyond_bigint(spark):
+    top = 2**63 - 1
+    silver = postings(spark, [(i, "t", "c", "DK", "mid", 2, top - i, top) for i in range(4)])
+    gold = {r["dimension"]: r["median_salary"] for r in build_gold(silver, AS_OF).collect()}
+    assert gold == {"country": pytest.approx(top, rel=1e-15), "seniority": pytest.approx(top, rel=1e-15)}
+
+
 def test_gold_against_plain_python(spark):
     silver = random_postings(spark, random.Random(1), 300)
     gold = build_gold(silver, AS_OF)

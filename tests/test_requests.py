@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import Row
 
-from conftest import random_postings
+from conftest import postings, random_postings
 from vacantia.operators import saved_searches
 from vacantia.operators.filters import Filters
 from vacantia.operators.ordering import ORDERINGS
@@ -38,6 +38,7 @@ CASES = [
     ({}, "newest", 20, ("INVALID_REQUEST", "sort")),
     ({}, "salary_max_desc", 0, ("INVALID_REQUEST", "limit")),
     (None, None, None, None),
+    (None, "newest", 20, ("INVALID_REQUEST", "sort")),
 ]
 
 
@@ -49,11 +50,11 @@ def test_search_rules(spark):
 
 
 def test_required_filters(spark):
-    rows = [(1, {}, None, None), (2, {"country": "DK"}, None, None), (3, {"city": "x"}, None, None)]
+    rows = [(1, {}, None, None), (2, {"country": "DK"}, None, None), (3, {"city": "x"}, None, None), (4, None, None, None)]
     fault = search_request_fault(required=("country",))
     found = validate(spark.createDataFrame(rows, REQUESTS), fault).collect()
     assert {r["request_id"]: r["code"] for r in found} == {
-        1: "MISSING_REQUIRED_FILTER", 2: None, 3: "INVALID_FILTER"
+        1: "MISSING_REQUIRED_FILTER", 2: None, 3: "INVALID_FILTER", 4: "MISSING_REQUIRED_FILTER"
     }
 
 
@@ -72,10 +73,16 @@ def test_typed_requests_have_defaults(spark):
     ]
 
 
-@pytest.mark.parametrize("max_steps", [4096, 2, 0])
-def test_saved_searches_equal_single_searches(spark, max_steps):
+def odd_postings(spark):
+    """Negative, missing and enormous salaries; experience below 0 and beyond any limit."""
+    salaries = [5, 0, -1, -5, None, 100, 10**9, 10**9 + 1, 2**63 - 1]
+    rows = [(1000 + i, "t", "c", "DK", "mid", y, 1, s) for i, (s, y) in enumerate(zip(salaries, [0, -3, 50, 51, 70, 2, 3, 49, 1]))]
+    return postings(spark, rows)
+
+
+def test_saved_searches_equal_single_searches(spark):
     rng = random.Random(11)
-    silver = random_postings(spark, rng, 400, hot=120).cache()
+    silver = random_postings(spark, rng, 400, hot=120).union(odd_postings(spark)).cache()
     searches = [
         (
             i,
@@ -89,16 +96,17 @@ def test_saved_searches_equal_single_searches(spark, max_steps):
         for i in range(40)
     ]
     searches += [(100 + i, None, None, None, None, sort, 100) for i, sort in enumerate(ORDERINGS)]
+    searches += [(200 + i, None, y, s, None, "experience_asc", 100) for i, (y, s) in enumerate([(50, None), (None, 0), (50, 10**9), (49, 5)])]
     df = spark.createDataFrame(searches, SEARCHES)
     hits = {}
-    for row in saved_search_hits(df, silver, max_steps).collect():
+    for row in saved_search_hits(df, silver).collect():
         hits.setdefault(row["request_id"], []).append((row["pos"], row["job_id"]))
-    totals = {r["request_id"]: r["total"] for r in saved_search_totals(df, silver, max_steps).collect()}
+    totals = {r["request_id"]: r["total"] for r in saved_search_totals(df, silver).collect()}
     assert totals.keys() == {row[0] for row in searches}
-    postings = silver.collect()
+    rows = silver.collect()
     for request_id, seniority, years, salary, country, sort, limit in searches:
         chosen = [
-            p for p in postings
+            p for p in rows
             if (seniority is None or p["seniority"] == seniority)
             and (years is None or p["years_exp"] <= years)
             and (salary is None or (p["salary_max"] is not None and p["salary_max"] >= salary))
@@ -124,9 +132,8 @@ def test_saved_search_is_the_search_page(spark):
     assert saved_search_totals(df, silver).first()["total"] == page.total
 
 
-@pytest.mark.parametrize("max_steps", [4096, 0])
 @pytest.mark.parametrize("salaries", [4, 3000])
-def test_hopeless_postings_are_ruled_out_without_changing_a_page(spark, monkeypatch, max_steps, salaries):
+def test_hopeless_postings_are_ruled_out_without_changing_a_page(spark, monkeypatch, salaries):
     rng = random.Random(salaries)
     silver = random_postings(spark, rng, 6000, countries=("DK", None), salaries=salaries, hot=2000).cache()
     sorts = list(ORDERINGS)
@@ -136,22 +143,22 @@ def test_hopeless_postings_are_ruled_out_without_changing_a_page(spark, monkeypa
         for i in range(24)
     ]
     df = spark.createDataFrame(searches, SEARCHES)
-    found = sorted(map(tuple, saved_search_hits(df, silver, max_steps).collect()))
+    found = sorted(map(tuple, saved_search_hits(df, silver).collect()))
 
     counts = []
 
-    def spy(placed, axis):
-        kept = original(placed, axis)
+    def spy(placed):
+        kept = original(placed)
         counts.append((placed.count(), kept.count()))
         return kept
 
     original = saved_searches._promising
     monkeypatch.setattr(saved_searches, "_promising", spy)
-    saved_search_hits(df, silver, max_steps).count()
+    saved_search_hits(df, silver).count()
     assert counts[0][1] < counts[0][0]
 
-    monkeypatch.setattr(saved_searches, "_promising", lambda placed, axis: placed)
-    assert found == sorted(map(tuple, saved_search_hits(df, silver, max_steps).collect()))
+    monkeypatch.setattr(saved_searches, "_promising", lambda placed: placed)
+    assert found == sorted(map(tuple, saved_search_hits(df, silver).collect()))
     for request_id, seniority, years, salary, country, sort, limit in searches:
         filters = Filters(seniority, years, salary, country)
         page = [r["job_id"] for r in search(silver, filters, sort, limit, with_total=False).items]
@@ -164,3 +171,26 @@ def test_no_searches_and_no_postings(spark, three):
     assert saved_search_totals(df, three.limit(0)).first()["total"] == 0
     assert saved_search_hits(df.limit(0), three).count() == 0
     assert saved_search_totals(df.limit(0), three).count() == 0
+
+
+@pytest.mark.parametrize("column, value", [("limit", 101), ("limit", 0), ("limit", None), ("experience_max", 51), ("experience_max", -1), ("salary_min", -1), ("salary_min", 10**9 + 1)])
+def test_searches_outside_the_contract_stop_the_job(spark, three, column, value):
+    search_row = {"request_id": 1, "seniority": None, "experience_max": 3, "salary_min": 5, "country": None, "sort": "salary_min_asc", "limit": 5}
+    df = spark.createDataFrame([tuple((search_row | {column: value}).values())], SEARCHES)
+    for answer in (saved_search_hits, saved_search_totals):
+        with pytest.raises(Exception, match=column):
+            answer(df, three).collect()
+
+
+def test_any_number_of_bounds(spark):
+    silver = random_postings(spark, random.Random(5), 300, salaries=9000).cache()
+    df = spark.range(6000).selectExpr(
+        "id request_id", "cast(null as string) seniority", "cast(null as int) experience_max", "id salary_min",
+        "cast(null as string) country", "'salary_max_desc' sort", "1 limit",
+    )
+    upper = sorted(r["salary_max"] for r in silver.collect() if r["salary_max"] is not None)
+    from bisect import bisect_left
+
+    totals = saved_search_totals(df, silver).collect()
+    assert len(totals) == 6000
+    assert all(r["total"] == len(upper) - bisect_left(upper, r["request_id"]) for r in totals)

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from vacantia.schema import URL_PREFIX
 
-# Longest number taken from text: the sum of two such numbers still fits BIGINT.
-MAX_WHOLE_NUMBER = 10**18 - 1
-
-
 def whole_number(column: str | Column, as_type: str = "bigint") -> Column:
-    """Text to a non-negative integer; text that is no such number gives NULL."""
+    """Text to a non-negative integer of the type; text that is no such number gives NULL."""
     number = F.trim(column).try_cast(as_type)
-    return F.when(number.between(0, MAX_WHOLE_NUMBER), number)
+    return F.when(number >= 0, number)
+
+
+def salary_sum(low: str = "salary_min", high: str = "salary_max") -> Column:
+    """Sum of the offered range, twice its midpoint; as a decimal, so that no sum overflows."""
+    return F.col(low).cast("decimal(19,0)") + F.col(high).cast("decimal(19,0)")
 
 
 def seniority_of(years: str | Column) -> Column:
@@ -34,7 +35,7 @@ def posting_url(job_id: str | Column) -> Column:
 
 def representative_salary(low: str = "salary_min", high: str = "salary_max") -> Column:
     """Midpoint of the offered range, as a double."""
-    return (F.col(low) + F.col(high)) / F.lit(2.0)
+    return salary_sum(low, high).cast("double") / F.lit(2.0)
 
 
 def key_digest(raw: str | Column) -> Column:
@@ -42,6 +43,16 @@ def key_digest(raw: str | Column) -> Column:
     return F.sha2(raw, 256)
 
 
+def own_shuffle(text: str | Column) -> Column:
+    """The same text under another expression.
+
+    A join on it shuffles anew instead of using the partitions that an aggregation or a
+    window left. Only such a plain shuffle can be split by the adaptive planner when
+    very many rows of the other side have one key.
+    """
+    return F.concat(text, F.lit(""))
+
+
 def utc_micros(column: str | Column) -> Column:
     """Microseconds since the epoch; zone-less timestamps are read as UTC.
 

@@ -7,6 +7,7 @@ microsecond adds ``Quota.tokens`` units, so no rounding ever decides a request.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,6 +87,14 @@ class LevelMap:
                 return
         self.pieces.append((low, high, moves, value))
 
+    def _from(self, level: int) -> Iterator[tuple[int, int, bool, int]]:
+        """The pieces from the one that covers ``level`` on."""
+        i = bisect_right(self.pieces, level, key=lambda piece: piece[0]) - 1
+        i = max(i, 0)
+        while i < len(self.pieces) and self.pieces[i][1] < level:
+            i += 1
+        return (self.pieces[k] for k in range(i, len(self.pieces)))
+
     def at(self, level: int) -> int:
         i = bisect_right(self.pieces, level, key=lambda piece: piece[0]) - 1
         low, _, moves, value = self.pieces[i]
@@ -131,21 +140,24 @@ class LevelMap:
                 result._add(low, high, False, later.at(value))
                 continue
             top = value + high - low
-            for a, b, onward, target in later.pieces:
+            # Pieces are in order of their starts, so those that meet are neighbours.
+            for a, b, onward, target in later._from(value):
+                if a > top:
+                    break
                 first, last = max(a, value), min(b, top)
-                if first <= last:
-                    target = target + first - a if onward else target
-                    result._add(low + first - value, low + last - value, onward, target)
+                target = target + first - a if onward else target
+                result._add(low + first - value, low + last - value, onward, target)
         return result
 
     def _window(self, low: int, high: int) -> LevelMap:
         """The part for starts ``low..high``, counted from ``low``."""
         window = LevelMap()
-        for a, b, moves, value in self.pieces:
+        for a, b, moves, value in self._from(low):
+            if a > high:
+                break
             first, last = max(a, low), min(b, high)
-            if first <= last:
-                target = value + first - a if moves else value
-                window._add(first - low, last - low, moves, target)
+            target = value + first - a if moves else value
+            window._add(first - low, last - low, moves, target)
         return window
 
     def first_token(self, quota: Quota) -> LevelMap | None:

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.functions.columns import key_digest
-from vacantia.sources.workspace import stage
-
-MISSING_KEY_SPREAD = 1024
+from vacantia.functions.columns import key_digest, own_shuffle
 
 
 def audit_credentials(
@@ -25,33 +22,26 @@ def audit_credentials(
     ``registry`` holds ``client_id, key_sha256, expires_at``. A digest that
     several clients share belongs to the first client id, so no log row repeats.
 
-    Rows without a key would all meet in one shuffle partition; they get one of
-    ``MISSING_KEY_SPREAD`` placeholders, which no digest can equal.
+    Rows without a key take no part in the join, where they would all meet in one
+    partition; both parts read the log with their own filter.
     """
     owners = (
         registry.groupBy("key_sha256")
         .agg(F.min(F.struct("client_id", "expires_at")).alias("owner"))
-        .select("key_sha256", "owner.*")
+        .select(own_shuffle("key_sha256").alias("key_sha256"), "owner.*")
     )
-    # Written, so that the join sees its size and can split the log of a busy client:
-    # the adaptive planner splits plain shuffles, not one that an aggregation sits on.
-    owners = stage(owners, "owners")
-    has_key = F.coalesce(F.col(raw_key) != "", F.lit(False))
     kept = [name for name in log.columns if name != raw_key]
-    spread = F.pmod(F.xxhash64(*kept), F.lit(MISSING_KEY_SPREAD)).cast("string")
-    hashed = log.select(
+    has_key = F.coalesce(F.col(raw_key) != "", F.lit(False))
+    hashed = log.where(has_key).select(*kept, key_digest(raw_key).alias("key_sha256"))
+    keyless = log.where(~has_key).select(
         *kept,
-        has_key.alias("has_key"),
-        F.when(has_key, key_digest(raw_key))
-        .otherwise(F.concat(F.lit("no key "), spread))
-        .alias("key_sha256"),
+        F.lit(None).cast(owners.schema["client_id"].dataType).alias("client_id"),
+        F.lit("missing").alias("status"),
     )
     status = (
-        F.when(~F.col("has_key"), "missing")
-        .when(F.col("client_id").isNull(), "unknown")
+        F.when(F.col("client_id").isNull(), "unknown")
         .when(F.col(at) > F.col("expires_at"), "expired")
         .otherwise("ok")
     )
-    return hashed.join(owners, "key_sha256", "left").select(
-        *kept, "client_id", status.alias("status")
-    )
+    found = hashed.join(owners, "key_sha256", "left").select(*kept, "client_id", status.alias("status"))
+    return found.unionByName(keyless)

@@ -71,7 +71,8 @@ class Filters:
         if self.country is not None:
             if ignore_case:
                 country = F.lower(F.coalesce("country", F.lit("")))
-                tests.append(country == F.lit(self.country.lower()))
+                # Both sides by the same function: its lower case need not be Python's.
+                tests.append(country == F.lower(F.lit(self.country)))
             else:
                 tests.append(F.col("country") == F.lit(self.country))
         return reduce(and_, tests, F.lit(True))

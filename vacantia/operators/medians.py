@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVEL_BITS = 21  # one window sees at most 2**21 distinct prefixes of a group
-LEVELS = 3  # covers every non-negative value below 2**63
+LEVEL_BITS = 22  # one window sees at most 2**22 distinct prefixes of a group
+LEVELS = 3  # covers every non-negative value below 2**66
 
 
 def _narrow(candidates: DataFrame) -> DataFrame:
@@ -25,7 +25,9 @@ def _narrow(candidates: DataFrame) -> DataFrame:
 def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``keys``, ``median`` (double) and ``n`` (rows) per group of ``rows``.
 
-    ``value`` is a non-negative BIGINT without NULLs. Equal values are counted
+    ``value`` is a non-negative whole number below 2**66, of an integer type or a
+    decimal without fraction. NULL values are ignored, as SQL's median does; a group
+    without any other value is not returned. Equal values are counted
     first, combined on the map side and shuffled by group and value, so a group
     with a third of all rows spreads over all tasks. The counts are summed over
     two coarser prefixes of the value; walking down from the coarsest prefix, each
@@ -34,9 +36,16 @@ def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     # A struct is never NULL itself, so NULL groups join by plain equality; with the
     # bucket not nullable either, no join adds a filter and all levels read one shuffle.
     group = F.struct(*keys).alias("group")
-    bucket = F.coalesce(F.col(value), F.lit(0)).alias("bucket")
-    counted = rows.select(group, bucket).groupBy("group", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    prefix = F.shiftright("bucket", LEVEL_BITS)
+    number = F.col(value).cast("decimal(20,0)")
+    bucket = F.coalesce(number, F.lit(0).cast("decimal(20,0)")).alias("bucket")
+    counted = (
+        rows.where(F.col(value).isNotNull())
+        .select(group, bucket)
+        .groupBy("group", "bucket")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    zero = F.lit(0).cast("decimal(20,0)")
+    prefix = F.coalesce(F.floor(F.col("bucket") / F.lit(1 << LEVEL_BITS)).cast("decimal(20,0)"), zero)
     levels = [counted]
     while len(levels) < LEVELS:
         levels.append(levels[-1].groupBy("group", prefix.alias("bucket")).agg(F.sum("n").alias("n")))
@@ -55,7 +64,7 @@ def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
         found = _narrow(finer.join(wanted, match))
     return (
         found.groupBy("group")
-        .agg(F.avg("bucket").alias("median"), F.first("total").alias("n"))
+        .agg(F.avg("bucket").cast("double").alias("median"), F.first("total").alias("n"))
         .select("group.*", "median", "n")
     )
 

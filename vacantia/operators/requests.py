@@ -41,9 +41,11 @@ def search_request_fault(required: tuple[str, ...] = REQUIRED_FILTERS) -> Column
     """First broken rule of a row with ``filters`` map, ``sort`` and ``limit``, or NULL.
 
     Order: limit too large, unknown filter, missing required filter, then value
-    ranges, sort and a limit below one. A filter with a NULL value is not active.
+    ranges, sort and a limit below one. A filter with a NULL value is not active, and
+    a NULL map has no filters.
     """
-    filters = F.map_filter(F.col("filters"), lambda _, value: value.isNotNull())
+    given = F.coalesce(F.col("filters"), F.create_map().cast("map<string,string>"))
+    filters = F.map_filter(given, lambda _, value: value.isNotNull())
     active = F.map_keys(filters)
     unknown = F.array_min(F.array_except(active, _names(FILTER_NAMES)))
     missing = F.array_min(F.array_except(_names(required), active))

@@ -1,117 +1,97 @@
 """Answer a whole table of saved searches in one job, without pairing them with rows.
 
-Every filter is turned into equality on *cells*. A posting lies in the cell of
-its seniority, country, experience and salary; "any seniority" and "any country"
-are cells of their own. Experience limits are at most ``MAX_EXPERIENCE_YEARS``,
-so a search simply lists the years it accepts. A lower salary bound is a prefix
-of the descending salary axis, and a prefix of any length is the union of at
-most one block per binary digit of that length (block ``b`` of level ``l``
-covers the positions ``b * 2**l`` up to ``(b + 1) * 2**l``).
-
-Row counts first rule out the postings that can be on no first page. The others
-are cut to the best ``MAX_LIMIT`` per cell within each task before any shuffle,
-crowded cells are spread over several tasks, and every coarser cell is cut again;
-searches meet these short lists by equi-join. The result is exact: the best rows
-of a union are among the best rows of its parts.
+Every filter is turned into equality on *cells*. A posting lies in the cell of its
+seniority, country, experience and salary; "any" of each is a cell of its own. A bound on
+experience or salary is a prefix of an axis of fixed length (years upwards, salaries
+downwards), and a prefix of any length is the union of at most one block per binary digit
+of that length (block ``b`` of level ``l`` covers the positions ``b * 2**l`` up to
+``(b + 1) * 2**l``). What a bound can never accept (no salary or a negative one, no
+experience or more than any limit) lies in the cells of "any" only. The axes do not depend
+on the searches, so any number of distinct bounds is answered in the same way.
+
+Postings are widened only into cells that some search asks for, one filter after the
+other. Row counts first rule out the postings that can be on no first page; of the rest
+every cell keeps the best ``MAX_LIMIT``, cut within each task before the shuffle, and
+searches meet these short lists by equi-join. The result is exact: the best rows of a
+union are among the best rows of its parts.
+
+Searches must be valid requests. A limit, experience or salary outside the contract stops
+the job: cells could not answer it rightly.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacantia.functions.columns import own_shuffle
 from vacantia.operators.ordering import ORDERINGS
-from vacantia.schema import DEFAULT_SORT, MAX_EXPERIENCE_YEARS, MAX_LIMIT, MAX_SALARY_FILTER
-from vacantia.sources.workspace import stage
+from vacantia.schema import MAX_EXPERIENCE_YEARS, MAX_LIMIT, MAX_SALARY_FILTER, SORTS
 
 SHAPE = ["seniority", "experience_max", "salary_min", "country", "sort"]
-CELL = ["seniority", "country", "years", "level", "block"]
-BEYOND_YEARS = MAX_EXPERIENCE_YEARS + 1
-UNKNOWN_YEARS = MAX_EXPERIENCE_YEARS + 2
-VALUE_AXIS_BITS = MAX_SALARY_FILTER.bit_length()
-COARSE_BITS = 9  # at most 512 stretches of the salary axis are told apart when rows are ruled out
-CELL_SPREAD = 32  # tasks that share one crowded cell while it is first cut
+AREA = ["seniority", "country"]
+PERIOD = [*AREA, "year_level", "year_block"]
+CELL = [*PERIOD, "salary_level", "salary_block"]
+ANY = -1
+YEAR_BITS = (MAX_EXPERIENCE_YEARS + 1).bit_length()
+SALARY_BITS = (MAX_SALARY_FILTER + 1).bit_length()
+BEYOND_YEARS, UNKNOWN_YEARS = MAX_EXPERIENCE_YEARS + 1, MAX_EXPERIENCE_YEARS + 2
+STRETCHES = 2847  # of the salary axis, told apart when rows are ruled out; the last has no salary
 
 
-class _SalaryAxis:
-    """Positions of salaries on the descending axis, and the prefix a bound selects.
+def _in_contract(searches: DataFrame) -> DataFrame:
+    """The searches; one that is no valid request stops the job."""
 
-    With few distinct bounds the axis has one step per bound; with more it has
-    one step per salary up to the largest bound a request may ask for. Rows
-    without an upper salary come last and only belong to the full prefix.
-    """
+    def fine(name: str, low: int, high: int) -> Column:
+        stop = F.raise_error(f"{name} of a saved search is not in {low}..{high}").cast("boolean")
+        return F.when(F.col(name).between(low, high), True).otherwise(stop)
 
-    def __init__(self, searches: DataFrame, max_steps: int):
-        bounds = (
-            searches.select("salary_min").dropna().distinct().limit(max_steps + 1).collect()
-        )
-        self.bounds = sorted(row["salary_min"] for row in bounds) if len(bounds) <= max_steps else None
-        self.steps = 1 << VALUE_AXIS_BITS if self.bounds is None else len(self.bounds) + 1
-        self.bits = (self.steps + 1).bit_length()
-
-    def _step(self, df: DataFrame, column: str) -> DataFrame:
-        """``step`` counts from the lowest salary upwards."""
-        if self.bounds is None:
-            return df.withColumn("step", F.least(F.col(column), F.lit(self.steps - 1)).cast("bigint"))
-        if not self.bounds:
-            return df.withColumn("step", F.lit(0).cast("bigint"))
-        inf = float("inf")
-        bucketizer = Bucketizer(
-            splits=[-inf, *[float(b) for b in self.bounds], inf],
-            inputCol="step_value",
-            outputCol="step_bucket",
-        )
-        valued = df.withColumn("step_value", F.coalesce(F.col(column), F.lit(-1)).cast("double"))
-        return (
-            bucketizer.transform(valued)
-            .withColumn("step", F.col("step_bucket").cast("bigint"))
-            .drop("step_value", "step_bucket")
-        )
+    bounds = F.when(F.col("experience_max").isNotNull(), fine("experience_max", 0, MAX_EXPERIENCE_YEARS)).otherwise(True)
+    bounds &= F.when(F.col("salary_min").isNotNull(), fine("salary_min", 0, MAX_SALARY_FILTER)).otherwise(True)
+    # Never NULL, or the planner might drop a NULL limit before it is refused.
+    limited = searches.withColumn("limit", F.coalesce("limit", F.lit(0)))
+    return limited.where(fine("limit", 1, MAX_LIMIT) & bounds)
 
-    def place(self, postings: DataFrame) -> DataFrame:
-        position = F.lit(self.steps - 1) - F.col("step")
-        missing = F.col("salary_max").isNull()
-        return (
-            self._step(postings, "salary_max")
-            .withColumn("position", F.when(missing, F.lit(self.steps)).otherwise(position))
-            .drop("step")
-        )
 
-    def prefix(self, searches: DataFrame) -> DataFrame:
-        bounded = F.lit(self.steps) - F.col("step")
-        everything = F.col("salary_min").isNull()
-        return (
-            self._step(searches, "salary_min")
-            .withColumn("prefix", F.when(everything, F.lit(self.steps + 1)).otherwise(bounded))
-            .drop("step")
-        )
+def _blocks(level: Column, position: Column) -> Column:
+    return F.struct(level.alias("level"), F.call_function("shiftright", position, level).cast("bigint").alias("block"))
 
 
-def _by_level(df: DataFrame, bits: int) -> DataFrame:
-    """Every row once per level; plain expressions stay in generated code."""
-    return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("level"))
+def _prefix_cells(length: Column, bits: int) -> Column:
+    """Blocks that make up a prefix of the axis, one per set bit; all of it is "any"."""
+    levels = F.sequence(F.lit(0), F.lit(bits - 1))
+    used = F.filter(levels, lambda level: F.call_function("shiftright", length, level) % 2 == 1)
+    blocks = F.transform(used, lambda level: _blocks(level, length))
+    starts = F.transform(blocks, lambda b: F.struct(b["level"].alias("level"), (b["block"] - 1).alias("block")))
+    return F.when(length.isNull(), _any_cell()).otherwise(starts)
 
 
-def _blocks_around(df: DataFrame, position: str, bits: int) -> DataFrame:
-    """Blocks around a position; prefixes only ever use even ones."""
-    block = F.expr(f"shiftright({position}, level)")
-    return _by_level(df, bits).withColumn("block", block).where("block % 2 = 0")
+def _position_cells(position: Column, bits: int) -> Column:
+    """Cells around a position; prefixes only ever use even blocks."""
+    around = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda level: _blocks(level, position))
+    even = F.filter(around, lambda b: b["block"] % 2 == 0)
+    return F.concat(_any_cell(), F.when(position.isNotNull(), even).otherwise(F.slice(_any_cell(), 2, 0)))
 
 
-def _blocks_of_prefix(df: DataFrame, length: str, bits: int) -> DataFrame:
-    """The blocks that make up a prefix: one per set bit of its length."""
-    bit = F.expr(f"shiftright({length}, level)")
-    leveled = _by_level(df, bits).withColumn("bit", bit).where("bit % 2 = 1")
-    return leveled.withColumn("block", F.col("bit") - 1).drop("bit")
+def _any_cell() -> Column:
+    return F.array(F.struct(F.lit(ANY).alias("level"), F.lit(0).cast("bigint").alias("block")))
 
 
-def _searches_in_cells(shapes: DataFrame, axis: _SalaryAxis) -> DataFrame:
+def _in_cells(df: DataFrame, cells: Column, name: str) -> DataFrame:
+    """Every row once per cell of one axis."""
+    wide = df.select("*", F.explode(cells).alias("cell"))
+    return wide.withColumns({f"{name}_level": F.col("cell.level"), f"{name}_block": F.col("cell.block")}).drop("cell")
+
+
+def _searches_in_cells(shapes: DataFrame) -> DataFrame:
     """One row per cell that a search shape accepts."""
-    last = F.coalesce("experience_max", F.lit(UNKNOWN_YEARS))
-    years = F.explode(F.sequence(F.lit(0), last)).alias("years")
-    in_years = axis.prefix(shapes).select("*", years)
-    return _blocks_of_prefix(in_years, "prefix", axis.bits).select("shape_id", *CELL, "sort", "limit")
+    years = F.col("experience_max").cast("bigint") + 1
+    salaries = F.lit(MAX_SALARY_FILTER + 1).cast("bigint") - F.col("salary_min")
+    in_years = _in_cells(shapes, _prefix_cells(years, YEAR_BITS), "year")
+    in_both = _in_cells(in_years, _prefix_cells(salaries, SALARY_BITS), "salary")
+    return in_both.select("shape_id", *CELL, "sort", "limit")
 
 
 def _also_any(df: DataFrame, column: str) -> DataFrame:
@@ -125,19 +105,44 @@ def _also_any(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _cells(postings: DataFrame, axis: _SalaryAxis) -> DataFrame:
-    years = F.col("years_exp")
-    clamped = F.greatest(F.lit(0), F.least(years, F.lit(BEYOND_YEARS)))
-    placed = axis.place(postings)
-    return placed.withColumn(
-        "years", F.when(years.isNull(), F.lit(UNKNOWN_YEARS)).otherwise(clamped)
+def _placed(postings: DataFrame) -> DataFrame:
+    """``years`` as searches tell them apart, and the positions on both axes, if any."""
+    years, salary = F.col("years_exp"), F.col("salary_max")
+    told = F.when(years.isNull(), UNKNOWN_YEARS).otherwise(F.greatest(F.lit(0), F.least(years, F.lit(BEYOND_YEARS))))
+    placed = postings.withColumn("years", told.cast("int"))
+    return placed.withColumns(
+        {
+            "year_position": F.when(F.col("years") <= MAX_EXPERIENCE_YEARS, F.col("years").cast("bigint")),
+            "salary_position": F.when(
+                salary >= 0, F.lit(MAX_SALARY_FILTER).cast("bigint") - F.least(salary, F.lit(MAX_SALARY_FILTER))
+            ),
+        }
     )
 
 
-def _widen(cells: DataFrame, axis: _SalaryAxis, carried: list[str]) -> DataFrame:
-    """Repeat every row in each coarser cell that contains its cell."""
-    wide = _also_any(_also_any(cells, "seniority"), "country")
-    return _blocks_around(wide, "position", axis.bits).select(*CELL, *carried)
+def _meet(wanted: DataFrame, cells: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on cell columns; NULL meets NULL as "any"."""
+    wanted = wanted.select(*[F.col(name).alias(f"of_{name}") for name in wanted.columns])
+    match = F.lit(True)
+    for name in names:
+        a, b = F.col(name), F.col(f"of_{name}")
+        match = match & (a.eqNullSafe(b) if name in AREA else a == b)
+    return cells.join(wanted, match, how)
+
+
+def _asked(cells: DataFrame, wanted: DataFrame, names: list[str]) -> DataFrame:
+    """The rows whose cell, as far as ``names`` go, some search asks for."""
+    return _meet(wanted.select(*names).distinct(), cells, names, "left_semi")
+
+
+def _in_periods(placed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows in each asked seniority, country and stretch of years that holds them."""
+    areas = _asked(_also_any(_also_any(placed, "seniority"), "country"), wanted, AREA)
+    return _asked(_in_cells(areas, _position_cells(F.col("year_position"), YEAR_BITS), "year"), wanted, PERIOD)
+
+
+def _in_salaries(periods: DataFrame, wanted: DataFrame) -> DataFrame:
+    return _asked(_in_cells(periods, _position_cells(F.col("salary_position"), SALARY_BITS), "salary"), wanted, CELL)
 
 
 def _best(rows: DataFrame, group: list[str], limit: int = MAX_LIMIT) -> DataFrame:
@@ -146,17 +151,6 @@ def _best(rows: DataFrame, group: list[str], limit: int = MAX_LIMIT) -> DataFram
     return rows.withColumn("place", place).where(F.col("place") <= limit)
 
 
-def _meet(wanted: DataFrame, cells: DataFrame, *also: str) -> DataFrame:
-    """Equi-join of search cells with posting cells; NULL meets NULL as "any"."""
-    wanted = wanted.select(*[F.col(name).alias(f"of_{name}") for name in wanted.columns])
-    match = F.lit(True)
-    for name in ("years", "level", "block", *also):
-        match = match & (F.col(name) == F.col(f"of_{name}"))
-    for name in ("seniority", "country"):
-        match = match & F.col(name).eqNullSafe(F.col(f"of_{name}"))
-    return cells.join(wanted, match)
-
-
 def _coarse(number: Column) -> Column:
     """A coarse size of a whole number that never changes its order; only 0 gives 0.
 
@@ -178,7 +172,13 @@ def _hint() -> Column:
     return key * F.lit(1 << 21) + F.when(tied, _coarse(F.col("job_id"))).otherwise(F.lit(0))
 
 
-def _promising(placed: DataFrame, axis: _SalaryAxis) -> DataFrame:
+def _in_level(df: DataFrame, bits: int, block: Callable[[Column], Column], parity: int) -> DataFrame:
+    """Every row once per level, with the level's block where that has the parity."""
+    wide = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("level"))
+    return wide.withColumn("block", block(F.col("level"))).where(F.pmod("block", F.lit(2)) == parity)
+
+
+def _promising(placed: DataFrame) -> DataFrame:
     """Leave out rows that ``MAX_LIMIT`` other rows beat in every search.
 
     A search that accepts a row accepts all rows before it on the salary axis in
@@ -186,19 +186,17 @@ def _promising(placed: DataFrame, axis: _SalaryAxis) -> DataFrame:
     every stretch of the axis, a hint below which ``MAX_LIMIT`` rows lie; a row
     with a larger hint than a stretch before it cannot reach any first page.
     """
-    shift = max(0, axis.bits - COARSE_BITS)
-    bits = axis.bits - shift
+    bits = STRETCHES.bit_length()
     cell = F.struct("seniority", "country", "years", "sort")
-    hinted = placed.withColumns(
-        {"cell": cell, "stretch": F.shiftright("position", shift), "hint": _hint()}
-    )
-    # Written, because both readers below would otherwise scan the postings again.
-    counts = stage(
-        hinted.groupBy("cell", "stretch", "hint").agg(F.count(F.lit(1)).alias("n")), "counts"
-    )
+    # Rows that no bound accepts come last: what accepts them accepts all.
+    last = F.lit(STRETCHES - 1).cast("bigint")
+    salary = F.lit(MAX_SALARY_FILTER).cast("bigint") - F.col("salary_position")
+    stretch = F.coalesce(last - 1 - _coarse(salary), last)
+    hinted = placed.withColumns({"cell": cell, "stretch": stretch, "hint": _hint()})
+    counts = hinted.groupBy("cell", "stretch", "hint").agg(F.count(F.lit(1)).alias("n"))
     upward = Window.partitionBy("cell", "level", "block").orderBy("hint")
     cutoffs = (
-        _blocks_around(counts, "stretch", bits)
+        _in_level(counts, bits, lambda level: F.call_function("shiftright", F.col("stretch"), level), 0)
         .groupBy("cell", "level", "block", "hint")
         .agg(F.sum("n").alias("n"))
         .withColumn("running", F.sum("n").over(upward))
@@ -206,88 +204,77 @@ def _promising(placed: DataFrame, axis: _SalaryAxis) -> DataFrame:
         .groupBy("cell", "level", "block")
         .agg(F.min("hint").alias("cutoff"))
     )
-    # Rows of one exact position are accepted together; of a coarser stretch they are not.
-    before = F.col("stretch") + F.lit(0 if shift else 1)
-    stretches = counts.select("cell", "stretch").distinct().withColumn("before", before)
+    # Only whole stretches before a row's own are sure to be accepted with it.
+    stretches = counts.select("cell", "stretch").distinct()
     limits = (
-        _blocks_of_prefix(stretches, "before", bits)
+        _in_level(stretches, bits, lambda level: F.call_function("shiftright", F.col("stretch"), level) - 1, 0)
         .join(cutoffs, ["cell", "level", "block"])
         .groupBy("cell", "stretch")
         .agg(F.min("cutoff").alias("cutoff"))
     )
-    # Written, so that the planner knows its size before it chooses the join.
-    limits = stage(limits, "cutoffs")
+    limits = limits.select("cell", own_shuffle(F.col("stretch").cast("string")).alias("stretch_key"), "cutoff")
+    hinted = hinted.withColumn("stretch_key", F.col("stretch").cast("string"))
     kept = F.col("cutoff").isNull() | (F.col("hint") <= F.col("cutoff"))
-    return hinted.join(limits, ["cell", "stretch"], "left").where(kept).select(*placed.columns)
+    return hinted.join(limits, ["cell", "stretch_key"], "left").where(kept).select(*placed.columns)
 
 
 def _shapes(searches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Searches with their shape, and each distinct shape with its largest limit."""
     shape_id = F.sha2(F.to_json(F.struct(*SHAPE)), 256)
-    labelled = searches.withColumn("shape_id", shape_id)
+    labelled = _in_contract(searches).withColumn("shape_id", shape_id)
     shapes = labelled.groupBy("shape_id", *SHAPE).agg(F.max("limit").alias("limit"))
     return labelled, shapes
 
 
-def saved_search_totals(searches: DataFrame, silver: DataFrame, max_steps: int = 4096) -> DataFrame:
+def saved_search_totals(searches: DataFrame, silver: DataFrame) -> DataFrame:
     """``request_id, total`` for every search, zero included."""
-    axis = _SalaryAxis(searches, max_steps)
     labelled, shapes = _shapes(searches)
+    wanted = _searches_in_cells(shapes)
+    n = F.sum("n").alias("n")
     finest = (
-        _cells(silver.select("seniority", "country", "years_exp", "salary_max"), axis)
-        .groupBy("seniority", "country", "years", "position")
+        _placed(silver.select("seniority", "country", "years_exp", "salary_max"))
+        .groupBy(*AREA, "year_position", "salary_position")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    counts = _widen(finest, axis, ["n"]).groupBy(*CELL).agg(F.sum("n").alias("n"))
-    wanted = _searches_in_cells(shapes, axis)
+    periods = _in_periods(finest, wanted).groupBy(*PERIOD, "salary_position").agg(n)
+    counts = _in_salaries(periods, wanted).groupBy(*CELL).agg(n)
     totals = (
-        _meet(wanted, counts)
+        _meet(wanted, counts, CELL)
         .groupBy(F.col("of_shape_id").alias("shape_id"))
         .agg(F.sum("n").alias("total"))
+        .select(own_shuffle("shape_id").alias("shape_id"), "total")
     )
-    # Written, so that the join can split a search that very many requests share.
-    totals = stage(totals, "totals")
     return labelled.join(totals, "shape_id", "left").select(
         "request_id", F.coalesce("total", F.lit(0)).cast("bigint").alias("total")
     )
 
 
-def saved_search_hits(searches: DataFrame, silver: DataFrame, max_steps: int = 4096) -> DataFrame:
+def saved_search_hits(searches: DataFrame, silver: DataFrame) -> DataFrame:
     """``request_id, pos, job_id``: the first page of every search.
 
     ``searches`` holds valid requests: ``request_id``, one typed column per
     filter, ``sort`` and ``limit``.
     """
-    axis = _SalaryAxis(searches, max_steps)
     labelled, shapes = _shapes(searches)
-    asked = sorted(row["sort"] for row in searches.select("sort").distinct().collect())
-    sorts = asked or [DEFAULT_SORT]
+    wanted = _searches_in_cells(shapes)
     keys = F.inline(
         F.array(
-            *[
-                F.struct(F.lit(name).alias("sort"), ORDERINGS[name].key().alias("sort_key"))
-                for name in sorts
-            ]
+            *[F.struct(F.lit(name).alias("sort"), ORDERINGS[name].key().alias("sort_key")) for name in SORTS]
         )
     )
-    placed = _cells(
-        silver.select("job_id", "seniority", "country", "years_exp", "salary_min", "salary_max"), axis
-    ).select("job_id", "seniority", "country", "years", "position", keys)
-    placed = _promising(placed, axis)
-    spread = F.pmod(F.xxhash64("job_id"), F.lit(CELL_SPREAD))
-    finest = _best(
-        placed.withColumn("spread", spread),
-        ["seniority", "country", "years", "position", "sort", "spread"],
-    )
-    lists = _best(_widen(finest, axis, ["job_id", "sort", "sort_key"]), [*CELL, "sort"])
-    wanted = _searches_in_cells(shapes, axis)
+    columns = silver.select("job_id", "seniority", "country", "years_exp", "salary_min", "salary_max")
+    placed = _placed(columns).select("job_id", *AREA, "years", "year_position", "salary_position", keys)
+    promising = _promising(placed)
+    widened = _in_salaries(_in_periods(promising, wanted), wanted).select(*CELL, "job_id", "sort", "sort_key")
+    lists = _best(widened, [*CELL, "sort"])
     met = (
-        _meet(wanted, lists, "sort")
+        _meet(wanted, lists, [*CELL, "sort"])
         .where(F.col("place") <= F.col("of_limit"))
         .select(F.col("of_shape_id").alias("shape_id"), "job_id", "sort_key")
     )
-    hits = _best(met, ["shape_id"]).select("shape_id", F.col("place").alias("pos"), "job_id")
-    hits = stage(hits, "hits")
+    hits = _best(met, ["shape_id"]).select(
+        own_shuffle("shape_id").alias("shape_id"), F.col("place").alias("pos"), "job_id"
+    )
     return (
         labelled.join(hits, "shape_id")
         .where(F.col("pos") <= F.col("limit"))

@@ -126,7 +126,7 @@ def _chain(quota: Quota) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 def _decide(quota: Quota) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def decide(chunk: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        columns = ["client", "us", "tie", "admitted", "level"]
+        columns = ["client", "us", "tie", "admitted", "late", "level"]
         if chunk.empty:
             return pd.DataFrame(columns=columns)
         chunk = chunk.sort_values("part_row")
@@ -136,7 +136,8 @@ def _decide(quota: Quota) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame
             since = chunk["clock"].to_numpy()[:1] - entry["entry_us"].to_numpy()[:1]
             gains[0] = quota.refills(since)[0]
         admitted, left = spend(levels.tolist(), gains.tolist(), quota)
-        return chunk.assign(admitted=admitted, level=left)[columns]
+        late = chunk["us"].to_numpy() < chunk["clock"].to_numpy()
+        return chunk.assign(admitted=admitted, late=late, level=left)[columns]
 
     return decide
 
@@ -151,12 +152,15 @@ def admit_requests(
     start: DataFrame | None = None,
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
-    """``client, tie, ts, admitted, tokens_left, level`` for every request of a known client.
+    """``client, tie, ts, admitted, late, tokens_left, level`` for every request.
+
+    A request without a client is no client's to pay for: its decision, ``late``,
+    ``tokens_left`` and ``level`` are NULL.
 
     Requests of one client are taken in the order of ``at``, then ``tie``, which
     is unique. Buckets start full, or from ``start`` (``client, start_level,
     start_us``) where it has the client. A request earlier than its client's
-    starting time neither refills the bucket nor turns the clock back.
+    starting time is ``late``: it neither refills the bucket nor turns the clock back.
     """
     staged = _sorted_log(log, client, at, tie, start, rows_per_chunk)
     key = staged.schema["client"].dataType
@@ -180,6 +184,7 @@ def admit_requests(
             T.StructField("us", T.LongType()),
             T.StructField("tie", staged.schema["tie"].dataType),
             T.StructField("admitted", T.BooleanType()),
+            T.StructField("late", T.BooleanType()),
             T.StructField("level", T.LongType()),
         ]
     )
@@ -189,16 +194,20 @@ def admit_requests(
         .groupBy("client")
         .applyInPandas(_chain(quota), _ENTRIES)
     )
-    return (
-        staged.groupBy(*_CHUNK)
-        .cogroup(entries.groupBy(*_CHUNK))
-        .applyInPandas(_decide(quota), decisions)
-        .select(
-            F.col("client").alias(client),
-            F.col("tie").alias(tie),
-            F.timestamp_micros("us").alias(at),
-            "admitted",
-            (F.col("level") / F.lit(float(quota.per_us))).alias("tokens_left"),
-            "level",
-        )
+    decided = (
+        staged.groupBy(*_CHUNK).cogroup(entries.groupBy(*_CHUNK)).applyInPandas(_decide(quota), decisions)
+    )
+    nothing = {name: F.lit(None).cast("boolean") for name in ("admitted", "late")}
+    nothing["level"] = F.lit(None).cast("bigint")
+    nobody = log.where(F.col(client).isNull()).select(
+        F.col(client).alias("client"), utc_micros(at).alias("us"), F.col(tie).alias("tie")
+    )
+    return decided.unionByName(nobody.withColumns(nothing)).select(
+        F.col("client").alias(client),
+        F.col("tie").alias(tie),
+        F.timestamp_micros("us").alias(at),
+        "admitted",
+        "late",
+        (F.col("level") / F.lit(float(quota.per_us))).alias("tokens_left"),
+        "level",
     )

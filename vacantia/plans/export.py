@@ -37,10 +37,9 @@ def numbered_result(
     offsets = staged.sparkSession.createDataFrame(
         [(part, start) for (part, _), start in zip(sizes, starts)], "part bigint, start bigint"
     )
-    # One small row per partition: the broadcast cannot outgrow the partition count.
     rank = F.col("start") + F.col("part_row") + 1
     return (
-        staged.join(F.broadcast(offsets), "part")
+        staged.join(offsets, "part")
         .withColumn("rank", rank)
         .withColumn("page_no", F.floor((F.col("rank") - 1) / page_size) + 1)
         .select(*POSTING_COLUMNS, "rank", "page_no")

@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.functions.columns import salary_sum
 from vacantia.operators.medians import exact_median
 from vacantia.schema import DIMENSIONS, METRIC_COLUMNS
 
@@ -15,7 +16,7 @@ def priced_by_dimension(silver: DataFrame, dimensions: tuple[str, ...] = DIMENSI
     """One row per posting with both salaries and dimension: the doubled midpoint.
 
     The sum of the two salaries stands in for their midpoint, which keeps the
-    values integer until the end.
+    values whole until the end.
     """
     pairs = F.inline(
         F.array(
@@ -29,7 +30,7 @@ def priced_by_dimension(silver: DataFrame, dimensions: tuple[str, ...] = DIMENSI
         )
     )
     return silver.dropna(subset=["salary_min", "salary_max"]).select(
-        pairs, (F.col("salary_min") + F.col("salary_max")).alias("salary_sum")
+        pairs, salary_sum().alias("salary_sum")
     )
 
 

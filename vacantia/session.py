@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", app: str = "vacantia", memory: str = "8g") -> SparkSession:
-    """A local session for tests and benchmarks; clusters bring their own."""
+def local_session(
+    cores: int | str = "*", app: str = "vacantia", memory: str = "8g", working: str | None = None
+) -> SparkSession:
+    """A local session for tests and benchmarks; clusters bring their own.
+
+    ``working`` is the folder for working tables.
+    """
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -15,6 +20,7 @@ def local_session(cores: int | str = "*", app: str = "vacantia", memory: str = "
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config(map={"spark.checkpoint.dir": working} if working else {})
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -51,7 +51,9 @@ def untidy_posts(spark: SparkSession, folder: str) -> DataFrame:
     low = F.col("minimumsalary")
     return posts(spark, folder).withColumns(
         {
-            "minimumsalary": F.when(key % 6 == 0, F.concat(F.lit("  "), low, F.lit(" ")))
+            "minimumsalary": F.when(key % 23 == 0, F.lit("9223372036854775807"))
+            .when(key % 29 == 0, F.lit("9223372036854775808"))
+            .when(key % 6 == 0, F.concat(F.lit("  "), low, F.lit(" ")))
             .when(key % 6 == 1, F.concat(low, F.lit(".5")))
             .when(key % 6 == 2, F.concat(F.lit("-"), low))
             .when(key % 6 == 3, F.lit(""))
@@ -100,9 +102,10 @@ def doubtful_searches(spark: SparkSession, folder: str) -> DataFrame:
         "country": F.when(key % 8 == 0, F.repeat("c_name", 6)).when(key % 8 < 4, F.col("c_name")),
         "city": F.when(key % 10 == 0, F.col("c_mktsegment")),
     }
+    filters = F.create_map(*[c for name, v in values.items() for c in (F.lit(name), v)])
     return read_table(spark, folder, "customer").select(
         key.alias("request_id"),
-        F.create_map(*[c for name, v in values.items() for c in (F.lit(name), v)]).alias("filters"),
+        F.when(key % 7 != 0, filters).alias("filters"),
         F.when(key % 6 == 0, "newest").otherwise("experience_asc").alias("sort"),
         (key % 120).cast("int").alias("limit"),
     )
@@ -119,6 +122,27 @@ def market_requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def priced_searches(spark: SparkSession, folder: str) -> DataFrame:
+    """One search per order, with a bound of its own; valid requests in typed columns."""
+    key = F.col("o_orderkey")
+    level = F.element_at(F.array(*map(F.lit, ("junior", "mid", "senior"))), (key % 4).cast("int"))
+    return read_table(spark, folder, "orders").select(
+        key.alias("request_id"),
+        F.when(key % 4 != 0, level).alias("seniority"),
+        F.when(key % 3 == 0, (key % 7).cast("int")).alias("experience_max"),
+        F.floor(F.col("o_totalprice") / 3).cast("bigint").alias("salary_min"),
+        F.lit(None).cast("string").alias("country"),
+        F.when(key % 2 == 0, "salary_max_desc").otherwise("salary_min_asc").alias("sort"),
+        (key % 5 + 1).cast("int").alias("limit"),
+    )
+
+
+def events_by_client(spark: SparkSession, folder: str) -> DataFrame:
+    """The request log of the limiter; some requests name no client."""
+    user = F.when(F.col("event_id") % 19 != 0, F.col("user_id")).alias("user_id")
+    return read_table(spark, folder, "events").select("event_id", user, "ts")
+
+
 def request_log(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "events").select(
         "event_id",

@@ -1,13 +1,30 @@
-"""Full-refresh sinks."""
+"""Full-refresh sinks: one write into a new version, then one row that publishes it.
+
+A table is a folder with ``versions/<name>`` and ``published``, a log of small files with
+one row per refresh. A reader takes the version that was published last. A refresh that
+fails on the way leaves a version that nobody reads; the table is as it was. Superseded
+versions stay for readers that began earlier and are the owner's to remove.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from vacantia.errors import ContractError
-from vacantia.operators.contract import check_columns, split_checked, with_violations
+from vacantia.operators.contract import check_columns, with_violations
 from vacantia.schema import METRIC_COLUMNS, POSTING_COLUMNS
-from vacantia.sources.workspace import stage
+from vacantia.sources.tables import current_version, version_path
+
+_LOG = "version string, rows bigint, at_ns bigint"
+
+
+def _publish(spark: SparkSession, path: str, version: str, rows: int) -> None:
+    entry = spark.createDataFrame([(version, rows, time.time_ns())], _LOG)
+    entry.coalesce(1).write.mode("append").parquet(f"{path}/published")
 
 
 def replace_table(
@@ -16,16 +33,16 @@ def replace_table(
     columns: list[str],
     partition_by: str | None = None,
 ) -> int:
-    """Replace the table at ``path`` and return the number of rows written.
-
-    The count comes from the footers of the files just written.
-    """
+    """Replace the table at ``path`` and return the number of rows written."""
     check_columns(df.columns, columns)
-    writer = df.select(*columns).write.mode("overwrite")
+    version, counted = uuid.uuid4().hex, Observation()
+    writer = df.select(*columns).observe(counted, F.count(F.lit(1)).alias("rows")).write
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.parquet(path).count()
+    writer.parquet(version_path(path, version))
+    rows = counted.get["rows"]
+    _publish(df.sparkSession, path, version, rows)
+    return rows
 
 
 def write_postings(
@@ -33,34 +50,45 @@ def write_postings(
     path: str,
     *,
     on_bad: str = "raise",
-    quarantine_path: str | None = None,
     cluster_by: tuple[str, ...] = (),
 ) -> int:
-    """Replace the silver table.
+    """Replace the silver table in one write and return its number of rows.
 
-    The joined rows are computed once, into working storage, together with their
-    violations. With ``on_bad="raise"`` a bad row stops the load while the old
-    table is still there; ``"quarantine"`` writes bad rows to ``quarantine_path``.
-    ``cluster_by`` range-partitions the files on those columns and the key, which
-    lets searches skip files by their statistics.
+    Rows that break the contract are counted by the write itself and lie in a folder of
+    their own within the version (``read_rejected``). With ``on_bad="raise"`` such a
+    version is not published; with ``"quarantine"`` it is, without these rows.
+    ``cluster_by`` range-partitions the files on those columns and the key, which lets
+    searches skip files by their statistics.
     """
     if on_bad not in ("raise", "quarantine"):
         raise ValueError(f"on_bad must be raise or quarantine, not {on_bad}")
-    if on_bad == "quarantine" and quarantine_path is None:
-        raise ValueError("quarantine needs a path")
     check_columns(silver.columns, POSTING_COLUMNS)
-    checked = stage(with_violations(silver), "silver")
-    accepted, rejected = split_checked(checked)
-    if on_bad == "raise":
-        first = rejected.select("job_id", "violations").take(1)
-        if first:
-            raise ContractError(f"posting {first[0]['job_id']} breaks {first[0]['violations']}")
-    else:
-        rejected.write.mode("overwrite").parquet(quarantine_path)
+    version, counted = uuid.uuid4().hex, Observation()
+    broken = F.size("violations") > 0
+    checked = with_violations(silver)
     if cluster_by:
         order = [*cluster_by, "job_id"]
-        accepted = accepted.repartitionByRange(*order).sortWithinPartitions(*order)
-    return replace_table(accepted, path, POSTING_COLUMNS)
+        checked = checked.repartitionByRange(*order).sortWithinPartitions(*order)
+    checked = checked.observe(
+        counted,
+        F.count_if(~broken).alias("rows"),
+        F.count_if(broken).alias("broken"),
+        F.min(F.when(broken, F.struct("job_id", "violations"))).alias("first"),
+    )
+    writer = checked.withColumn("rejected", broken).write.partitionBy("rejected")
+    writer.parquet(version_path(path, version))
+    found = counted.get
+    if found["broken"] and on_bad == "raise":
+        first = found["first"]
+        raise ContractError(f"posting {first['job_id']} breaks {first['violations']}")
+    _publish(silver.sparkSession, path, version, found["rows"])
+    return found["rows"]
+
+
+def read_rejected(spark: SparkSession, path: str) -> DataFrame:
+    """Rows that the current version of a silver table left out, with their ``violations``."""
+    rows = spark.read.parquet(version_path(path, current_version(spark, path)))
+    return rows.where(F.col("rejected").cast("boolean")).drop("rejected")
 
 
 def write_metrics(gold: DataFrame, path: str) -> int:

@@ -1,10 +1,15 @@
-"""Working storage that every executor can reach."""
+"""Working storage that every executor can reach.
+
+Working tables lie in the folder named by ``spark.checkpoint.dir`` or, where that is not
+set, in ``_working`` beside the session's warehouse tables; both are shared by all
+executors. They are needed until the results built on them are written, and belong to
+whoever owns the folder: a cluster's own clean-up, or ``remove_working_tables`` at the
+end of an application.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,21 +18,17 @@ _PART_SHIFT = 33  # monotonically_increasing_id keeps the row number in the low
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Only a single-machine session may fall back to a temporary folder of its own.
-    """
+    """The application's folder for working tables."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return _local_folder(spark.sparkContext.applicationId)
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_working"
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-@cache
-def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"vacantia-{application}-")
+def remove_working_tables(spark: SparkSession) -> None:
+    """Remove what this application has written to its working folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -1,98 +1,90 @@
-"""Token-bucket admission on a stream; bucket levels live in the state store."""
+"""Token-bucket admission on a stream, by the batch operator.
 
-from __future__ import annotations
+Every micro-batch is decided like a log of its own that starts from the levels the
+batches before it left, so a client with most of a batch is cut into chunks as there. The
+levels after each batch are a table in shared storage, one folder per batch. A batch that
+is run again after a failure reads the same levels and writes the same folders anew.
+"""
 
-from collections.abc import Callable, Iterator
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from vacantia.functions.columns import utc_micros
-from vacantia.operators.bucket_levels import Quota, spend
-
-_STATE = "level bigint, last_us bigint"
-
-
-def _decide(quota: Quota) -> Callable:
-    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["us", "tie"])
-        us = rows["us"].to_numpy()
-        level, last = state.get if state.exists else (quota.full, int(us[0]))
-        late = us < last
-        # A late request neither refills the bucket nor turns the clock back.
-        clock = np.maximum(us, last)
-        gains = quota.refills(np.diff(clock, prepend=last))
-        admitted, left = spend([level] + [-1] * (len(us) - 1), gains.tolist(), quota)
-        state.update((int(left[-1]), int(clock[-1])))
-        yield pd.DataFrame(
-            {
-                "client": key[0],
-                "us": us,
-                "tie": rows["tie"].to_numpy(),
-                "admitted": admitted,
-                "late": late,
-                "level": left,
-            }
-        )
 
-    return decide
+from vacantia.operators.bucket_levels import Quota
+from vacantia.operators.token_bucket import ROWS_PER_CHUNK, admit_requests
+
+DAY_US = 86_400_000_000
+
+
+def _levels_path(path: str, batch: int) -> str:
+    return f"{path}/levels/{batch}"
+
+
+def _next_levels(decided: DataFrame, before: DataFrame | None, quota: Quota, client: str, at: str, tie: str, keep_us: int) -> DataFrame:
+    """Level and time of every client; a bucket that has long been full needs none."""
+    newest = F.unix_micros(at)
+    now = (
+        decided.where(F.col(client).isNotNull())
+        .groupBy(client)
+        .agg(F.max_by("level", F.struct(newest, tie)).alias("start_level"), F.max(newest).alias("start_us"))
+    )
+    if before is not None:
+        old = before.select(client, F.col("start_level").alias("old_level"), F.col("start_us").alias("old_us"))
+        now = now.join(old, client, "full").select(
+            client,
+            F.coalesce("start_level", "old_level").alias("start_level"),
+            F.greatest("start_us", "old_us").alias("start_us"),
+        )
+    clock = decided.agg(F.max(newest)).first()[0]
+    if clock is None:
+        return now
+    idle = F.lit(clock) - F.col("start_us")
+    refill = F.least(idle, F.lit(quota.full // quota.tokens + 1)) * quota.tokens
+    return now.where((F.col("start_level") + refill < quota.full) | (idle < keep_us))
 
 
-def admit_stream(
+def start_admission(
     log: DataFrame,
     quota: Quota,
+    path: str,
+    checkpoint: str,
     *,
     client: str = "client_id",
     at: str = "ts",
     tie: str = "event_id",
-) -> DataFrame:
-    """Streaming form of the batch operator, with a ``late`` flag.
+    keep_us: int = DAY_US,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
+) -> StreamingQuery:
+    """Decide the streamed ``log`` into ``path`` until the available input is used up.
 
-    Within a micro-batch requests are taken in time order. A request older than
-    one already decided for its client counts as no time elapsed and is flagged.
-    The source's trigger limit bounds what one client can bring per micro-batch.
+    Started again with the same checkpoint it goes on where it stopped. Within a
+    micro-batch requests are taken in time order. A request older than one already
+    decided for its client is ``late``; levels of full buckets are forgotten once they
+    are ``keep_us`` behind the newest request, and nothing is late against them.
     """
-    events = log.select(
-        F.col(client).alias("client"), utc_micros(at).alias("us"), F.col(tie).alias("tie")
-    ).dropna(subset=["client"])
-    output = T.StructType(
-        [
-            events.schema["client"],
-            T.StructField("us", T.LongType()),
-            events.schema["tie"],
-            T.StructField("admitted", T.BooleanType()),
-            T.StructField("late", T.BooleanType()),
-            T.StructField("level", T.LongType()),
-        ]
-    )
-    decided = events.groupBy("client").applyInPandasWithState(
-        _decide(quota), output, _STATE, "append", GroupStateTimeout.NoTimeout
-    )
-    return decided.select(
-        F.col("client").alias(client),
-        F.col("tie").alias(tie),
-        F.timestamp_micros("us").alias(at),
-        "admitted",
-        "late",
-        (F.col("level") / F.lit(float(quota.per_us))).alias("tokens_left"),
-    )
-
 
-def start_admission(decisions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append decisions to ``path`` until the available input is used up.
+    def decide(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(_levels_path(path, number - 1)) if number else None
+        decided = admit_requests(
+            batch, quota, client=client, at=at, tie=tie, start=before, rows_per_chunk=rows_per_chunk
+        )
+        target = f"{path}/decisions/batch={number}"
+        decided.write.mode("overwrite").parquet(target)
+        written = spark.read.schema(decided.schema).parquet(target)
+        levels = _next_levels(written, before, quota, client, at, tie, keep_us)
+        levels.write.mode("overwrite").parquet(_levels_path(path, number))
 
-    Started again with the same checkpoint it goes on where it stopped.
-    """
     return (
-        decisions.writeStream.format("parquet")
-        .option("path", path)
+        log.writeStream.foreachBatch(decide)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_decisions(spark: SparkSession, path: str) -> DataFrame:
+    """All decisions so far, with the number of their ``batch``."""
+    return spark.read.parquet(f"{path}/decisions")
