@@ -235,7 +235,9 @@ def _contract(spark: SparkSession, folder: str) -> DataFrame:
 def _untidy_numbers(spark: SparkSession, folder: str) -> DataFrame:
     pin_session(spark)
     silver = build_silver(samples.untidy_posts(spark, folder), samples.companies(spark, folder))
-    return silver.select("job_id", "years_exp", "seniority", "salary_min", "salary_max")
+    # As text: frames of other libraries would round numbers of 19 digits beside NULL.
+    low, high = (F.col(name).cast("string").alias(name) for name in ("salary_min", "salary_max"))
+    return silver.select("job_id", "years_exp", "seniority", low, high)
 
 
 def _page(sort: str = "salary_max_desc", ignore_case: bool = False, **filters) -> Query:
@@ -408,7 +410,8 @@ REGISTERED: dict[str, tuple[Query, str]] = {
     "silver_build": (_silver, f"{SILVER_SQL} SELECT * FROM silver"),
     "silver_untidy_numbers": (
         _untidy_numbers,
-        f"{UNTIDY_SQL} SELECT job_id, years_exp, seniority, salary_min, salary_max FROM silver",
+        f"""{UNTIDY_SQL} SELECT job_id, years_exp, seniority, CAST(salary_min AS VARCHAR) AS salary_min,
+  CAST(salary_max AS VARCHAR) AS salary_max FROM silver""",
     ),
     "representative_salary": (
         _midpoints,
