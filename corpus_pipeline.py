@@ -16,15 +16,16 @@ from vacantia.llm.exact_dedup import DigestIndex, text_digest
 from vacantia.llm.line_crf import fit_line_field, quality_score
 from vacantia.llm.ngram_join import near_duplicates
 from vacantia.llm.packing import pack_documents
+from vacantia.llm.session import Scratch, corpus_session
 from vacantia.llm.substring_dedup import remove_repeats
-from vacantia.session import pin_session
-from vacantia.sources.workspace import new_path
+from vacantia.sources.workspace import new_path, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_QUALITY = 0.3
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    corpus_session(spark)
     field = fit_line_field(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = docs.select(*COLUMNS, quality_score(field, F.col("text")).alias("score of quality"))
     return scored.where(F.col("score of quality") >= LEAST_QUALITY).select(*COLUMNS)
@@ -32,28 +33,40 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that repeat id and text are one document, of which one row stays."""
+    corpus_session(spark)
     index = DigestIndex(spark, new_path(spark, "digests"))
     index.add(docs)
-    kept = index.resolve(docs).where("kept").select(F.col("doc_id").alias("kept id"), F.col("digest").alias("kept digest"))
+    kept = index.resolve(docs).where("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
+    kept = stage(kept.select(F.col("doc_id").alias("kept id"), F.col("digest").alias("kept digest"), "copies"), "kept")
     rows = docs.select(*COLUMNS, text_digest("text").alias("digest"))
     same = F.col("doc_id").eqNullSafe(F.col("kept id")) & (F.col("digest") == F.col("kept digest"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "digest"]).select(*COLUMNS)
+    once, more = kept.where("copies = 1"), kept.where("copies > 1")
+    result = rows.join(once, same, "left_semi")
+    if not more.isEmpty():  # texts are only moved again where rows repeat
+        repeated = rows.join(more, same, "left_semi")
+        result = result.unionByName(repeated.dropDuplicates(["doc_id", "digest"]))
+    return result.select(*COLUMNS)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each component stays; rows without an id too."""
-    parts = near_duplicates(docs.select("doc_id", "text"))
-    gone = parts.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    corpus_session(spark)
+    scratch = Scratch(spark)
+    parts = near_duplicates(docs.select("doc_id", "text"), scratch=scratch)
+    gone = stage(parts.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
+    scratch.clear()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    corpus_session(spark)
     cut = remove_repeats(docs, carry=("lang", "source"))
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences with their ids."""
+    corpus_session(spark)
     return pack_documents(docs.select("doc_id", "text"), "byte_bpe_50k")
 
 
@@ -70,10 +83,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pin_session(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, step in STAGES:
         path = new_path(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

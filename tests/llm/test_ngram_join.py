@@ -105,7 +105,7 @@ def test_sketches_never_rule_out_a_link():
     texts = [edited(rng, base[: rng.randint(900, 1300)], rng.randint(0, 60)) for _ in range(60)]
     hashes, text, n = _ordered_sets(text_bytes(pa.array(texts)), 4, np.zeros(module.BUCKETS, np.uint8))
     sketches = _sketches(hashes, text, n)
-    members = [{"id": i, "n": int(n[i]), "sketch": sketches[i]} for i in range(len(texts))]
+    members = [{"id": i, "n": int(n[i]), "pos": 0, "sketch": sketches[i]} for i in range(len(texts))]
     possible = {(a, b) for _, a, b in possible_pairs(members, None, 85)}
     across = {(a, b) for _, a, b in possible_pairs(members[:30], members[30:], 85)}
     sets = [shingles(t) for t in texts]

@@ -7,9 +7,9 @@ order of all shingles; the order here puts shingles of frequent hash buckets las
 
 1. Classes with the same size and prefix are collapsed into one group. Groups meet by
    the shingles of their prefixes; shingles that one class alone has are dropped.
-2. What shares a shingle is expanded to its members and cut into blocks. Pairs of blocks
-   are filtered by size and by parity sketches, whose Hamming distance never exceeds the
-   symmetric difference of the sets. Of what remains, each pair of blocks hands on a
+2. What shares a shingle is expanded to its members and cut into blocks. Pairs are
+   filtered by size, by the places of the shingle and by parity sketches, whose Hamming
+   distance never exceeds the symmetric difference of the sets. Of what remains, each pair of blocks hands on a
    spanning forest, the most similar pairs first, since more links inside a component
    would not change it.
 3. Members are verified on their exact sets of shingles. Where a handed-on pair is no
@@ -29,20 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.llm.components import connected_components
 from vacantia.llm.hashing import U, Words, mix, slices, text_bytes
-from vacantia.sources.workspace import stage
+from vacantia.llm.session import Scratch
 
 SHINGLE, PERCENT = 4, 85
 #: Frequencies only order the shingles, so they are counted in a fixed number of hash
 #: buckets, and only buckets that stand out in some task are known to the others.
 BUCKETS, STANDS_OUT, KNOWN_BUCKETS = 1 << 22, 8, 200_000
 BLOCK = 256
-#: Bits of the set of ids whose shingles are read again; 4 MB whatever the data.
-ID_BITS = 1 << 25
+#: Bits of a set of hashed values that all tasks know; 4 MB whatever the data.
+BITS = 1 << 25
 
 
 def _shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,27 +152,95 @@ def _profiles(docs: DataFrame, size: int, percent: int, classes: np.ndarray) ->
     return docs.select("id", "text").mapInArrow(profile, _PROFILE)
 
 
-def _lists(profiles: DataFrame) -> DataFrame:
+def _bit_array(values: DataFrame, column: str) -> np.ndarray:
+    """A set of hashed values as bits; it has one size, so it may say yes too often."""
+    bit = F.pmod(F.xxhash64(column), F.lit(BITS))
+    words = values.select((bit / 32).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1), (bit % 32).cast("int")).alias("mask"))
+    rows = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # BITS / 32 rows at most
+    table = np.zeros(BITS // 32, np.int32)
+    table[rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
+    return table
+
+
+def _is_set(table: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (table[bit >> 5].view(np.uint32) >> (bit & 31).astype(np.uint32)) & np.uint32(1) == 1
+
+
+def _could_link(a: Column, b: Column, percent: int) -> Column:
+    """Size and position filter: the common shingle taken as the first one of both."""
+    larger, smaller = F.greatest(a["n"], b["n"]), F.least(a["n"], b["n"])
+    rest = F.least(a["n"] - a["pos"], b["n"] - b["pos"])
+    return (smaller * 100 >= larger * percent) & (rest * (100 + percent) >= (a["n"] + b["n"]) * percent)
+
+
+def _lists(leaders: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """``shingle, blocks, block, members``: who shares a prefix shingle, in blocks.
 
-    ``profiles`` has one row per class. The number of blocks follows the number of
-    members, so that blocks stay near ``BLOCK`` members however long a list is.
+    ``leaders`` has a row per class. The number of blocks follows the number of members,
+    so that blocks stay near ``BLOCK`` members however long a list is.
     """
-    grouped = profiles.withColumn("group", F.xxhash64("n", "prefix"))
-    members = grouped.select("group", "id", "n", "sketch")
-    groups = grouped.groupBy("group", "n").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("leader"))
-    leaders = grouped.select("group", F.col("id").alias("leader"), "prefix").join(
-        groups.select("group", "leader", "size"), ["group", "leader"]
+    key = F.xxhash64("n", "prefix").alias("key")
+    members = leaders.select(key, "id", "n")
+    # Grouped by the prefix itself; the hash only names the group when it is expanded.
+    groups = leaders.groupBy("n", "prefix").agg(F.count(F.lit(1)).alias("size"))
+    uses = (
+        groups.select("size", F.explode("prefix").alias("shingle"))
+        .groupBy("shingle")
+        .agg(F.sum("size").alias("uses"))
+        .where(F.col("uses") > 1)
     )
-    shared = leaders.select("group", "size", F.explode("prefix").alias("shingle"))
-    uses = shared.groupBy("shingle").agg(F.sum("size").alias("uses")).where(F.col("uses") > 1)
-    lists = shared.select("group", "shingle").join(uses, "shingle").join(members, "group")
-    blocks = F.ceil(F.col("uses") / BLOCK).cast("int")
-    return (
-        lists.withColumn("blocks", blocks)
+    uses = scratch.stage(uses, "uses")
+    shared = leaders.sparkSession.sparkContext.broadcast(_bit_array(uses, "shingle"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix, bits = batch.column("prefix"), batch.column("bits")
+            counts = np.diff(prefix.offsets.to_numpy())
+            at = np.arange(int(counts.sum()))
+            pos = at - np.repeat(np.cumsum(counts) - counts, counts)
+            row = np.repeat(np.arange(len(batch)), counts)
+            kept = _is_set(shared.value, bits.flatten().to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [prefix.flatten().filter(pa.array(kept)), batch.column("key").take(pa.array(row[kept])), pa.array(pos[kept].astype(np.int32))],
+                names=["shingle", "key", "pos"],
+            )
+
+    bits = F.transform("prefix", lambda x: F.pmod(F.xxhash64(x), F.lit(BITS))).alias("bits")
+    rows = groups.select(key, "prefix", bits).mapInArrow(spread, "shingle bigint, key bigint, pos int")
+    lists = (
+        rows.join(uses, "shingle")
+        .join(members, "key")
+        .withColumn("blocks", F.ceil(F.col("uses") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
         .groupBy("shingle", "blocks", "block")
-        .agg(F.collect_list(F.struct("id", "n", "sketch")).alias("members"))
+        .agg(F.collect_list(F.struct("id", "n", "pos")).alias("members"))
+    )
+
+    def with_partner(m: Column) -> Column:
+        return F.exists("members", lambda o: (o["id"] != m["id"]) & _could_link(m, o, percent))
+
+    small = (F.col("blocks") == 1) & (F.size("members") <= 16)
+    large = lists.where(~small).select("shingle", "blocks", "block", F.explode("members").alias("m"))
+    # Near copies share many shingles; one list stands for all short ones of the same members.
+    chosen = F.array_sort(F.transform(F.filter("members", with_partner), lambda m: F.struct(m["id"], m["n"])))
+    short = (
+        lists.where(small)
+        .select("shingle", chosen.alias("members"))
+        .where(F.size("members") > 1)
+        .groupBy("members")
+        .agg(F.min("shingle").alias("shingle"))
+        .select("shingle", F.lit(1).alias("blocks"), F.lit(0).alias("block"), F.explode("members").alias("m"))
+        .select("shingle", "blocks", "block", "m.id", "m.n", F.lit(0).alias("pos"))
+    )
+    return large.select("shingle", "blocks", "block", "m.id", "m.n", "m.pos").unionByName(short)
+
+
+def _with_sketches(narrow: DataFrame, leaders: DataFrame) -> DataFrame:
+    """The lists again, their members with sketches."""
+    return (
+        narrow.join(leaders.select("id", "n", "sketch"), ["id", "n"])
+        .groupBy("shingle", "blocks", "block")
+        .agg(F.collect_list(F.struct("id", "n", "pos", "sketch")).alias("members"))
     )
 
 
@@ -195,13 +263,17 @@ def _folded(sketch: np.ndarray, bits: int) -> np.ndarray:
 
 
 def possible_pairs(left: list[dict], right: list[dict] | None, percent: int) -> list[tuple[float, int, int]]:
-    """``(distance, a, b)`` of the pairs that size and sketches allow, the closest first.
+    """``(distance, a, b)`` of the pairs that the filters allow, the closest first.
+
+    ``pos`` is the place of the list's shingle in a member's order; a pair is judged in
+    the list of its first common shingle, so no more than what follows can be common.
 
     The distance is the Hamming distance as a share of what is allowed.
     """
     members = left + (right or [])
     ids = np.array([m["id"] for m in members], np.int64)
     n = np.array([m["n"] for m in members], np.int64)
+    rest = n - np.array([m["pos"] for m in members], np.int64)
     side = np.array([0] * len(left) + [1] * len(right or []))
     bits = sketch_bits(n)
     sketches = [np.frombuffer(m["sketch"], np.uint64) for m in members]
@@ -218,6 +290,7 @@ def possible_pairs(left: list[dict], right: list[dict] | None, percent: int) ->
             # Pairs of one sketch size are met from both ends; keep one.
             keep = (bits[others] > size) | (ids[others] > ids[i])
             keep &= 100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])
+            keep &= (100 + percent) * np.minimum(rest[others], rest[i]) >= percent * (n[others] + n[i])
             others, rows = others[keep], rows[keep]
             if not len(others):
                 continue
@@ -296,25 +369,20 @@ def _sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     A bit array of fixed size says which ids may be wanted, so that no text is shuffled.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bit = F.pmod(F.xxhash64("id"), F.lit(ID_BITS))
-    words = wanted.select((bit / 32).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1), (bit % 32).cast("int")).alias("mask"))
-    rows = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # ID_BITS / 32 rows at most
-    table = np.zeros(ID_BITS // 32, np.int32)
-    table[rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_array(wanted, "id"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("bit").to_numpy()
-            asked = (shared.value[at >> 5].view(np.uint32) >> (at & 31).astype(np.uint32)) & np.uint32(1)
-            batch = batch.filter(pa.array(asked.astype(bool)))
+            batch = batch.filter(pa.array(_is_set(shared.value, batch.column("bit").to_numpy())))
             for part in slices(batch, "text"):
                 hashes, _, n = _ordered_sets(text_bytes(part.column("text")), size, None)
                 cuts = np.concatenate(([0], np.cumsum(n)))
                 data = [hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(data, pa.binary())], names=["id", "shingles"])
 
-    return docs.select("id", "text", bit.alias("bit")).mapInArrow(read, "id bigint, shingles binary")
+    bit = F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("bit")
+    known = docs.where(F.col("id").isNotNull())
+    return known.select("id", "text", bit).mapInArrow(read, "id bigint, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -345,22 +413,25 @@ def near_duplicates(
     text: str = "text",
     shingle: int = SHINGLE,
     percent: int = PERCENT,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Per row: the id, ``n_shingles`` and ``component_id``, the least id reachable by links.
 
     ``percent`` is at least 60, so that linked sets have sketches of neighbouring sizes.
-    Intermediate tables are written to the session's shared folder.
+    Intermediate tables are written to the session's shared folder and dropped, but for
+    those that the result reads; they go to ``scratch``, if the caller has one.
     """
     if not 60 <= percent <= 100:
         raise ValueError("percent must be between 60 and 100")
+    needed, own = scratch or Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    stage = own.stage
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    profiles = stage(_profiles(rows, shingle, percent, _frequent_buckets(rows, shingle)), "profiles")
+    profiles = needed.stage(_profiles(rows, shingle, percent, _frequent_buckets(rows, shingle)), "profiles")
     digest = ["n", "one", "two"]
     some = profiles.where(F.col("id").isNotNull() & (F.col("n") > 0))
     classes = some.groupBy(*digest).agg(F.min("id").alias("id"))
-    # The rows of one id and set are one; several sets of one id stay apart.
-    leaders = some.join(classes, [*digest, "id"], "left_semi").dropDuplicates([*digest, "id"])
-    lists = stage(_lists(leaders), "shared-shingles")
+    leaders = some.join(classes, [*digest, "id"], "left_semi")
+    lists = stage(_with_sketches(_lists(leaders, percent, own), leaders), "shared-shingles")
 
     forests = stage(_forests(_block_pairs(lists), percent), "forests")
     tested = forests.select("a", "b").distinct()
@@ -370,14 +441,14 @@ def near_duplicates(
     failed = forests.where(~F.col("complete")).join(first.where(~F.col("linked")), ["a", "b"], "left_semi")
     again = stage(failed.select("shingle", "x", "y").distinct(), "open-blocks")
     if not again.isEmpty():
-        parts = stage(connected_components(links), "components")
+        found = stage(connected_components(links), "components")
         open_pairs = stage(_block_pairs(lists).join(again, ["shingle", "x", "y"], "left_semi"), "open-block-pairs")
         named = (
             open_pairs.select(
                 "shingle", "x", "y",
                 F.explode(F.concat("left.id", F.coalesce("right.id", F.array().cast("array<bigint>")))).alias("node"),
             )
-            .join(parts, "node")
+            .join(found, "node")
             .groupBy("shingle", "x", "y")
             .agg(F.collect_set(F.struct(F.col("node").alias("id"), "component")).alias("components"))
         )
@@ -388,12 +459,13 @@ def near_duplicates(
 
     # Sets of one id, and ids of one set, belong together.
     same = some.join(classes.withColumnRenamed("id", "leader"), digest).select("id", "leader").distinct()
-    own = same.groupBy("id").agg(F.min("leader").alias("first"))
-    bridges = same.join(own, "id").where(F.col("leader") != F.col("first")).select(
+    firsts = same.groupBy("id").agg(F.min("leader").alias("first"))
+    bridges = same.join(firsts, "id").where(F.col("leader") != F.col("first")).select(
         F.col("leader").alias("a"), F.col("first").alias("b")
     )
-    parts = stage(connected_components(links.unionByName(bridges)), "components")
-    labelled = own.join(parts.withColumnRenamed("node", "first"), "first", "left").select(
+    parts = needed.stage(connected_components(links.unionByName(bridges)), "components")
+    own.clear()
+    labelled = firsts.join(parts.withColumnRenamed("node", "first"), "first", "left").select(
         "id", F.coalesce("component", "first").alias("component_id")
     )
     return profiles.select("id", "n").join(labelled, "id", "left").select(

@@ -13,11 +13,11 @@ from vacantia.llm.line_crf import fit_line_field, score_quality
 from vacantia.llm.ngram_join import near_duplicates
 from vacantia.llm.packing import pack_documents
 from vacantia.llm.sentencepiece_viterbi import decode_ids, encode_texts
+from vacantia.llm.session import corpus_session
 from vacantia.llm.substring_dedup import remove_repeats
 from vacantia.llm.topk_search import top_k
 from vacantia.llm.toxicity import fit_toxicity, score_toxicity
 from vacantia.llm.url_filter import Rule, filter_urls, host_of, path_of
-from vacantia.session import pin_session
 from vacantia.sources.workspace import new_path
 
 URL_RULES = [
@@ -30,7 +30,7 @@ URL_RULES = [
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    pin_session(spark)
+    corpus_session(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

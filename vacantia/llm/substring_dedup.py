@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.llm.hashing import U, Words, mix, slices, text_bytes
-from vacantia.sources.workspace import stage
+from vacantia.llm.session import Scratch
 
 WINDOW, KMER = 35, 8
 _NO_ID = -(1 << 63)
@@ -241,7 +241,8 @@ def remove_repeats(
     """Per row: the id, ``n_words, n_removed, kept, kept_sha256`` and the columns ``carry``.
 
     ``kept`` is the text that stays, its words joined by one space; without ``keep_text``
-    it is null. Intermediate tables go to the session's shared folder.
+    it is null. Intermediate tables go to the session's shared folder and are dropped, but
+    for those that the result reads.
     """
     rest = F.struct(F.lit(0).alias("none"), *[F.col(name).alias(f"carried_{i}") for i, name in enumerate(carry)])
     rows = docs.select(
@@ -250,7 +251,8 @@ def remove_repeats(
         F.coalesce(F.col(text), F.lit("")).alias("text"),
         rest.alias("rest"),
     )
-    anchors = stage(_anchors(rows, window, kmer), "anchors")
+    needed, own = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    anchors = own.stage(_anchors(rows, window, kmer), "anchors")
     counts = anchors.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("uses"), F.min("path").alias("low"), F.max("path").alias("high")
     )
@@ -262,16 +264,15 @@ def remove_repeats(
         .agg(F.collect_set(F.struct("begin", "count", "sure")).alias("runs"))
     )
     marked = rows.join(runs, _KEY, "left")
-    judged = stage(_judge(marked, window, keep_text), "judged")
+    judged = needed.stage(_judge(marked, window, keep_text), "judged")
     done, left = judged.where(F.col("n_words").isNotNull()), judged.where(F.col("n_words").isNull())
 
-    single = stage(_single_windows(left, window), "doubtful-windows")
+    own.clear()
+    single = own.stage(_single_windows(left, window), "doubtful-windows")
     twice = single.groupBy("one", "two").count().where(F.col("count") > 1).select("one", "two")
-    found = (
-        single.join(twice, ["one", "two"], "left_semi")
-        .groupBy(*_KEY)
-        .agg(F.collect_set("begin").alias("repeated"))
-    )
+    found = single.join(twice, ["one", "two"], "left_semi").groupBy(*_KEY)
+    found = needed.stage(found.agg(F.collect_set("begin").alias("repeated")), "repeated-windows")
+    own.clear()
     result = done.unionByName(_finish(left.join(found, _KEY, "left"), window, keep_text))
     key = F.when(F.col("id") != _NO_ID, F.col("id"))
     carried = [F.col(f"rest.carried_{i}").alias(name) for i, name in enumerate(carry)]
