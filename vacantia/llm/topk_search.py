@@ -16,7 +16,7 @@ the smaller id, and a query may have to skip itself).
 
 Rules: vectors that are null, empty, or hold null or non-finite components take no part,
 nor do vectors with a component whose whole number exceeds ``2**26`` in size or with more
-than 1024 components, whose scores a long could not hold. Vectors of different length
+than 2047 components, whose scores a long could not hold. Vectors of different length
 have no score. Rows without an id take no part; of rows that repeat an id the one with
 the greatest whole vector takes part.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from vacantia.sources.workspace import stage
 
-MAX_WHOLE, MAX_DIMS = 1 << 26, 1024
+MAX_WHOLE, MAX_DIMS = 1 << 26, 2047
 #: Vectors of one block; a pair of blocks needs one product of this size squared.
 QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
 
@@ -142,7 +142,7 @@ _CELLS = pa.schema(
 
 
 def _ranges(classes: DataFrame, cells: int) -> DataFrame:
-    """``dims, least, width`` of the cells; one row per vector length, 1024 at most."""
+    """``dims, least, width`` of the cells; one row per vector length, 2047 at most."""
     parts = classes.select(F.size("v").alias("dims"), F.posexplode("v").alias("i", "x"))
     spread = parts.groupBy("dims", "i").agg(F.min("x").alias("least"), F.max("x").alias("most"))
     width = F.greatest((F.col("most") - F.col("least") + 1) / F.lit(float(cells)), F.lit(1e-3))
