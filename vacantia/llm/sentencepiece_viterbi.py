@@ -19,6 +19,7 @@ ranks; the best sum under them need not be the segmentation that merging gives.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-_REMEMBERED, _LONGEST = 400_000, 100
+_REMEMBERED, _LONGEST = 800_000, 100
 _TEXT_AT_ONCE = 1_000_000
 
 
@@ -52,6 +53,9 @@ class Vocabulary:
                 self.known[piece] = (i, processor.get_score(i))
                 lowest = min(lowest, processor.get_score(i))
         self.of_byte = {i: b for b, i in self.bytes.items()}
+        #: What an id stands for by itself; bytes from 128 on only do so with others.
+        self.text_of = [chr(self.of_byte[i]) if i in self.of_byte else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
+        self.part_of_char = np.array([self.of_byte.get(i, 0) >= 128 for i in range(len(self.pieces))])
         self.spelled = lowest - 10.0
         self.longest = max(map(len, self.known), default=1)
         #: Every beginning of a piece: the piece itself, or True for a beginning only.
@@ -127,42 +131,49 @@ def committed_ids(vocabulary: Vocabulary, text: str) -> Iterator[list[int]]:
 
 
 class Encoder(dict):
-    """Ids of stretches whose ends all paths share."""
+    """Ids of stretches whose ends all paths share, as bytes; remembered per worker."""
+
+    @staticmethod
+    @cache
+    def shared(model: str) -> Encoder:
+        return Encoder(Vocabulary.shared(model))
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
         self.stretch = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
-    def __missing__(self, stretch: str) -> list[int]:
-        ids = list(chain.from_iterable(committed_ids(self.vocabulary, stretch)))
+    def __missing__(self, stretch: str) -> bytes:
+        ids = array("I", chain.from_iterable(committed_ids(self.vocabulary, stretch))).tobytes()
         if len(stretch) <= _LONGEST:
             if len(self) >= _REMEMBERED:
                 self.clear()
             self[stretch] = ids
         return ids
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str) -> bytes:
         if not text:
-            return np.zeros(0, np.uint32)
+            return b""
         # A meta symbol of the text itself has no piece, so every path is cut around it.
         plain = text.split(SPACE)
         marked = [(SPACE if i == 0 else "") + part.replace(" ", SPACE) for i, part in enumerate(plain)]
-        parts: list[list[int]] = []
+        parts: list[bytes] = []
         for i, part in enumerate(marked):
             if i:
-                parts.append(self.vocabulary.spell(SPACE))
+                parts.append(array("I", self.vocabulary.spell(SPACE)).tobytes())
             if self.vocabulary.words_end_paths:
                 parts.extend(map(self.__getitem__, self.stretch.findall(part)))
             else:
-                parts.extend(committed_ids(self.vocabulary, part))
-        return np.fromiter(chain.from_iterable(parts), np.uint32)
+                parts.extend(array("I", ids).tobytes() for ids in committed_ids(self.vocabulary, part))
+        return b"".join(parts)
 
 
 def decode(vocabulary: Vocabulary, ids: np.ndarray) -> str:
     """The text of whole ids; byte pieces are taken as they are, not as white space."""
     if not len(ids):
         return ""
+    if not vocabulary.part_of_char[ids].any():
+        return "".join(map(vocabulary.text_of.__getitem__, ids.tolist()))[1:]
     parts, spelled = [], bytearray()
     for i in ids.tolist():
         byte = vocabulary.of_byte.get(i)
@@ -172,7 +183,7 @@ def decode(vocabulary: Vocabulary, ids: np.ndarray) -> str:
         if spelled:
             parts.append(spelled.decode(errors="replace"))
             spelled.clear()
-        parts.append(vocabulary.pieces[i].replace(SPACE, " "))
+        parts.append(vocabulary.text_of[i])
     parts.append(spelled.decode(errors="replace"))
     return "".join(parts)[1:]
 
@@ -181,7 +192,7 @@ def encode_texts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     """``id, ids`` of every row; ``ids`` is a binary of 32-bit numbers."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary.shared(model))
+        encoder = Encoder.shared(model)
         for batch in batches:
             keys, texts = batch.column("id"), batch.column("text").to_pylist()
             at = 0
@@ -190,7 +201,7 @@ def encode_texts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
                 rows = []
                 while end < len(texts) and (end == at or held + len(texts[end]) <= _TEXT_AT_ONCE):
                     held += len(texts[end])
-                    rows.append(encoder.encode(texts[end]).tobytes())
+                    rows.append(encoder.encode(texts[end]))
                     end += 1
                 yield pa.RecordBatch.from_arrays([keys.slice(at, end - at), pa.array(rows, pa.binary())], names=["id", "ids"])
                 at = end
