@@ -22,6 +22,8 @@ from vacantia.sources.workspace import new_path, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_QUALITY = 0.3
+#: Near copies of this stage; ``op10_ngram_join`` has a contract of its own.
+SHINGLE, PERCENT = 5, 80
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """The document with the least id of each component stays; rows without an id too."""
     corpus_session(spark)
     scratch = Scratch(spark)
-    parts = near_duplicates(docs.select("doc_id", "text"), scratch=scratch)
+    parts = near_duplicates(docs.select("doc_id", "text"), shingle=SHINGLE, percent=PERCENT, scratch=scratch)
     gone = stage(parts.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
     scratch.clear()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)

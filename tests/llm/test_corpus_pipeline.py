@@ -88,3 +88,36 @@ def test_empty_documents(spark, folder, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{path}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def five_word_jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark):
+    rng = random.Random(21)
+    texts = {}
+    for group in range(12):
+        base = [f"g{group}w{rng.randint(0, 10**6)}" for _ in range(200)]
+        texts[10 * group] = " ".join(base)
+        for copy, changes in enumerate((1, 4, 5, 8), 1):
+            words = list(base)
+            for k in range(changes):
+                words[20 + 20 * k] = f"c{copy}x{k}g{group}"
+            texts[10 * group + copy] = " ".join(words)
+    assert 0.8 <= five_word_jaccard(texts[0], texts[2]) < 0.85  # 176 / 216; on four words 181 / 213, below 85 %
+    parent = {i: i for i in texts}
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    for i in texts:
+        for j in texts:
+            if i < j and five_word_jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], SCHEMA)
+    kept = {r.doc_id for r in corpus_pipeline.ngram_jaccard_join(spark, docs, "").collect()}
+    assert kept == {i for i in texts if root(i) == i}
+    assert 0 in kept and 2 not in kept
