@@ -1,6 +1,9 @@
 import math
 import random
+from collections import Counter
 
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from vacantia.llm.topk_search import top_k
@@ -55,3 +58,53 @@ def test_fewer_rows_than_k_and_empty_table(spark):
     rows = [(0, [1.0]), (1, [2.0])]
     assert found(spark, rows, 10) == {(0, 1, 1, 1024 * 2048)}
     assert found(spark, [], 10) == set()
+
+
+def brute_every_row(rows, k, scale=1024):
+    usable = [
+        (i, [math.floor(scale * x) for x in v])
+        for i, v in rows
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    out = Counter()
+    for q in {i for i, _ in usable if i % 10 == 0}:
+        scores = [
+            (-sum(x * y for x, y in zip(a, b)), i)
+            for own, a in usable
+            if own == q
+            for i, b in usable
+            if i != q and len(a) == len(b)
+        ]
+        out.update((q, rank, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:k], 1))
+    return out
+
+
+def found_every_row(spark, rows, k):
+    vectors = spark.createDataFrame([(*row, "x", 1) for row in rows], SCHEMA)
+    return Counter(tuple(row) for row in top_k(vectors, F.col("vec_id") % 10 == 0, k, every_row=True).collect())
+
+
+def test_wide_vectors_and_large_components_take_part(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3072)]) for i in range(25)]
+    rows += [(i, [rng.gauss(0, 1) for _ in range(2048)]) for i in range(30, 45)]
+    rows += [(100 + i, [rng.choice((7e4, -2e5, 1e6, 0.25)), rng.gauss(0, 1), rng.gauss(0, 1e5)]) for i in range(60)]
+    # Products that a long cannot hold, with a sum that it can.
+    rows += [(200, [4e6, 4e6, 1.0, 1.0]), (201, [4e6, -4e6, 2.0, 1.0]), (202, [-4e6, 4e6, 1.0, 3.0])]
+    wanted = brute_every_row(rows, 4)
+    assert len(wanted) == 46 and found_every_row(spark, rows, 4) == wanted
+    assert found(spark, rows[:40], 4) == {tuple(row) for row in brute_every_row(rows[:40], 4)}
+
+
+def test_rows_that_repeat_an_id_are_all_candidates(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice((0, 1, 2, 10, 20, *range(21, 60))), [float(rng.randint(-2, 2)) for _ in range(3)]) for _ in range(250)]
+    rows += [(0, [2.0, 2.0, 2.0])] * 5 + [(3, [2.0, 2.0, 2.0])] * 4 + [(30, [9.0, float(i), 9.0]) for i in range(40)]
+    for k in (1, 5):
+        assert found_every_row(spark, rows, k) == brute_every_row(rows, k)
+
+
+@pytest.mark.parametrize("rows", [[(0, [1e300]), (1, [1.0])], [(0, [1e15, 1.0]), (1, [1e15, 1.0])]])
+def test_what_a_long_cannot_hold_stops_the_job(spark, rows):
+    with pytest.raises(PySparkException, match="does not fit a long"):
+        found_every_row(spark, rows, 1)

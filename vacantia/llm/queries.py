@@ -62,7 +62,7 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def topk_search(spark: SparkSession, folder: str) -> DataFrame:
-    return top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+    return top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10, every_row=True)
 
 
 def packing(spark: SparkSession, folder: str) -> DataFrame:
