@@ -1,10 +1,10 @@
-"""Removal of long passages that repeat anywhere, by a compacted de Bruijn graph of words.
+"""Removal of long passages that repeat anywhere, by minimizer partitioning of word windows.
 
 A window is ``window`` consecutive words of one text; every word covered by a window
 whose words also start anywhere else goes, the first occurrence included.
 
-The graph's nodes are word k-mers; the windows are walks over it. So that not every
-window has to be shuffled, each window is assigned to its least k-mer by hash (its
+It replaces a de Bruijn graph of k-mer edges contracted by joins; no edges or degrees are
+built. So that not every window has to be shuffled, each window is assigned to its least k-mer by hash (its
 anchor, the leftmost of equal ones); equal windows have equal anchors. The windows of one
 anchor are consecutive and make one *path*, the words that they cover together.
 
