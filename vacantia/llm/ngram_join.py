@@ -7,7 +7,8 @@ order of all shingles; the order here puts shingles of frequent hash buckets las
 
 1. Classes with the same size and prefix are collapsed into one group. Groups meet by
    the shingles of their prefixes; shingles that one class alone has are dropped.
-2. What shares a shingle is expanded to its members and cut into blocks. Pairs are
+2. What shares a shingle is expanded to its members (no pairs of groups are filtered
+   before) and cut into blocks. Pairs are
    filtered by size, by the places of the shingle and by parity sketches, whose Hamming
    distance never exceeds the symmetric difference of the sets. Of what remains, each pair of blocks hands on a
    spanning forest, the most similar pairs first, since more links inside a component
