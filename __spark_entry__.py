@@ -383,7 +383,10 @@ def _bucket_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _bucket_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The log arrives in four stretches of time, one file and micro-batch after the other."""
+    """The log arrives in four stretches of time, each of them one micro-batch.
+
+    The stream is started again for every stretch and takes whatever files that one has.
+    """
     pin_session(spark)
     source, path, checkpoint = (new_path(spark, name) for name in ("arrivals", "decisions", "admission-checkpoint"))
     events = samples.events_by_client(spark, folder)
@@ -393,9 +396,9 @@ def _bucket_stream(spark: SparkSession, folder: str) -> DataFrame:
     for low, high in zip(edges, edges[1:]):
         part = events if low is None else events.where(us > low)
         part = part if high is None else part.where(us <= high)
-        part.coalesce(1).write.mode("append").parquet(source)
-    log = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    start_admission(log, QUOTA, path, checkpoint, client="user_id").awaitTermination()
+        part.write.mode("append").parquet(source)
+        log = spark.readStream.schema(events.schema).parquet(source)
+        start_admission(log, QUOTA, path, checkpoint, client="user_id").awaitTermination()
     return read_decisions(spark, path).select("user_id", "event_id", "admitted", "tokens_left")
 
 
