@@ -88,17 +88,17 @@ class Words:
 
     ``hash``: one number per word. ``first``: index of each text's first word, with the
     number of all words at the end. ``begin`` and ``end``: byte positions of each word in
-    ``data``.
+    ``data``. ``outside`` marks the byte values that belong to no word.
     """
 
-    def __init__(self, texts: pa.LargeBinaryArray, lower: bool = False, seed: int = 0):
+    def __init__(self, texts: pa.LargeBinaryArray, lower: bool = False, seed: int = 0, outside: np.ndarray = _IS_SPACE):
         offsets = _offsets(texts)
         base = offsets[0]
         raw = texts.buffers()[2]
         data = np.frombuffer(raw, np.uint8)[base : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
         self.data = _LOWER[data] if lower else data
         offsets = offsets - base
-        inner = np.append(~_IS_SPACE[self.data], False)
+        inner = np.append(~outside[self.data], False)
         # A text ends its last word even if the next text begins with one.
         cut = np.zeros(len(inner), bool)
         cut[offsets] = True

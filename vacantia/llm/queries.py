@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm.exact_dedup import DigestIndex
+from vacantia.llm.lexical_search import rank_documents
 from vacantia.llm.license_scan import LEAST_DICE, TEMPLATES, scan_licenses, size_bounds, template_bigrams
 from vacantia.llm.line_crf import fit_line_field, score_quality
 from vacantia.llm.ngram_join import near_duplicates
@@ -108,6 +109,10 @@ def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", licences.alias("licences"), F.size("matches").alias("n_matches"), best.alias("best_permille"))
 
 
+def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return rank_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": topk_search,
     "op2_packing": packing,
@@ -119,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": license_scan,
     "op9_exact_dedup": exact_dedup,
     "op10_ngram_join": ngram_join,
+    "op13_lexical_search": lexical_search,
 }
 
 def _license_sql() -> str:
@@ -228,4 +234,30 @@ LEFT JOIN rated USING (host)""",
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op13_lexical_search": r"""
+WITH words AS (
+  SELECT row_no, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT doc_id, text, row_number() OVER () AS row_no FROM documents)),
+asked AS (
+  SELECT item_no, term, count(*) AS times FROM (
+    SELECT item_no, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT text, row_number() OVER (ORDER BY item_id, text) AS item_no FROM (SELECT DISTINCT item_id, text FROM benchmark)))
+  GROUP BY item_no, term),
+lengths AS (SELECT row_no, count(*) AS n FROM words GROUP BY row_no),
+corpus AS (SELECT count(*) AS N_, CAST(sum(n) AS BIGINT) AS L_ FROM lengths),
+uses AS (SELECT row_no, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM words
+         WHERE term IN (SELECT term FROM asked) GROUP BY row_no, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * N_ + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM uses, corpus GROUP BY term, N_),
+gains AS (
+  SELECT row_no, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * N_) // L_))) AS gain
+  FROM uses JOIN lengths USING (row_no) JOIN weights USING (term), corpus),
+scores AS (SELECT item_no, row_no, any_value(doc_id) AS doc_id, CAST(sum(times * gain) AS BIGINT) AS score
+           FROM gains JOIN asked USING (term) GROUP BY item_no, row_no)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id, text) AS item_no FROM (SELECT DISTINCT item_id, text FROM benchmark))
+  USING (item_no) WHERE rank <= 20""",
 }
