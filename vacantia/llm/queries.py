@@ -16,6 +16,7 @@ from vacantia.llm.packing import pack_documents
 from vacantia.llm.sentencepiece_viterbi import decode_ids, encode_texts
 from vacantia.llm.session import corpus_session
 from vacantia.llm.substring_dedup import remove_repeats
+from vacantia.llm.token_alignment import align_tokens
 from vacantia.llm.topk_search import top_k
 from vacantia.llm.toxicity import fit_toxicity, score_toxicity
 from vacantia.llm.url_filter import Rule, filter_urls, host_of, path_of
@@ -109,6 +110,10 @@ def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", licences.alias("licences"), F.size("matches").alias("n_matches"), best.alias("best_permille"))
 
 
+def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align_tokens(_table(spark, folder, "documents"), keep_groups=False).drop("groups")
+
+
 def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return rank_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), k=20)
 
@@ -124,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": license_scan,
     "op9_exact_dedup": exact_dedup,
     "op10_ngram_join": ngram_join,
+    "op11_token_alignment": token_alignment,
     "op13_lexical_search": lexical_search,
 }
 
