@@ -81,6 +81,46 @@ def test_short_null_repeated_and_odd_rows(spark):
     assert found(spark, rows) == wanted
 
 
+def test_many_rows_of_one_id_and_text(spark, monkeypatch):
+    """Rows that repeat an id are one member; near copies of it have rows of their own."""
+    rng = random.Random(7)
+    base = [f"v{i}" for i in range(120)]
+    text = " ".join(base)
+    rows = [(5, text)] * 3000 + [(6, edited(rng, base, 1)), (7, edited(rng, base, 2))] * 40
+    rows += [(8, text), (9, "other words of another length altogether"), (5, "other words of another length altogether"), (None, text)]
+    wanted = brute(sorted(set(rows), key=str))
+    copies = {row: rows.count(row) for row in set(rows)}
+    full = [w for row, w in zip(sorted(set(rows), key=str), [brute([r])[0] for r in sorted(set(rows), key=str)]) for _ in range(copies[row])]
+    label = {i: c for i, _, c in wanted}
+    assert found(spark, rows) == sorted((i, n, label[i]) for i, n, _ in full)
+
+
+def test_pairs_of_groups_are_judged_before_they_are_expanded(spark):
+    """Only groups with a partner, and groups of several members, are expanded."""
+    from vacantia.llm.ngram_join import _group_entries
+    from vacantia.llm.session import Scratch
+
+    rows = [
+        (100, [1, 2, 3], 1, 1),  # shares 1 with a group of about its size, at the same place
+        (104, [1, 7, 8], 1, 2),
+        (400, [1, 9, 10], 1, 3),  # too large for both
+        (50, [20, 21], 3, 4),  # several members, no partner
+        (51, [30, 31, 32, 33, 20], 1, 5),  # shares 20, but at the end
+        (60, [40], 1, 6),  # shares nothing
+    ]
+    groups = spark.createDataFrame(rows, "n bigint, prefix array<bigint>, size bigint, key bigint")
+    for limit in (256, 1):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(module, "BLOCK", limit)
+            entries = _group_entries(groups, 97, Scratch(spark)).collect()
+        assert {(r.shingle, r.key, r.total) for r in entries} == {(20, 4, 3)}
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(module, "BLOCK", limit)
+            entries = _group_entries(groups, 85, Scratch(spark)).collect()
+        assert {(r.shingle, r.key, r.total) for r in entries} >= {(1, 1, 2), (1, 2, 2)}
+        assert not {r.key for r in entries} & {3, 6}
+
+
 def test_empty_table_and_bad_parameter(spark):
     assert found(spark, []) == []
     with pytest.raises(ValueError):

@@ -6,13 +6,13 @@ shingle among the first ``n - ceil(n * percent / 100) + 1`` of each (its prefix)
 order of all shingles; the order here puts shingles of frequent hash buckets last.
 
 1. Classes with the same size and prefix are collapsed into one group. Groups meet by
-   the shingles of their prefixes; shingles that one class alone has are dropped.
-2. What shares a shingle is expanded to its members (no pairs of groups are filtered
-   before) and cut into blocks. Pairs are
-   filtered by size, by the places of the shingle and by parity sketches, whose Hamming
-   distance never exceeds the symmetric difference of the sets. Of what remains, each pair of blocks hands on a
-   spanning forest, the most similar pairs first, since more links inside a component
-   would not change it.
+   the shingles of their prefixes; shingles that one class alone has are dropped. Pairs of
+   groups are filtered by size and by the places of the shingle.
+2. Groups that have a partner, or several members, are expanded to their members and cut
+   into blocks. Pairs of members are filtered by size, place and parity sketches, whose
+   Hamming distance never exceeds the symmetric difference of the sets. Of what remains,
+   each pair of blocks hands on a spanning forest, the most similar pairs first, since more
+   links inside a component would not change it.
 3. Members are verified on their exact sets of shingles. Where a handed-on pair is no
    link, the pairs of these blocks that still join two components are all verified.
 
@@ -150,7 +150,8 @@ def _profiles(docs: DataFrame, size: int, percent: int, classes: np.ndarray) ->
                     schema=_PROFILE_ARROW,
                 )
 
-    return docs.select("id", "text").mapInArrow(profile, _PROFILE)
+    # The number of a row is fixed by the write that follows.
+    return docs.select("id", "text").mapInArrow(profile, _PROFILE).withColumn("row", F.monotonically_increasing_id())
 
 
 def _bit_array(values: DataFrame, column: str) -> np.ndarray:
@@ -174,24 +175,53 @@ def _could_link(a: Column, b: Column, percent: int) -> Column:
     return (smaller * 100 >= larger * percent) & (rest * (100 + percent) >= (a["n"] + b["n"]) * percent)
 
 
-def _lists(leaders: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """``shingle, blocks, block, members``: who shares a prefix shingle, in blocks.
+def _block_of(column: str) -> Column:
+    return F.pmod(F.xxhash64(column, F.lit(7)), F.col("blocks")).cast("int").alias("block")
+
 
-    ``leaders`` has a row per class. The number of blocks follows the number of members,
-    so that blocks stay near ``BLOCK`` members however long a list is.
+def _partnered(block_pairs: DataFrame, percent: int) -> DataFrame:
+    """``shingle, key, pos, size`` of the groups of long lists that some other group may link with.
+
+    A group of several members is its own partner, in the list of its first shingle.
+    """
+    schema = pa.schema([("shingle", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("size", pa.int64())])
+
+    def table(groups: list[dict]) -> list[np.ndarray]:
+        return [np.array([g[name] for g in groups], np.int64) for name in ("n", "pos", "key", "size")]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = batch.slice(i, 1).to_pylist()[0]
+                left, right = row["left"], row["right"] or row["left"]
+                (n, pos, key, size), (m, at, other, _) = table(left), table(right)
+                near = 100 * np.minimum.outer(n, m) >= percent * np.maximum.outer(n, m)
+                near &= (100 + percent) * np.minimum.outer(n - pos, m - at) >= percent * np.add.outer(n, m)
+                near &= np.not_equal.outer(key, other)
+                kept = [left[k] for k in np.flatnonzero(near.any(1) | ((size > 1) & (pos == 0)))]
+                if row["right"]:
+                    kept += [right[k] for k in np.flatnonzero(near.any(0))]
+                if kept:
+                    yield pa.RecordBatch.from_pylist([{**g, "shingle": row["shingle"]} for g in kept], schema)
+
+    return block_pairs.mapInArrow(judge, "shingle bigint, key bigint, pos int, size bigint").distinct()
+
+
+def _group_entries(groups: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """``shingle, key, pos, total``: the groups of each list that have a partner in it.
+
+    ``groups`` has a row for each size and prefix, with the number of its members; ``total``
+    counts the members of all groups of a list. Pairs of groups are judged by size and by
+    the places of the shingle, before any group is expanded.
     """
-    key = F.xxhash64("n", "prefix").alias("key")
-    members = leaders.select(key, "id", "n")
-    # Grouped by the prefix itself; the hash only names the group when it is expanded.
-    groups = leaders.groupBy("n", "prefix").agg(F.count(F.lit(1)).alias("size"))
     uses = (
         groups.select("size", F.explode("prefix").alias("shingle"))
         .groupBy("shingle")
-        .agg(F.sum("size").alias("uses"))
+        .agg(F.sum("size").alias("uses"), F.count(F.lit(1)).alias("kinds"))
         .where(F.col("uses") > 1)
     )
     uses = scratch.stage(uses, "uses")
-    shared = leaders.sparkSession.sparkContext.broadcast(_bit_array(uses, "shingle"))
+    shared = groups.sparkSession.sparkContext.broadcast(_bit_array(uses, "shingle"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,46 +231,61 @@ def _lists(leaders: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
             pos = at - np.repeat(np.cumsum(counts) - counts, counts)
             row = np.repeat(np.arange(len(batch)), counts)
             kept = _is_set(shared.value, bits.flatten().to_numpy())
+            own = pa.array(row[kept])
             yield pa.RecordBatch.from_arrays(
-                [prefix.flatten().filter(pa.array(kept)), batch.column("key").take(pa.array(row[kept])), pa.array(pos[kept].astype(np.int32))],
-                names=["shingle", "key", "pos"],
+                [prefix.flatten().filter(pa.array(kept)), *(batch.column(c).take(own) for c in ("key", "n", "size")), pa.array(pos[kept].astype(np.int32))],
+                names=["shingle", "key", "n", "size", "pos"],
             )
 
     bits = F.transform("prefix", lambda x: F.pmod(F.xxhash64(x), F.lit(BITS))).alias("bits")
-    rows = groups.select(key, "prefix", bits).mapInArrow(spread, "shingle bigint, key bigint, pos int")
+    rows = groups.select("key", "n", "size", "prefix", bits).mapInArrow(
+        spread, "shingle bigint, key bigint, n bigint, size bigint, pos int"
+    )
     lists = (
-        rows.join(uses, "shingle")
-        .join(members, "key")
-        .withColumn("blocks", F.ceil(F.col("uses") / BLOCK).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
-        .groupBy("shingle", "blocks", "block")
-        .agg(F.collect_list(F.struct("id", "n", "pos")).alias("members"))
+        rows.join(uses.select("shingle", F.ceil(F.col("kinds") / BLOCK).cast("int").alias("blocks")), "shingle")
+        .groupBy("shingle", "blocks", _block_of("key"))
+        .agg(F.collect_list(F.struct("key", "n", "pos", "size")).alias("members"))
     )
+    lists = scratch.stage(lists, "group-lists")
 
-    def with_partner(m: Column) -> Column:
-        return F.exists("members", lambda o: (o["id"] != m["id"]) & _could_link(m, o, percent))
+    def partnered(m: Column) -> Column:
+        other = F.exists("members", lambda o: (o["key"] != m["key"]) & _could_link(m, o, percent))
+        return other | ((m["size"] > 1) & (m["pos"] == 0))
 
     small = (F.col("blocks") == 1) & (F.size("members") <= 16)
-    large = lists.where(~small).select("shingle", "blocks", "block", F.explode("members").alias("m"))
-    # Near copies share many shingles; one list stands for all short ones of the same members.
-    chosen = F.array_sort(F.transform(F.filter("members", with_partner), lambda m: F.struct(m["id"], m["n"])))
+    chosen = F.array_sort(F.transform(F.filter("members", partnered), lambda m: F.struct(m["key"], m["size"])))
+    # Near copies share many shingles; one list stands for all short ones of the same groups.
     short = (
         lists.where(small)
         .select("shingle", chosen.alias("members"))
-        .where(F.size("members") > 1)
+        .where(F.size("members") > 0)
         .groupBy("members")
         .agg(F.min("shingle").alias("shingle"))
-        .select("shingle", F.lit(1).alias("blocks"), F.lit(0).alias("block"), F.explode("members").alias("m"))
-        .select("shingle", "blocks", "block", "m.id", "m.n", F.lit(0).alias("pos"))
+        .select("shingle", F.explode("members").alias("m"), F.aggregate("members", F.lit(0).cast("long"), lambda t, m: t + m["size"]).alias("total"))
+        .select("shingle", "m.key", F.lit(0).alias("pos"), "total")
     )
-    return large.select("shingle", "blocks", "block", "m.id", "m.n", "m.pos").unionByName(short)
+    long = scratch.stage(_partnered(_block_pairs(lists.where(~small)), percent), "partnered-groups")
+    totals = scratch.stage(long.groupBy("shingle").agg(F.sum("size").alias("total")), "list-sizes")
+    long = long.join(totals, "shingle").select("shingle", "key", "pos", "total")
+    return short.unionByName(long).where(F.col("total") > 1)
 
 
-def _with_sketches(narrow: DataFrame, leaders: DataFrame) -> DataFrame:
-    """The lists again, their members with sketches."""
+def _lists(leaders: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """``shingle, blocks, block, members``: who shares a prefix shingle, in blocks.
+
+    ``leaders`` has a row per class. Groups of leaders of one size and prefix are paired
+    first; those that have a partner are expanded to their members. The number of blocks
+    follows the number of members, so that blocks stay near ``BLOCK`` members however long
+    a list is.
+    """
+    # Grouped by the prefix itself; the hash only names the group when it is expanded.
+    key = F.xxhash64("n", "prefix").alias("key")
+    groups = leaders.groupBy("n", "prefix").agg(F.count(F.lit(1)).alias("size")).select("n", "prefix", "size", key)
+    entries = scratch.stage(_group_entries(scratch.stage(groups, "groups"), percent, scratch), "entries")
     return (
-        narrow.join(leaders.select("id", "n", "sketch"), ["id", "n"])
-        .groupBy("shingle", "blocks", "block")
+        entries.join(leaders.select(key, "id", "n", "sketch"), "key")
+        .withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
+        .groupBy("shingle", "blocks", _block_of("id"))
         .agg(F.collect_list(F.struct("id", "n", "pos", "sketch")).alias("members"))
     )
 
@@ -364,8 +409,8 @@ def _all_pairs_between_components(block_pairs: DataFrame, percent: int) -> DataF
     return block_pairs.mapInArrow(choose, _PAIR)
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """``id, shingles`` of at least the documents in ``pairs``.
+def _sets(docs: DataFrame, pairs: DataFrame, size: int, repeats: bool) -> DataFrame:
+    """``id, shingles`` of at least the documents in ``pairs``; of ``repeats`` each once.
 
     A bit array of fixed size says which ids may be wanted, so that no text is shuffled.
     """
@@ -383,7 +428,8 @@ def _sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
 
     bit = F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("bit")
     known = docs.where(F.col("id").isNotNull())
-    return known.select("id", "text", bit).mapInArrow(read, "id bigint, shingles binary")
+    found = known.select("id", "text", bit).mapInArrow(read, "id bigint, shingles binary")
+    return found.distinct() if repeats else found
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -424,22 +470,30 @@ def near_duplicates(
     """
     if not 60 <= percent <= 100:
         raise ValueError("percent must be between 60 and 100")
-    needed, own = scratch or Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    needed, own, early = scratch or Scratch(docs.sparkSession), Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     stage = own.stage
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    profiles = needed.stage(_profiles(rows, shingle, percent, _frequent_buckets(rows, shingle)), "profiles")
+    profiles = early.stage(_profiles(rows, shingle, percent, _frequent_buckets(rows, shingle)), "profiles")
+    counts = needed.stage(profiles.select("id", "n"), "set-sizes")
     digest = ["n", "one", "two"]
     some = profiles.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = some.groupBy(*digest).agg(F.min("id").alias("id"))
-    leaders = some.join(classes, [*digest, "id"], "left_semi")
-    lists = stage(_with_sketches(_lists(leaders, percent, own), leaders), "shared-shingles")
+    first = F.min(F.struct("id", "row")).alias("first")
+    classes = stage(some.groupBy(*digest).agg(first).select(*digest, F.col("first.id").alias("leader"), F.col("first.row").alias("own")), "classes")
+    same = some.select("id", "row", *digest).join(classes, digest)
+    same = stage(same.select("id", "leader", "row", (F.col("row") == F.col("own")).alias("leads")), "same-sets")
+    leaders = stage(some.join(same.where("leads").select("row"), "row", "left_semi").select("id", "n", "prefix", "sketch"), "leaders")
+    early.clear()
+    lists = stage(_lists(leaders, percent, early), "shared-shingles")
+    early.clear()
+    # Rows of one id and set beside the leader: their sets must not be taken once for each row.
+    repeats = not same.where((F.col("id") == F.col("leader")) & ~F.col("leads")).isEmpty()
 
     forests = stage(_forests(_block_pairs(lists), percent), "forests")
     tested = forests.select("a", "b").distinct()
-    first = stage(_verified(tested, stage(_sets(rows, tested, shingle), "sets"), percent), "verified")
-    links = first.where("linked").select("a", "b")
+    verified = stage(_verified(tested, stage(_sets(rows, tested, shingle, repeats), "sets"), percent), "verified")
+    links = verified.where("linked").select("a", "b")
 
-    failed = forests.where(~F.col("complete")).join(first.where(~F.col("linked")), ["a", "b"], "left_semi")
+    failed = forests.where(~F.col("complete")).join(verified.where(~F.col("linked")), ["a", "b"], "left_semi")
     again = stage(failed.select("shingle", "x", "y").distinct(), "open-blocks")
     if not again.isEmpty():
         found = stage(connected_components(links), "components")
@@ -455,12 +509,12 @@ def near_duplicates(
         )
         rest = _all_pairs_between_components(open_pairs.join(named, ["shingle", "x", "y"], "left"), percent)
         rest = stage(rest.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "rest-pairs")
-        second = _verified(rest, stage(_sets(rows, rest, shingle), "sets"), percent)
+        second = _verified(rest, stage(_sets(rows, rest, shingle, repeats), "sets"), percent)
         links = links.unionByName(second.where("linked").select("a", "b"))
 
     # Sets of one id, and ids of one set, belong together.
-    same = some.join(classes.withColumnRenamed("id", "leader"), digest).select("id", "leader").distinct()
-    firsts = same.groupBy("id").agg(F.min("leader").alias("first"))
+    same = same.select("id", "leader").distinct()
+    firsts = needed.stage(same.groupBy("id").agg(F.min("leader").alias("first")), "first-leaders")
     bridges = same.join(firsts, "id").where(F.col("leader") != F.col("first")).select(
         F.col("leader").alias("a"), F.col("first").alias("b")
     )
@@ -469,6 +523,6 @@ def near_duplicates(
     labelled = firsts.join(parts.withColumnRenamed("node", "first"), "first", "left").select(
         "id", F.coalesce("component", "first").alias("component_id")
     )
-    return profiles.select("id", "n").join(labelled, "id", "left").select(
+    return counts.join(labelled, "id", "left").select(
         F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
