@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.llm.bitset import BITS, bit_array, is_set
 from vacantia.llm.components import connected_components
 from vacantia.llm.hashing import U, Words, mix, slices, text_bytes
 from vacantia.llm.session import Scratch
@@ -42,8 +43,6 @@ SHINGLE, PERCENT = 4, 85
 #: buckets, and only buckets that stand out in some task are known to the others.
 BUCKETS, STANDS_OUT, KNOWN_BUCKETS = 1 << 22, 8, 200_000
 BLOCK = 256
-#: Bits of a set of hashed values that all tasks know; 4 MB whatever the data.
-BITS = 1 << 25
 
 
 def _shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,18 +153,8 @@ def _profiles(docs: DataFrame, size: int, percent: int, classes: np.ndarray) ->
     return docs.select("id", "text").mapInArrow(profile, _PROFILE).withColumn("row", F.monotonically_increasing_id())
 
 
-def _bit_array(values: DataFrame, column: str) -> np.ndarray:
-    """A set of hashed values as bits; it has one size, so it may say yes too often."""
-    bit = F.pmod(F.xxhash64(column), F.lit(BITS))
-    words = values.select((bit / 32).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1), (bit % 32).cast("int")).alias("mask"))
-    rows = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # BITS / 32 rows at most
-    table = np.zeros(BITS // 32, np.int32)
-    table[rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
-    return table
-
-
-def _is_set(table: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    return (table[bit >> 5].view(np.uint32) >> (bit & 31).astype(np.uint32)) & np.uint32(1) == 1
+def _bit(value: str | Column) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(BITS))
 
 
 def _could_link(a: Column, b: Column, percent: int) -> Column:
@@ -221,7 +210,7 @@ def _group_entries(groups: DataFrame, percent: int, scratch: Scratch) -> DataFra
         .where(F.col("uses") > 1)
     )
     uses = scratch.stage(uses, "uses")
-    shared = groups.sparkSession.sparkContext.broadcast(_bit_array(uses, "shingle"))
+    shared = groups.sparkSession.sparkContext.broadcast(bit_array(uses, _bit("shingle")))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,14 +219,14 @@ def _group_entries(groups: DataFrame, percent: int, scratch: Scratch) -> DataFra
             at = np.arange(int(counts.sum()))
             pos = at - np.repeat(np.cumsum(counts) - counts, counts)
             row = np.repeat(np.arange(len(batch)), counts)
-            kept = _is_set(shared.value, bits.flatten().to_numpy())
+            kept = is_set(shared.value, bits.flatten().to_numpy())
             own = pa.array(row[kept])
             yield pa.RecordBatch.from_arrays(
                 [prefix.flatten().filter(pa.array(kept)), *(batch.column(c).take(own) for c in ("key", "n", "size")), pa.array(pos[kept].astype(np.int32))],
                 names=["shingle", "key", "n", "size", "pos"],
             )
 
-    bits = F.transform("prefix", lambda x: F.pmod(F.xxhash64(x), F.lit(BITS))).alias("bits")
+    bits = F.transform("prefix", _bit).alias("bits")
     rows = groups.select("key", "n", "size", "prefix", bits).mapInArrow(
         spread, "shingle bigint, key bigint, n bigint, size bigint, pos int"
     )
@@ -415,20 +404,19 @@ def _sets(docs: DataFrame, pairs: DataFrame, size: int, repeats: bool) -> DataFr
     A bit array of fixed size says which ids may be wanted, so that no text is shuffled.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(_bit_array(wanted, "id"))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_array(wanted, _bit("id")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(_is_set(shared.value, batch.column("bit").to_numpy())))
+            batch = batch.filter(pa.array(is_set(shared.value, batch.column("bit").to_numpy())))
             for part in slices(batch, "text"):
                 hashes, _, n = _ordered_sets(text_bytes(part.column("text")), size, None)
                 cuts = np.concatenate(([0], np.cumsum(n)))
                 data = [hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(data, pa.binary())], names=["id", "shingles"])
 
-    bit = F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("bit")
     known = docs.where(F.col("id").isNotNull())
-    found = known.select("id", "text", bit).mapInArrow(read, "id bigint, shingles binary")
+    found = known.select("id", "text", _bit("id").alias("bit")).mapInArrow(read, "id bigint, shingles binary")
     return found.distinct() if repeats else found
 
 

@@ -4,20 +4,25 @@ A window is ``window`` consecutive words of one text; every word covered by a wi
 whose words also start anywhere else goes, the first occurrence included.
 
 It replaces a de Bruijn graph of k-mer edges contracted by joins; no edges or degrees are
-built. So that not every window has to be shuffled, each window is assigned to its least k-mer by hash (its
-anchor, the leftmost of equal ones); equal windows have equal anchors. The windows of one
-anchor are consecutive and make one *path*, the words that they cover together.
-
-1. Paths are counted by anchor. An anchor that occurs once has no repeated window. An
-   anchor whose occurrences all have one path is a nonbranching stretch: the join with
-   these counts marks all its windows as repeated at once.
-2. Where paths of one anchor differ (the text branches there), the source coordinates are
-   verified: the documents' words are read again and each single window of such a path
-   is hashed to 128 bits and counted.
-
-Counts are combined in each task before they are shuffled, and the joins that carry
-single occurrences are sort-merge joins whose large partitions Spark can split, so a
-passage that very many documents share does not meet in one task.
+built, because every word begins a k-mer and all of them would have to be shuffled. Here
+each window is assigned to its least k-mer by hash (its anchor, the leftmost of equal
+ones); equal windows have equal anchors. The windows of one anchor are consecutive and make
+one *path*, the words that they cover together, so a text has an anchor for every dozen of
+its words or so.
+
+1. Paths are counted by anchor, in each task first. An anchor that occurs once has no
+   repeated window. An anchor whose occurrences all have one path is a nonbranching
+   stretch: all its windows are repeated.
+2. Where paths of one anchor differ (the text branches there), the single windows of such
+   paths are hashed to 128 bits and counted, in each task first; those that occur once are
+   dropped.
+3. The texts are read once more. Bit arrays of bounded size, known to all tasks, say which
+   of a text's paths and windows may be repeated. Texts without any are finished at once; of
+   the others the source coordinates of all such places are joined with the exact tables,
+   and the marks that remain are joined with these texts.
+
+Tables of counts are written before they are joined, so these joins are plain sort-merge
+joins whose large partitions Spark can split, however many documents share a passage.
 
 Rules:
 
@@ -38,24 +43,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.llm.bitset import fitting, has
 from vacantia.llm.hashing import U, Words, mix, slices, text_bytes
 from vacantia.llm.session import Scratch
 
 WINDOW, KMER = 35, 8
-_NO_ID = -(1 << 63)
-_KEY = ["id", "text_hash"]
-_ANCHOR = pa.schema(
-    [
-        ("anchor", pa.int64()),
-        ("path", pa.int64()),
-        ("id", pa.int64()),
-        ("text_hash", pa.int64()),
-        ("begin", pa.int32()),
-        ("count", pa.int32()),
-    ]
-)
-
-
 def _least_of(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of ``width`` consecutive values at each position that has as many."""
     size = 1
@@ -88,44 +80,57 @@ def anchored_paths(words: Words, window: int, kmer: int) -> tuple[np.ndarray, ..
     return hashes[at], path, text[first], run, count
 
 
-def _anchors(docs: DataFrame, window: int, kmer: int) -> DataFrame:
+def _paths(docs: DataFrame, window: int, kmer: int) -> DataFrame:
+    """``anchor, path`` of every run of windows."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                words = Words(text_bytes(part.column("text")))
-                anchor, path, text, begin, count = anchored_paths(words, window, kmer)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(anchor.view(np.int64)),
-                        pa.array(path.view(np.int64)),
-                        part.column("id").take(pa.array(text)),
-                        part.column("text_hash").take(pa.array(text)),
-                        pa.array((begin - words.first[text]).astype(np.int32)),
-                        pa.array(count.astype(np.int32)),
-                    ],
-                    schema=_ANCHOR,
-                )
+                anchor, path, _, _, _ = anchored_paths(Words(text_bytes(part.column("text"))), window, kmer)
+                columns = [pa.array(anchor.view(np.int64)), pa.array(path.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "path"])
 
-    return docs.select("id", "text_hash", "text").mapInArrow(
-        find, "anchor bigint, path bigint, id bigint, text_hash bigint, begin int, count int"
-    )
+    return docs.select("text").mapInArrow(find, "anchor bigint, path bigint")
+
+
+def _windows_of(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """First words of all windows of some runs."""
+    ends = np.cumsum(count)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - count), count)
+
+
+def _branching_windows(docs: DataFrame, branches: np.ndarray, window: int, kmer: int) -> DataFrame:
+    """128 bits of each window whose anchor may branch."""
+    shared = docs.sparkSession.sparkContext.broadcast(branches)  # of bounded size
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = text_bytes(part.column("text"))
+                words = Words(texts)
+                anchor, _, _, begin, count = anchored_paths(words, window, kmer)
+                open_ = has(shared.value, anchor)
+                if open_.any():
+                    at = _windows_of(begin[open_], count[open_])
+                    sides = [w.spans(at, at + window).view(np.int64) for w in (words, Words(texts, seed=1))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in sides], names=["one", "two"])
+
+    return docs.select("text").mapInArrow(find, "one bigint, two bigint")
 
 
 _JUDGED = (
-    "id bigint, text_hash bigint, n_words bigint, n_removed bigint, kept string, "
-    "kept_sha256 string, text string, sure array<int>, unsure array<int>"
+    "n_words bigint, n_removed bigint, kept string, kept_sha256 string, text string, "
+    "paths array<struct<anchor:bigint,begin:int,count:int>>, windows array<struct<one:bigint,two:bigint,begin:int>>"
 )
 _JUDGED_ARROW = pa.schema(
     [
-        ("id", pa.int64()),
-        ("text_hash", pa.int64()),
         ("n_words", pa.int64()),
         ("n_removed", pa.int64()),
         ("kept", pa.string()),
         ("kept_sha256", pa.string()),
         ("text", pa.string()),
-        ("sure", pa.list_(pa.int32())),
-        ("unsure", pa.list_(pa.int32())),
+        ("paths", pa.list_(pa.struct([("anchor", pa.int64()), ("begin", pa.int32()), ("count", pa.int32())]))),
+        ("windows", pa.list_(pa.struct([("one", pa.int64()), ("two", pa.int64()), ("begin", pa.int32())]))),
     ]
 )
 
@@ -158,60 +163,46 @@ def _judged_schema(docs: DataFrame) -> str:
     return f"{_JUDGED}, rest {docs.schema['rest'].dataType.simpleString()}"
 
 
-def _judge(docs: DataFrame, window: int, keep_text: bool) -> DataFrame:
-    """Finish the documents without doubtful paths; hand on the text of the others."""
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                rows = []
-                for row in part.select([*_KEY, "text", "runs"]).to_pylist():
-                    runs = row.pop("runs") or []
-                    text = row.pop("text") or ""
-                    sure = [(r["begin"], r["count"]) for r in runs if r["sure"]]
-                    unsure = [(r["begin"], r["count"]) for r in runs if not r["sure"]]
-                    if unsure:
-                        flat = {"sure": [x for run in sure for x in run], "unsure": [x for run in unsure for x in run]}
-                        rows.append(row | {"text": text} | flat)
-                    else:
-                        rows.append(row | _cut(text, sure, window, keep_text))
-                yield _with_rest(rows, part)
-
-    return docs.select(*_KEY, "text", "runs", "rest").mapInArrow(judge, _judged_schema(docs))
-
-
-_WINDOWS = pa.schema([("one", pa.int64()), ("two", pa.int64()), ("id", pa.int64()), ("text_hash", pa.int64()), ("begin", pa.int32())])
+def _per_text(values: list[tuple[str, np.ndarray]], text: np.ndarray, texts: int) -> list[list[dict]]:
+    """The rows of some columns, dealt to their texts; ``text`` ascends."""
+    names, columns = [name for name, _ in values], [v.tolist() for _, v in values]
+    rows = [dict(zip(names, row)) for row in zip(*columns)]
+    cuts = np.searchsorted(text, np.arange(texts + 1)).tolist()
+    return [rows[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def _single_windows(open_docs: DataFrame, window: int) -> DataFrame:
-    """128 bits of each doubtful window of the open documents, with its coordinates."""
+def _judge(docs: DataFrame, sets: tuple, window: int, kmer: int, keep_text: bool) -> DataFrame:
+    """Finish the texts without a place that may be repeated; hand on the others with these places."""
+    shared = docs.sparkSession.sparkContext.broadcast(sets)  # bit arrays of bounded size
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sure, branches, twice = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = text_bytes(part.column("text"))
-                words, again = Words(texts), Words(texts, seed=1)
-                text, begin = [], []
-                for i, flat in enumerate(part.column("unsure").to_pylist()):
-                    for first, count in zip(flat[::2], flat[1::2], strict=True):
-                        begin.append(np.arange(first, first + count))
-                        text.append(np.full(count, i))
-                text, begin = np.concatenate(text), np.concatenate(begin)
-                at = words.first[text] + begin
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(words.spans(at, at + window).view(np.int64)),
-                        pa.array(again.spans(at, at + window).view(np.int64)),
-                        part.column("id").take(pa.array(text)),
-                        part.column("text_hash").take(pa.array(text)),
-                        pa.array(begin.astype(np.int32)),
-                    ],
-                    schema=_WINDOWS,
+                words = Words(texts)
+                anchor, _, text, begin, count = anchored_paths(words, window, kmer)
+                whole, open_ = has(sure, anchor), has(branches, anchor)
+                first = words.first[text]
+                paths = _per_text(
+                    [("anchor", anchor[whole].view(np.int64)), ("begin", (begin - first)[whole]), ("count", count[whole])], text[whole], len(part)
+                )
+                at = _windows_of(begin[open_], count[open_])
+                of = np.repeat(text[open_], count[open_])
+                one = words.spans(at, at + window)
+                likely = has(twice, one)
+                at, of, one = at[likely], of[likely], one[likely]
+                two = Words(texts, seed=1).spans(at, at + window) if len(at) else one
+                windows = _per_text(
+                    [("one", one.view(np.int64)), ("two", two.view(np.int64)), ("begin", at - words.first[of])], of, len(part)
                 )
+                rows = [
+                    {"text": own, "paths": p, "windows": w} if p or w else _cut(own, [], window, keep_text)
+                    for own, p, w in zip(part.column("text").to_pylist(), paths, windows)
+                ]
+                yield _with_rest(rows, part)
 
-    return open_docs.select("id", "text_hash", "text", "unsure").mapInArrow(
-        read, "one bigint, two bigint, id bigint, text_hash bigint, begin int"
-    )
+    return docs.select("text", "rest").mapInArrow(judge, _judged_schema(docs))
 
 
 def _finish(open_docs: DataFrame, window: int, keep_text: bool) -> DataFrame:
@@ -219,14 +210,12 @@ def _finish(open_docs: DataFrame, window: int, keep_text: bool) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
-                for row in part.select([*_KEY, "text", "sure", "repeated"]).to_pylist():
-                    sure, repeated = row.pop("sure") or [], row.pop("repeated") or []
-                    runs = [*zip(sure[::2], sure[1::2], strict=True), *((begin, 1) for begin in repeated)]
-                    rows.append(row | _cut(row.pop("text"), runs, window, keep_text))
+                for row in part.select(["text", "runs"]).to_pylist():
+                    runs = [(r["begin"], r["count"]) for r in row["runs"] or []]
+                    rows.append(_cut(row["text"], runs, window, keep_text))
                 yield _with_rest(rows, part)
 
-    columns = open_docs.select(*_KEY, "text", "sure", "repeated", "rest")
-    return columns.mapInArrow(finish, _judged_schema(open_docs))
+    return open_docs.select("text", "runs", "rest").mapInArrow(finish, _judged_schema(open_docs))
 
 
 def remove_repeats(
@@ -244,36 +233,34 @@ def remove_repeats(
     it is null. Intermediate tables go to the session's shared folder and are dropped, but
     for those that the result reads.
     """
-    rest = F.struct(F.lit(0).alias("none"), *[F.col(name).alias(f"carried_{i}") for i, name in enumerate(carry)])
-    rows = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
-        rest.alias("rest"),
-    )
+    rest = F.struct(F.col(doc_id).cast("long").alias("id"), *[F.col(name).alias(f"carried_{i}") for i, name in enumerate(carry)])
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), rest.alias("rest"))
     needed, own = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
-    anchors = own.stage(_anchors(rows, window, kmer), "anchors")
-    counts = anchors.groupBy("anchor").agg(
+
+    counts = _paths(rows, window, kmer).groupBy("anchor").agg(
         F.count(F.lit(1)).alias("uses"), F.min("path").alias("low"), F.max("path").alias("high")
     )
     repeated = counts.where(F.col("uses") > 1).select("anchor", (F.col("low") == F.col("high")).alias("sure"))
-    runs = (
-        anchors.select("anchor", *_KEY, "begin", "count")
-        .join(repeated, "anchor")
-        .groupBy(*_KEY)
-        .agg(F.collect_set(F.struct("begin", "count", "sure")).alias("runs"))
-    )
-    marked = rows.join(runs, _KEY, "left")
-    judged = needed.stage(_judge(marked, window, keep_text), "judged")
+    repeated = own.stage(repeated, "repeated-anchors")
+    sure, branches = (fitting(repeated.where(kind), "anchor") for kind in ("sure", "NOT sure"))
+    single = _branching_windows(rows, branches, window, kmer)
+    twice = own.stage(single.groupBy("one", "two").count().where(F.col("count") > 1).select("one", "two"), "repeated-windows")
+    judged = _judge(rows, (sure, branches, fitting(twice, "one")), window, kmer, keep_text)
+    judged = needed.stage(judged.withColumn("row", F.monotonically_increasing_id()), "judged")
     done, left = judged.where(F.col("n_words").isNotNull()), judged.where(F.col("n_words").isNull())
 
+    paths = left.select("row", F.explode("paths").alias("p")).select("row", "p.anchor", "p.begin", "p.count")
+    windows = left.select("row", F.explode("windows").alias("w")).select("row", "w.one", "w.two", "w.begin")
+    marks = (
+        paths.join(repeated.where("sure").select("anchor"), "anchor")
+        .select("row", "begin", "count")
+        .unionByName(windows.join(twice, ["one", "two"]).select("row", "begin", F.lit(1).alias("count")))
+        .groupBy("row")
+        .agg(F.collect_list(F.struct("begin", "count")).alias("runs"))
+    )
+    marks = needed.stage(marks, "marks")
     own.clear()
-    single = own.stage(_single_windows(left, window), "doubtful-windows")
-    twice = single.groupBy("one", "two").count().where(F.col("count") > 1).select("one", "two")
-    found = single.join(twice, ["one", "two"], "left_semi").groupBy(*_KEY)
-    found = needed.stage(found.agg(F.collect_set("begin").alias("repeated")), "repeated-windows")
-    own.clear()
-    result = done.unionByName(_finish(left.join(found, _KEY, "left"), window, keep_text))
-    key = F.when(F.col("id") != _NO_ID, F.col("id"))
+    finished = _finish(left.select("row", "text", "rest").join(marks, "row", "left"), window, keep_text)
     carried = [F.col(f"rest.carried_{i}").alias(name) for i, name in enumerate(carry)]
-    return result.select(key.alias(doc_id), "n_words", "n_removed", "kept", "kept_sha256", *carried)
+    result = done.drop("row").unionByName(finished)
+    return result.select(F.col("rest.id").alias(doc_id), "n_words", "n_removed", "kept", "kept_sha256", *carried)
