@@ -27,10 +27,10 @@ class Scratch:
         self.spark = spark
         self.paths: list[str] = []
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
+    def stage(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         """Write once, read back."""
         path = new_path(self.spark, name)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

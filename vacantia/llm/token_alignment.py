@@ -12,9 +12,10 @@ of both end cut the tokens into groups.
    lane of the batch. In each step all lanes emit the link at their pointers, those whose
    two tokens end alike emit a cut, and the pointer at the lesser end moves on (both, at a
    cut). Lanes that have arrived are taken out of the vector.
-3. Links are counted by id pair in each task and summed by Spark. What a document needs of
-   these counts comes from two tables of bounded size, the greatest count of each B id and
-   the counts of the most frequent pairs; counts of all other pairs are joined.
+3. The aligned documents are written with the id pairs that each one links. From that
+   table links are counted by pair in each task and summed by Spark. What a document needs
+   of these counts comes from two tables of bounded size, the greatest count of each B id
+   and the counts of the most frequent pairs; counts of all other pairs are joined.
 
 Rules: a text is encoded without special tokens, whose strings in it are plain text. A
 text that is null or empty, or whose tokens do not spell ``space + text`` in both, has no
@@ -30,6 +31,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,7 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Stretches in a lane: the steps of a batch follow from it, however long a document is.
 LANE = 64
 #: Stretches and their ids that a worker remembers.
-_REMEMBERED, _IDS = 300_000, 4_000_000
+_REMEMBERED, _IDS = 600_000, 8_000_000
 #: Pairs whose counts all tasks know; 16 bytes each.
 KNOWN_PAIRS = 1_500_000
 #: Distinct pairs that a task counts before it hands them on.
@@ -132,17 +134,48 @@ class TokenPair(dict):
         self.odd.append(odd)
         return number
 
+    def _learn(self, stretches: list[str]) -> None:
+        """Encode plain stretches together: A one behind the other, where they stay apart as in a text."""
+        plain = [s for s in stretches if len(s) <= _LONGEST and (s.isascii() or max(s) < _PLAIN_LIMIT) and not s[-1].isspace()]
+        spelled = "".join(plain).encode()
+        size = np.fromiter((len(s) if s.isascii() else len(s.encode()) for s in plain), np.int64, len(plain))
+        ends, found = np.cumsum(size), []
+        b_ids = self.b_encode(["a" + s for s in plain])
+        for ids, of, sizes in (
+            (self.a_fast(spelled.decode()), self.a_bytes, self.a_size),
+            (list(chain.from_iterable(ids[1:] for ids in b_ids)), self.b_bytes, self.b_size),
+        ):
+            own_ends = np.cumsum(sizes[np.array(ids, np.int64)])
+            if b"".join(map(of.__getitem__, ids)) != spelled:
+                return
+            cuts = np.searchsorted(own_ends, ends)
+            if not np.array_equal(own_ends[cuts], ends):
+                return
+            found.append((ids, cuts + 1))
+        first = len(self.odd)
+        for (ids, cuts), held, at in zip(found, (self.a_ids, self.b_ids), (self.a_at, self.b_at), strict=True):
+            at.frombytes((cuts + len(held)).astype(np.int64).tobytes())
+            held.frombytes(np.array(ids, np.int32).tobytes())
+        self.odd.frombytes(bytes(len(plain)))
+        self.update(zip(plain, range(first, first + len(plain))))
+
     def encode(self, texts: list[str | None]) -> Encoded:
         if len(self) > _REMEMBERED or len(self.a_ids) + len(self.b_ids) > _IDS:
             self._forget()
-        numbers, counts = array("q"), []
-        for text in texts:
-            own = list(map(self.__getitem__, _STRETCH.findall(" " + text))) if text else []
-            if any(map(self.odd.__getitem__, own)) and not self._spells(own, text):
-                own = []
-            counts.append(len(own))
-            numbers.extend(own)
-        return Encoded(self, np.frombuffer(numbers, np.int64), np.array(counts, np.int64))
+        found = [_STRETCH.findall(" " + text) if text else [] for text in texts]
+        flat = list(chain.from_iterable(found))
+        self._learn([s for s in dict.fromkeys(flat) if s not in self])
+        numbers = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        odd = np.frombuffer(self.odd, np.int8)
+        if len(odd) and odd[numbers].any():
+            ends = np.cumsum(counts)
+            for i in np.unique(np.searchsorted(ends, np.flatnonzero(odd[numbers]), side="right")):
+                if not self._spells(numbers[ends[i] - counts[i] : ends[i]].tolist(), texts[i]):
+                    numbers[ends[i] - counts[i] : ends[i]] = -1
+                    counts[i] = 0
+            numbers = numbers[numbers >= 0]
+        return Encoded(self, numbers, counts)
 
     def _spells(self, stretches: list[int], text: str) -> bool:
         """Whether ``stretches`` joined are the text in both, which ends of odd ones must bear out too."""
@@ -245,36 +278,111 @@ def _reduced(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _pair_counts(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, all low bytes first, so that they can be compressed."""
+    table = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    width = 8
+    while width > 1 and not table[:, width - 1].any():
+        width -= 1
+    return bytes([width]) + table[:, :width].T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    width = data[0]
+    table = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    table[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T
+    return table.reshape(-1).view("<i8")
+
+
+_NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
+_COUNTED_NUMBERS = ["n_best", "count_sum"]
+_ALIGNED_ARROW = pa.schema(
+    [("doc_id", pa.int64())]
+    + [(name, pa.int64()) for name in _NUMBERS]
+    + [("groups_sha256", pa.string()), ("groups", pa.string()), ("pairs", pa.binary()), ("times", pa.binary())]
+)
+_ALIGNED = "doc_id bigint, " + "".join(f"{name} bigint, " for name in _NUMBERS) + (
+    "groups_sha256 string, groups string, pairs binary, times binary"
+)
+
+
+def _aligned(docs: DataFrame, files: tuple[str, str], keep_groups: bool) -> DataFrame:
+    """One row per document: all that needs no counts, and its id pairs with how often they are linked."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = TokenPair.shared(*files)
+        wide = len(both.a_bytes) * len(both.b_bytes)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = both.encode(part.column("text").to_pylist())
+                found.align()
+                doc, rows = found.doc_of_link(), len(part)
+                # Texts are about a million bytes in all, so the product stays far below 2**63.
+                own, times = np.unique(doc * wide + found.pairs(len(both.b_bytes)), return_counts=True)
+                cuts = np.searchsorted(own, np.arange(rows + 1) * wide).tolist()
+                pairs = own % wide
+                step = np.diff(pairs, prepend=0)
+                first = np.array(cuts[:-1])[np.diff(cuts) > 0]
+                step[first] = pairs[first]
+                groups = found.groups(both.digits)
+                numbers = [
+                    np.diff(found.a_doc),
+                    np.diff(found.b_doc),
+                    np.diff(np.concatenate(([0], np.cumsum(found.a_cut)))[found.a_doc]),
+                    np.bincount(doc, minlength=rows),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        *[pa.array(x.astype(np.int64)) for x in numbers],
+                        pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in groups], pa.string()),
+                        pa.array([g.decode() for g in groups] if keep_groups else [None] * rows, pa.string()),
+                        pa.array([_planes(step[x:y]) for x, y in zip(cuts[:-1], cuts[1:])], pa.binary()),
+                        pa.array([_planes(times[x:y]) for x, y in zip(cuts[:-1], cuts[1:])], pa.binary()),
+                    ],
+                    schema=_ALIGNED_ARROW,
+                )
+
+    return docs.mapInArrow(read, _ALIGNED)
+
+
+def _links(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, pair and times of all pairs of a batch of aligned rows."""
+    pairs = [np.cumsum(_from_planes(x)) for x in batch.column("pairs").to_pylist()]
+    times = [_from_planes(x) for x in batch.column("times").to_pylist()]
+    doc = np.repeat(np.arange(len(batch)), [len(x) for x in pairs])
+    return doc, np.concatenate(pairs), np.concatenate(times)
+
+
+def _pair_counts(aligned: DataFrame) -> DataFrame:
     """``pair, n``: links of each id pair, summed in each task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = TokenPair.shared(*files)
         keys, counts, held, last = [], [], 0, 0
 
         def rows() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(counts[0])], names=["pair", "n"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
-                found = both.encode(part.column("text").to_pylist())
-                found.align()
-                key, n = np.unique(found.pairs(len(both.b_bytes)), return_counts=True)
-                keys.append(key)
-                counts.append(n.astype(np.int64))
-                held += len(key)
-                if held > 2 * last + _COUNTED // 2:
-                    key, n = _reduced(keys, counts)
-                    keys, counts, held, last = [key], [n], len(key), len(key)
-                    if last > _COUNTED:
-                        yield rows()
-                        keys, counts, held, last = [], [], 0, 0
+            if not len(batch):
+                continue
+            _, pair, times = _links(batch)
+            key, n = _reduced([pair], [times])
+            keys.append(key)
+            counts.append(n)
+            held += len(key)
+            if held > 2 * last + _COUNTED // 2:
+                key, n = _reduced(keys, counts)
+                keys, counts, held, last = [key], [n], len(key), len(key)
+                if last > _COUNTED:
+                    yield rows()
+                    keys, counts, held, last = [], [], 0, 0
         if keys:
             key, n = _reduced(keys, counts)
             keys, counts = [key], [n]
             yield rows()
 
-    counted = docs.select("text").mapInArrow(count, "pair bigint, n bigint")
+    counted = aligned.select("pairs", "times").mapInArrow(count, "pair bigint, n bigint")
     return counted.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
@@ -296,65 +404,42 @@ def _frequent(pairs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bool
     return key[order], n[order], every
 
 
-_NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-_ALIGNED = "doc_id bigint, " + "".join(f"{name} bigint, " for name in _NUMBERS) + (
-    "groups_sha256 string, groups string, rare array<bigint>, times array<bigint>"
-)
-_ALIGNED_ARROW = pa.schema(
-    [("doc_id", pa.int64())]
-    + [(name, pa.int64()) for name in _NUMBERS]
-    + [("groups_sha256", pa.string()), ("groups", pa.string()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
-)
-
-
 def _per_doc(doc: np.ndarray, value: np.ndarray, docs: int) -> np.ndarray:
     total = np.zeros(docs, np.int64)
     np.add.at(total, doc, value)
     return total
 
 
-def _aligned(docs: DataFrame, files: tuple[str, str], frequent: tuple[np.ndarray, np.ndarray], best: np.ndarray, keep_groups: bool) -> DataFrame:
-    """One row per document; links of pairs that are not frequent are listed in ``rare``."""
-    shared = docs.sparkSession.sparkContext.broadcast((*frequent, best))
+def _counted(aligned: DataFrame, columns: list[str], b_vocabulary: int, frequent: tuple[np.ndarray, np.ndarray], best: np.ndarray) -> DataFrame:
+    """``n_best`` and ``count_sum`` as far as frequent pairs go; the others are listed in ``rare``."""
+    shared = aligned.sparkSession.sparkContext.broadcast((*frequent, best))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = TokenPair.shared(*files)
         known, count, most = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
-                found = both.encode(part.column("text").to_pylist())
-                found.align()
-                doc, rows = found.doc_of_link(), len(part)
-                key, inverse = np.unique(found.pairs(len(both.b_bytes)), return_inverse=True)
-                at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
-                is_known = known[at] == key if len(known) else np.zeros(len(key), bool)
-                uses = np.where(is_known, count[at] if len(known) else 0, 0)
-                is_best = (uses == most[key % len(both.b_bytes)]) & is_known
-                rare = np.flatnonzero(~is_known[inverse])
-                own, times = np.unique(doc[rare] * len(key) + inverse[rare], return_counts=True)
-                cuts = pa.array(np.searchsorted(own, np.arange(rows + 1) * len(key)).astype(np.int32))
-                groups = found.groups(both.digits)
-                numbers = [
-                    np.diff(found.a_doc),
-                    np.diff(found.b_doc),
-                    np.diff(np.concatenate(([0], np.cumsum(found.a_cut)))[found.a_doc]),
-                    np.bincount(doc, minlength=rows),
-                    np.bincount(doc[is_best[inverse]], minlength=rows),
-                    _per_doc(doc, uses[inverse], rows),
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        *[pa.array(x.astype(np.int64)) for x in numbers],
-                        pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in groups], pa.string()),
-                        pa.array([g.decode() for g in groups] if keep_groups else [None] * rows, pa.string()),
-                        pa.ListArray.from_arrays(cuts, pa.array(key[own % max(1, len(key))])),
-                        pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int64))),
-                    ],
-                    schema=_ALIGNED_ARROW,
-                )
-
-    return docs.mapInArrow(read, _ALIGNED)
+            if not len(batch):
+                continue
+            doc, pair, times = _links(batch)
+            at = np.minimum(np.searchsorted(known, pair), max(0, len(known) - 1))
+            is_known = known[at] == pair if len(known) else np.zeros(len(pair), bool)
+            uses = np.where(is_known, count[at] if len(known) else 0, 0)
+            is_best = (uses == most[pair % b_vocabulary]) & is_known
+            rare = np.flatnonzero(~is_known)
+            cuts = pa.array(np.searchsorted(doc[rare], np.arange(len(batch) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(name) for name in columns),
+                    pa.array(_per_doc(doc, times * is_best, len(batch))),
+                    pa.array(_per_doc(doc, times * uses, len(batch))),
+                    pa.ListArray.from_arrays(cuts, pa.array(pair[rare])),
+                    pa.ListArray.from_arrays(cuts, pa.array(times[rare])),
+                ],
+                names=[*columns, *_COUNTED_NUMBERS, "rare", "rare_times"],
+            )
+
+    kept = ", ".join(f"{name} {aligned.schema[name].dataType.simpleString()}" for name in columns)
+    schema = f"{kept}, n_best bigint, count_sum bigint, rare array<bigint>, rare_times array<bigint>"
+    return aligned.select(*columns, "pairs", "times").mapInArrow(read, schema)
 
 
 def align_tokens(
@@ -370,26 +455,31 @@ def align_tokens(
 
     ``groups`` lists the ids of each group, ``a1,a2|b1;a3|b2,b3``; without ``keep_groups``
     it is null. Files are named as ``public_tokenizers`` knows them. The driver receives
-    the counts of ``known_pairs`` pairs at most and one number per B id.
+    the counts of ``known_pairs`` pairs at most and one number per B id. The aligned
+    documents, with their pairs but without texts, are a table in the session's shared
+    folder that the result reads.
     """
     spark, files = docs.sparkSession, (a_file, b_file)
     b_vocabulary = len(TokenPair.shared(*files).b_bytes)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     needed, own = Scratch(spark), Scratch(spark)
-    pairs = own.stage(_pair_counts(rows, files), "pair-counts")
+    aligned = _aligned(rows, files, keep_groups).withColumn("row", F.monotonically_increasing_id())
+    aligned = needed.stage(aligned, "aligned", compression="zstd")
+    pairs = own.stage(_pair_counts(aligned), "pair-counts")
     b_id = (F.col("pair") % b_vocabulary).cast("int").alias("b")
     most = pairs.groupBy(b_id).agg(F.max("n").alias("most")).toArrow()  # a row per B id
     best = np.zeros(b_vocabulary, np.int64)
     best[most.column("b").to_numpy()] = most.column("most").to_numpy()
     known, count, every = _frequent(pairs, known_pairs)
-    aligned = _aligned(rows, files, (known, count), best, keep_groups)
     columns = ["doc_id", *_NUMBERS, "groups_sha256", "groups"]
+    counted = _counted(aligned, [*columns, "row"], b_vocabulary, (known, count), best)
+    shown = [*columns[:-2], *_COUNTED_NUMBERS, *columns[-2:]]
     if every:
         own.clear()
-        return aligned.select(*columns).withColumnRenamed("doc_id", doc_id)
-    aligned = needed.stage(aligned.withColumn("row", F.monotonically_increasing_id()), "aligned")
-    links = aligned.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
-        "row", F.col("x.rare").alias("pair"), F.col("x.times").alias("times")
+        return counted.select(*shown).withColumnRenamed("doc_id", doc_id)
+    counted = needed.stage(counted, "counted")
+    links = counted.select("row", F.explode(F.arrays_zip("rare", "rare_times")).alias("x")).select(
+        "row", F.col("x.rare").alias("pair"), F.col("x.rare_times").alias("times")
     )
     tops = pairs.groupBy(b_id).agg(F.max("n").alias("most"))
     rest = links.join(pairs, "pair").join(F.broadcast(tops), b_id == F.col("b"))  # a row per B id
@@ -399,7 +489,7 @@ def align_tokens(
     )
     rest = needed.stage(rest, "rare-links")
     own.clear()
-    joined = aligned.join(rest, "row", "left")
+    joined = counted.join(rest, "row", "left")
     joined = joined.withColumn("n_best", F.col("n_best") + F.coalesce("best", F.lit(0)))
     joined = joined.withColumn("count_sum", F.col("count_sum") + F.coalesce("sum", F.lit(0)))
-    return joined.select(*columns).withColumnRenamed("doc_id", doc_id)
+    return joined.select(*shown).withColumnRenamed("doc_id", doc_id)
