@@ -7,12 +7,14 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vacantia.functions.columns import representative_salary
 from vacantia.operators.bucket_levels import Quota
 from vacantia.operators.contract import split_rows
 from vacantia.operators.credentials import audit_credentials
 from vacantia.operators.filters import Filters
+from vacantia.operators.ordering import ordering
 from vacantia.operators.requests import (
     market_request_fault,
     search_request_fault,
@@ -23,12 +25,15 @@ from vacantia.operators.saved_searches import saved_search_hits, saved_search_to
 from vacantia.operators.token_bucket import admit_requests
 from vacantia.plans.access import decide_access
 from vacantia.plans.export import numbered_result
-from vacantia.plans.gold import build_gold
+from vacantia.plans.gold import build_gold, gold_of_counts, take_in_changes
 from vacantia.plans.metrics import market_metrics
 from vacantia.plans.search import Cursor, fingerprint, matching, page_rows, search, with_position
-from vacantia.plans.silver import build_silver
+from vacantia.plans.silver import build_silver, build_silver_with_faults
 from vacantia.session import pin_session
 from vacantia.sources import samples
+from vacantia.sources.bucketed import read_for_join, store_for_join
+from vacantia.sources.buckets import changes_between, read_bucketed, refresh_postings
+from vacantia.sources.rank_index import build_rank_index, page_behind, page_by_number
 from vacantia.sources.sinks import write_metrics, write_postings
 from vacantia.sources.tables import read_metrics, read_postings
 from vacantia.sources.workspace import new_path
@@ -79,6 +84,10 @@ silver AS (
 
 SILVER_SQL = f"WITH {POSTS_SQL}, {_silver_sql()}"
 
+FAULTY_SQL = f"""WITH {POSTS_SQL.replace("company AS (", "whole AS (")},
+company AS (SELECT * FROM whole WHERE id_company % 10 <> 3
+            UNION ALL SELECT id_company, companyname || ' (branch)', country FROM whole WHERE id_company % 25 = 1)"""
+
 UNTIDY_SQL = f"""WITH {POSTS_SQL}, untidy AS (
   SELECT * REPLACE (
     CASE WHEN id_jobpost % 23 = 0 THEN '9223372036854775807' WHEN id_jobpost % 29 = 0 THEN '9223372036854775808'
@@ -199,6 +208,87 @@ def _silver_rewrite(spark: SparkSession, folder: str) -> DataFrame:
     return read_postings(spark, path)
 
 
+def _earlier(silver: DataFrame) -> DataFrame:
+    """Silver as an earlier load may have left it: other salaries, rows since gone, rows yet to come."""
+    n = F.col("job_id")
+    known = silver.where(n % 11 != 4).withColumn("salary_max", F.when(n % 7 == 0, n % 1000).otherwise(F.col("salary_max")))
+    return known.unionByName(silver.where(n % 9 == 1).withColumn("job_id", -n).withColumn("country", F.lit("NOWHERE")))
+
+
+def _silver_by_difference(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "silver")
+    silver = _silver(spark, folder)
+    refresh_postings(_earlier(silver), path, buckets=32, cluster_by=("country",))
+    refresh_postings(silver, path, cluster_by=("country",))
+    return read_bucketed(spark, path)
+
+
+def _silver_changes(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "silver")
+    silver = _silver(spark, folder)
+    first = refresh_postings(_earlier(silver), path, buckets=32)
+    refresh_postings(silver, path)
+    return changes_between(spark, path, first.version).select("job_id", "sign", "country", "salary_max")
+
+
+def _gold_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Gold from counts that an earlier load left and a refresh by difference brought up to date."""
+    path, counts = new_path(spark, "silver"), new_path(spark, "gold-counts")
+    silver = _silver(spark, folder)
+    first = refresh_postings(_earlier(silver), path, buckets=32)
+    take_in_changes(changes_between(spark, path, None, first.version), counts)
+    refresh_postings(silver, path)
+    take_in_changes(changes_between(spark, path, first.version), counts)
+    return _dated(gold_of_counts(spark, counts, RUN_AT))
+
+
+def _silver_bucketed(spark: SparkSession, folder: str) -> DataFrame:
+    """Silver by a merge of stored buckets; the catalog entries go, their files are the working folder's."""
+    pin_session(spark)
+    path = new_path(spark, "join-tables")
+    posts, companies = (f"{name}_{path.rsplit('-', 1)[1]}" for name in ("posts", "companies"))
+    store_for_join(samples.posts(spark, folder), samples.companies(spark, folder), posts, companies, path, buckets=16)
+    silver = build_silver(*read_for_join(spark, posts, companies))
+    for name in (posts, companies):
+        spark.sql(f"DROP TABLE {name}")
+    return silver
+
+
+def _faulty(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    pin_session(spark)
+    return build_silver_with_faults(samples.posts(spark, folder), samples.untidy_companies(spark, folder))
+
+
+def _ranked_page(sort: str, number: int, **filters) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        path = new_path(spark, "rank-index")
+        build_rank_index(_silver(spark, folder), path, sort, Filters(**filters), rows_per_file=5_000)
+        return page_by_number(spark, path, number, sort)
+
+    return run
+
+
+def _ranked_page_sql(sort: str, number: int, where: str = "TRUE") -> str:
+    return f"""{_export_sql(sort, where)}) WHERE page_no = {number}""".replace("SELECT *, (rank", "SELECT * FROM (SELECT *, (rank", 1)
+
+
+def _page_behind(sort: str) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        path = new_path(spark, "rank-index")
+        build_rank_index(_silver(spark, folder), path, sort, rows_per_file=5_000)
+        last = page_by_number(spark, path, 9, sort).withColumn("key", ordering(sort).key()).orderBy(F.desc("rank")).first()
+        return page_behind(spark, path, last["key"], last["job_id"], sort, limit=50)
+
+    return run
+
+
+def _stored_ci(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "silver")
+    write_postings(_silver(spark, folder), path)
+    page = page_rows(read_postings(spark, path, with_key=True), Filters(country="nAtIoN_1"), limit=100, ignore_case=True)
+    return with_position(page, "salary_max_desc")
+
+
 def _load_report(spark: SparkSession, folder: str) -> DataFrame:
     silver, gold = new_path(spark, "silver"), new_path(spark, "gold")
     rows = write_postings(_silver(spark, folder), silver)
@@ -385,18 +475,21 @@ def _bucket_batch(spark: SparkSession, folder: str) -> DataFrame:
 def _bucket_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The log arrives in four stretches of time, each of them one micro-batch.
 
-    The stream is started again for every stretch and takes whatever files that one has.
+    One scan deals the log to its stretches; the stream is started again for every stretch
+    and takes whatever files that one has. Requests without a time come first, where they
+    stop the stream.
     """
     pin_session(spark)
     source, path, checkpoint = (new_path(spark, name) for name in ("arrivals", "decisions", "admission-checkpoint"))
     events = samples.events_by_client(spark, folder)
-    bounds = events.select(F.expr("percentile_approx(unix_micros(cast(ts AS timestamp)), array(0.25, 0.5, 0.75))")).first()[0]
-    edges = [None, *(bounds or []), None]
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    for low, high in zip(edges, edges[1:]):
-        part = events if low is None else events.where(us > low)
-        part = part if high is None else part.where(us <= high)
-        part.write.mode("append").parquet(source)
+    bounds = events.select(F.expr("percentile_approx(unix_micros(cast(ts AS timestamp)), array(0.25, 0.5, 0.75))")).first()[0]
+    number = sum(((us > bound).cast("int") for bound in bounds or []), F.lit(0))
+    dealt = new_path(spark, "stretches")
+    events.withColumn("stretch", F.coalesce(number, F.lit(0))).write.partitionBy("stretch").parquet(dealt)
+    stretches = spark.read.schema(T.StructType([*events.schema, T.StructField("stretch", T.IntegerType())])).parquet(dealt)
+    for stretch in range(len(bounds or []) + 1):
+        stretches.where(F.col("stretch") == stretch).drop("stretch").write.mode("append").parquet(source)
         log = spark.readStream.schema(events.schema).parquet(source)
         start_admission(log, QUOTA, path, checkpoint, client="user_id").awaitTermination()
     return read_decisions(spark, path).select("user_id", "event_id", "admitted", "tokens_left")
@@ -422,6 +515,38 @@ REGISTERED: dict[str, tuple[Query, str]] = {
 WHERE salary_min IS NOT NULL AND salary_max IS NOT NULL""",
     ),
     "silver_rewrite": (_silver_rewrite, f"{SILVER_SQL} SELECT * FROM silver"),
+    "silver_by_difference": (_silver_by_difference, f"{SILVER_SQL} SELECT * FROM silver"),
+    "silver_changes": (
+        _silver_changes,
+        f"""{SILVER_SQL}, earlier AS (
+  SELECT job_id, country, CASE WHEN job_id % 7 = 0 THEN job_id % 1000 ELSE salary_max END AS salary_max FROM silver WHERE job_id % 11 <> 4
+  UNION ALL SELECT -job_id, 'NOWHERE', salary_max FROM silver WHERE job_id % 9 = 1),
+now_ AS (SELECT job_id, country, salary_max FROM silver)
+SELECT 1 AS sign, * FROM (SELECT * FROM now_ EXCEPT SELECT * FROM earlier)
+UNION ALL SELECT -1, * FROM (SELECT * FROM earlier EXCEPT SELECT * FROM now_)""",
+    ),
+    "gold_incremental": (_gold_incremental, f"{SILVER_SQL}, {GOLD_SQL} SELECT * FROM gold"),
+    "silver_bucketed_join": (_silver_bucketed, f"{SILVER_SQL} SELECT * FROM silver"),
+    "silver_of_faulty_keys": (lambda spark, folder: _faulty(spark, folder)[0], f"{FAULTY_SQL}, {_silver_sql()} SELECT * FROM silver"),
+    "silver_key_faults": (
+        lambda spark, folder: _faulty(spark, folder)[1],
+        f"""{FAULTY_SQL}, keys AS (SELECT id_company, count(*) AS companies FROM company GROUP BY id_company)
+SELECT p.id_company, CASE WHEN companies IS NULL THEN 'orphan' ELSE 'repeated' END AS fault, count(*) AS postings,
+       coalesce(companies, 0) AS companies
+FROM posts p LEFT JOIN keys k ON k.id_company = p.id_company WHERE companies IS NULL OR companies > 1
+GROUP BY p.id_company, companies""",
+    ),
+    "search_country_ci_stored": (_stored_ci, _page_sql("lower(coalesce(country, '')) = lower('nation_1')")),
+    **{f"page_by_number_{sort}": (_ranked_page(sort, 50), _ranked_page_sql(sort, 50)) for sort in ORDER_SQL},
+    "page_by_number_filtered": (
+        _ranked_page("salary_min_asc", 20, seniority="senior"),
+        _ranked_page_sql("salary_min_asc", 20, "seniority = 'senior'"),
+    ),
+    "page_behind_cursor": (
+        _page_behind("salary_max_desc"),
+        f"""{SILVER_SQL} SELECT * FROM (
+  SELECT *, row_number() OVER (ORDER BY {ORDER_SQL["salary_max_desc"]}) AS rank FROM silver) WHERE rank BETWEEN 181 AND 230""",
+    ),
     "contract_split": (
         _contract,
         f"""{UNTIDY_SQL} SELECT job_id, concat_ws(',', CASE WHEN title IS NULL THEN 'title' END,

@@ -1,6 +1,8 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
 from vacantia.operators.bucket_levels import Quota
 from vacantia.operators.token_bucket import admit_requests
 from vacantia.streaming.token_bucket import read_decisions, start_admission
@@ -68,11 +70,38 @@ def test_a_client_with_most_of_a_batch_and_requests_of_nobody(spark, tmp_path):
     assert len(found) == 300 and sum(r.admitted is None for r in found) == sum(c is None for c, *_ in rows)
 
 
-def test_levels_of_full_buckets_are_forgotten(spark, tmp_path):
+def test_levels_of_full_buckets_are_forgotten_at_a_fold(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("vacantia.streaming.token_bucket.FOLD", 2)
     source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
     write_file(spark, source, [(f"c{i}", i, START) for i in range(50)])
     run(spark, source, out, checkpoint, keep_us=1)
-    assert spark.read.parquet(f"{out}/levels/0").count() == 50
+    assert spark.read.parquet(f"{out}/levels/batch-0").count() == 50
     write_file(spark, source, [("late", 99, START + timedelta(days=3))])
     run(spark, source, out, checkpoint, keep_us=1)
-    assert spark.read.parquet(f"{out}/levels/1").count() == 1
+    # A batch only adds the levels of its own clients.
+    assert spark.read.parquet(f"{out}/levels/batch-1").count() == 1
+    assert spark.read.parquet(f"{out}/levels/folded-1").count() == 1
+
+
+def test_folds_do_not_show(spark, tmp_path, monkeypatch):
+    """Many batches, several folds and a restart are one sequential log."""
+    monkeypatch.setattr("vacantia.streaming.token_bucket.FOLD", 3)
+    rng = random.Random(12)
+    source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    rows = [(rng.choice("aabcdefgh"), i, START + timedelta(seconds=4 * i)) for i in range(140)]
+    for first in range(0, 140, 20):
+        write_file(spark, source, rows[first : first + 20])
+        if first in (80, 120):
+            run(spark, source, out, checkpoint)
+    found = read_decisions(spark, out)
+    wanted = admit_requests(spark.createDataFrame(rows, LOG), QUOTA)
+    columns = ["client_id", "event_id", "admitted", "level"]
+    assert sorted(found.select(*columns).collect()) == sorted(wanted.select(*columns).collect())
+    assert found.select("batch").distinct().count() == 7
+
+
+def test_a_request_without_a_time_stops_the_stream(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    write_file(spark, source, [("a", 1, START), ("a", 2, None)])
+    with pytest.raises(Exception, match="without a time"):
+        run(spark, source, out, checkpoint)

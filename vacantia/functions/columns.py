@@ -38,6 +38,11 @@ def representative_salary(low: str = "salary_min", high: str = "salary_max") ->
     return salary_sum(low, high).cast("double") / F.lit(2.0)
 
 
+def country_key(country: str | Column = "country") -> Column:
+    """A country without regard to case; NULL is ''."""
+    return F.lower(F.coalesce(country, F.lit("")))
+
+
 def key_digest(raw: str | Column) -> Column:
     """SHA-256 hex of a credential."""
     return F.sha2(raw, 256)

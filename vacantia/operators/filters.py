@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vacantia.errors import RequestError
+from vacantia.functions.columns import country_key
 from vacantia.schema import (
     FILTER_NAMES,
     MAX_COUNTRY_LENGTH,
@@ -56,10 +57,11 @@ class Filters:
                 raise RequestError("INVALID_FILTER", "value out of range", f"filters.{name}")
         return self
 
-    def predicate(self, ignore_case: bool = False) -> Column:
+    def predicate(self, ignore_case: bool = False, stored_key: str | None = None) -> Column:
         """Conjunction of the active filters on bare columns, values as literals.
 
-        ``salary_min`` asks for postings whose upper salary reaches the value.
+        ``salary_min`` asks for postings whose upper salary reaches the value. A country is
+        compared without regard to case on the column ``stored_key`` where the table has one.
         """
         tests = []
         if self.seniority is not None:
@@ -70,9 +72,9 @@ class Filters:
             tests.append(F.col("salary_max") >= F.lit(self.salary_min))
         if self.country is not None:
             if ignore_case:
-                country = F.lower(F.coalesce("country", F.lit("")))
+                country = F.col(stored_key) if stored_key else country_key()
                 # Both sides by the same function: its lower case need not be Python's.
-                tests.append(country == F.lower(F.lit(self.country)))
+                tests.append(country == country_key(F.lit(self.country)))
             else:
                 tests.append(F.col("country") == F.lit(self.country))
         return reduce(and_, tests, F.lit(True))

@@ -33,6 +33,11 @@ def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     two coarser prefixes of the value; walking down from the coarsest prefix, each
     window sees at most 2**LEVEL_BITS rows per group. A group may be NULL.
     """
+    return median_of_counts(rows.withColumn("n of the row", F.lit(1).cast("bigint")), keys, value, "n of the row")
+
+
+def median_of_counts(rows: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:
+    """``exact_median`` of rows that each stand for ``n`` equal ones."""
     # A struct is never NULL itself, so NULL groups join by plain equality; with the
     # bucket not nullable either, no join adds a filter and all levels read one shuffle.
     group = F.struct(*keys).alias("group")
@@ -40,9 +45,9 @@ def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     bucket = F.coalesce(number, F.lit(0).cast("decimal(20,0)")).alias("bucket")
     counted = (
         rows.where(F.col(value).isNotNull())
-        .select(group, bucket)
+        .select(group, bucket, F.col(n).alias("n"))
         .groupBy("group", "bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
     zero = F.lit(0).cast("decimal(20,0)")
     prefix = F.coalesce(F.floor(F.col("bucket") / F.lit(1 << LEVEL_BITS)).cast("decimal(20,0)"), zero)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vacantia.errors import RequestError
 from vacantia.operators.filters import Filters
 from vacantia.operators.ordering import ordering
-from vacantia.schema import DEFAULT_LIMIT, DEFAULT_SORT, MAX_LIMIT, POSTING_COLUMNS
+from vacantia.schema import COUNTRY_KEY, DEFAULT_LIMIT, DEFAULT_SORT, MAX_LIMIT, POSTING_COLUMNS
 
 
 @dataclass(frozen=True)
@@ -40,8 +40,12 @@ def fingerprint(filters: Filters, sort: str, ignore_case: bool = False) -> str:
 
 
 def matching(silver: DataFrame, filters: Filters, ignore_case: bool = False) -> DataFrame:
-    """All postings that pass the filters, in contract columns."""
-    return silver.where(filters.predicate(ignore_case)).select(*POSTING_COLUMNS)
+    """All postings that pass the filters, in contract columns.
+
+    Of a stored table read with its key column the country is compared on that.
+    """
+    stored_key = COUNTRY_KEY if COUNTRY_KEY in silver.columns else None
+    return silver.where(filters.predicate(ignore_case, stored_key)).select(*POSTING_COLUMNS)
 
 
 def count_matching(silver: DataFrame, filters: Filters, ignore_case: bool = False) -> int:

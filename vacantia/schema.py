@@ -19,6 +19,10 @@ POSTING_SCHEMA = T.StructType(
     ]
 )
 POSTING_COLUMNS = POSTING_SCHEMA.names
+#: Stored beside the contract columns: the country in lower case, '' for none.
+COUNTRY_KEY = "country_key"
+#: Different countries that a Bloom filter of one row group is sized for.
+COUNTRIES = 1_000
 
 METRIC_SCHEMA = T.StructType(
     [

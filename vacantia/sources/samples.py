@@ -45,6 +45,14 @@ def companies(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def untidy_companies(spark: SparkSession, folder: str) -> DataFrame:
+    """Companies of which some are missing and some stand there twice."""
+    key = F.col("id_company")
+    whole = companies(spark, folder)
+    branch = F.concat("companyname", F.lit(" (branch)"))
+    return whole.where(key % 10 != 3).unionByName(whole.where(key % 25 == 1).withColumn("companyname", branch))
+
+
 def untidy_posts(spark: SparkSession, folder: str) -> DataFrame:
     """Postings with unusable numbers and missing titles among them."""
     key = F.col("id_jobpost")

@@ -15,14 +15,16 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.errors import ContractError
+from vacantia.functions.columns import country_key
 from vacantia.operators.contract import check_columns, with_violations
-from vacantia.schema import METRIC_COLUMNS, POSTING_COLUMNS
+from vacantia.schema import COUNTRIES, COUNTRY_KEY, METRIC_COLUMNS, POSTING_COLUMNS
 from vacantia.sources.tables import current_version, version_path
 
 _LOG = "version string, rows bigint, at_ns bigint"
 
 
-def _publish(spark: SparkSession, path: str, version: str, rows: int) -> None:
+def publish(spark: SparkSession, path: str, version: str, rows: int) -> None:
+    """Make a version that is written as a whole the current one."""
     entry = spark.createDataFrame([(version, rows, time.time_ns())], _LOG)
     entry.coalesce(1).write.mode("append").parquet(f"{path}/published")
 
@@ -41,7 +43,7 @@ def replace_table(
         writer = writer.partitionBy(partition_by)
     writer.parquet(version_path(path, version))
     rows = counted.get["rows"]
-    _publish(df.sparkSession, path, version, rows)
+    publish(df.sparkSession, path, version, rows)
     return rows
 
 
@@ -58,14 +60,15 @@ def write_postings(
     their own within the version (``read_rejected``). With ``on_bad="raise"`` such a
     version is not published; with ``"quarantine"`` it is, without these rows.
     ``cluster_by`` range-partitions the files on those columns and the key, which lets
-    searches skip files by their statistics.
+    searches skip files by their statistics. The country without regard to case is stored
+    as well, with a Bloom filter, for searches that ignore case.
     """
     if on_bad not in ("raise", "quarantine"):
         raise ValueError(f"on_bad must be raise or quarantine, not {on_bad}")
     check_columns(silver.columns, POSTING_COLUMNS)
     version, counted = uuid.uuid4().hex, Observation()
     broken = F.size("violations") > 0
-    checked = with_violations(silver)
+    checked = with_violations(silver).withColumn(COUNTRY_KEY, country_key())
     if cluster_by:
         order = [*cluster_by, "job_id"]
         checked = checked.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -76,19 +79,22 @@ def write_postings(
         F.min(F.when(broken, F.struct("job_id", "violations"))).alias("first"),
     )
     writer = checked.withColumn("rejected", broken).write.partitionBy("rejected")
+    # Tells row groups apart that hold a country from those that do not, whatever the order of rows.
+    writer = writer.option(f"parquet.bloom.filter.enabled#{COUNTRY_KEY}", "true")
+    writer = writer.option(f"parquet.bloom.filter.expected.ndv#{COUNTRY_KEY}", str(COUNTRIES))
     writer.parquet(version_path(path, version))
     found = counted.get
     if found["broken"] and on_bad == "raise":
         first = found["first"]
         raise ContractError(f"posting {first['job_id']} breaks {first['violations']}")
-    _publish(silver.sparkSession, path, version, found["rows"])
+    publish(silver.sparkSession, path, version, found["rows"])
     return found["rows"]
 
 
 def read_rejected(spark: SparkSession, path: str) -> DataFrame:
     """Rows that the current version of a silver table left out, with their ``violations``."""
     rows = spark.read.parquet(version_path(path, current_version(spark, path)))
-    return rows.where(F.col("rejected").cast("boolean")).drop("rejected")
+    return rows.where(F.col("rejected").cast("boolean")).drop("rejected", COUNTRY_KEY)
 
 
 def write_metrics(gold: DataFrame, path: str) -> int:

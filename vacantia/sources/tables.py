@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.schema import METRIC_COLUMNS, METRIC_SCHEMA, POSTING_COLUMNS, POSTING_SCHEMA
+from vacantia.schema import COUNTRY_KEY, METRIC_COLUMNS, METRIC_SCHEMA, POSTING_COLUMNS, POSTING_SCHEMA
 
-_STORED_POSTINGS = T.StructType([*POSTING_SCHEMA, T.StructField("rejected", T.BooleanType())])
+_STORED_POSTINGS = T.StructType(
+    [*POSTING_SCHEMA, T.StructField(COUNTRY_KEY, T.StringType()), T.StructField("rejected", T.BooleanType())]
+)
 
 
 def jdbc_options(
@@ -64,10 +66,10 @@ def current_version(spark: SparkSession, path: str) -> str:
     return log.agg(F.max_by("version", F.struct("at_ns", "version"))).first()[0]
 
 
-def read_postings(spark: SparkSession, path: str) -> DataFrame:
-    """The silver table in contract order."""
+def read_postings(spark: SparkSession, path: str, with_key: bool = False) -> DataFrame:
+    """The silver table in contract order; ``with_key`` for searches that ignore case."""
     rows = spark.read.schema(_STORED_POSTINGS).parquet(version_path(path, current_version(spark, path)))
-    return rows.where(~F.col("rejected")).select(*POSTING_COLUMNS)
+    return rows.where(~F.col("rejected")).select(*POSTING_COLUMNS, *([COUNTRY_KEY] if with_key else []))
 
 
 def read_metrics(spark: SparkSession, path: str, dimension: str | None = None) -> DataFrame:
