@@ -15,6 +15,7 @@ from vacantia.plans.gold import build_gold
 from vacantia.plans.metrics import market_metrics
 from vacantia.plans.search import Cursor, fingerprint, matching, page_rows, search
 from vacantia.plans.silver import build_silver
+from vacantia.schema import COUNTRY_KEY, POSTING_COLUMNS
 from vacantia.sources import samples
 from vacantia.sources.sinks import write_metrics, write_postings
 from vacantia.sources.tables import read_metrics, read_postings
@@ -55,6 +56,36 @@ def test_filters_reach_the_scan(spark, tables):
         assert part in line
 
 
+def test_a_country_without_regard_to_case_reaches_the_scan_and_skips_row_groups(spark, raw_silver, tmp_path):
+    path = str(tmp_path / "silver")
+    before = spark.conf.get("spark.sql.files.maxRecordsPerFile")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "40")  # small files, each with most countries between its least and greatest
+    try:
+        write_postings(raw_silver, path)
+    finally:
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", before)
+    stored = read_postings(spark, path, with_key=True)
+    wanted = raw_silver.where("country = 'NATION_12'").count()
+    for silver, skips in ((stored, True), (read_postings(spark, path), False)):
+        found = matching(silver, Filters(country="NaTiOn_12"), ignore_case=True)
+        assert ("EqualTo(country_key,nation_12)" in plan(found)) == skips
+        assert len(found.collect()) == wanted > 0
+        scan = found._jdf.queryExecution().executedPlan()
+        rows = {}
+
+        def walk(node):
+            name = node.nodeName()
+            if name.startswith("Scan"):
+                rows["read"] = node.metrics().apply("numOutputRows").value()
+            children = node.children()
+            for i in range(children.size()):
+                walk(children.apply(i))
+
+        walk(scan)
+        assert (rows["read"] < raw_silver.count()) == skips
+    assert COUNTRY_KEY not in stored.select(*POSTING_COLUMNS).columns
+
+
 @pytest.mark.parametrize(
     ("sort", "column"),
     [("salary_max_desc", "salary_max"), ("salary_min_asc", "salary_min"), ("experience_asc", "years_exp")],
