@@ -1,3 +1,4 @@
+import math
 import random
 
 from vacantia.llm.toxicity import ToxicityModel, Lookup, fit_toxicity, maximal_segments, score_toxicity
@@ -76,3 +77,46 @@ def test_accuracy_on_the_given_labels(spark):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     found = score_toxicity(docs, fit_toxicity(docs, labels)).join(labels, "doc_id").where("held_out").collect()
     assert sum(row.predicted == row.toxic for row in found) / len(found) > 0.9
+
+
+def test_tokens_are_counted_over_all_labelled_rows_and_texts_once(spark, monkeypatch):
+    """Against counts by hand: copies and repeats of a word count once, held-out rows and unlabelled ones not."""
+    from collections import Counter
+
+    from vacantia.llm import toxicity
+    from vacantia.llm.labelled import training_labels
+    from vacantia.llm.session import Scratch
+
+    rows, labels = corpus(random.Random(3), 400)
+    rows += [(1000 + i, "clown clown " + rows[0][1], "en") for i in range(30)] + [(2000 + i, rows[4][1], "en") for i in range(50)]
+    labels += [(1000 + i, None, 1) for i in range(30)] + [(2000 + i, None, 1) for i in range(50)]
+    docs, marks = spark.createDataFrame(rows, "doc_id bigint, text string, kind string"), spark.createDataFrame(labels, LABELS)
+    training = training_labels(marks, "toxic")
+    known = {r.doc_id: r.label for r in training.collect()}
+    texts = {}
+    for i, text, _ in rows:
+        if i in known:
+            texts[text] = max(texts.get(text, 0), known[i])
+    counts, totals = Counter(), Counter()
+    for text, kind in texts.items():
+        for word in set(toxicity.words_of(text)):
+            totals[kind] += 1
+            for token in toxicity.tokens_of(word):
+                counts[token, kind] += 1
+    everywhere = Counter(t for _, text, _ in rows for w in set(toxicity.words_of(text)) for t in toxicity.tokens_of(w))
+    words = sum(len(set(toxicity.words_of(text))) for _, text, _ in rows)
+    wanted = {}
+    for token in {t for t, _ in counts}:
+        prior = (toxicity.PRIOR_SHARE * totals[1] + 1) * (everywhere[token] + 0.5) / (words + 1)
+        y1, y0 = counts[token, 1] + prior, counts[token, 0] + prior
+        size = toxicity.PRIOR_SHARE * totals[1] + 1
+        delta = math.log(y1 / (totals[1] + size - y1)) - math.log(y0 / (totals[0] + size - y0))
+        if delta / math.sqrt(1 / y1 + 1 / y0) >= toxicity.LEAST_Z and delta > toxicity.DRIFT:
+            wanted[token] = (delta, counts[token, 0])
+    assert {"clown", "idiot", "scum"} <= set(wanted)
+    for known_tokens, counted in ((200_000, 1_000_000), (0, 50)):  # told to tasks, or all words counted
+        monkeypatch.setattr(toxicity, "KNOWN_TOKENS", known_tokens)
+        monkeypatch.setattr(toxicity, "_COUNTED", counted)
+        found, clean = toxicity._significant(docs.repartition(5), training, Scratch(spark))
+        assert clean == totals[0] and set(found) == set(wanted)
+        assert all(abs(found[t][0] - wanted[t][0]) < 1e-9 and found[t][1] == wanted[t][1] for t in wanted)

@@ -1,10 +1,12 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
-1. A bounded sample of labelled documents proposes tokens that toxic documents use more.
-   A token is a word or the beginning of a word (4, 5 or 6 letters).
-2. Their uses are counted in all documents and in all labelled documents. Log-odds of
-   toxic against clean use have a Dirichlet prior proportional to the use in all
-   documents; tokens whose log-odds are significant make the model.
+1. Tokens are counted in all labelled rows to learn from, in each task first. A token is a
+   word or the beginning of a word (4, 5 or 6 letters). Of rows with one text one counts,
+   and a word counts once in a text: neither copies nor a text that repeats itself make a
+   habit. What cannot be significant whatever all documents say is left out by arithmetic.
+2. The uses of the rest are counted in all documents. Log-odds of toxic against clean use
+   have a Dirichlet prior proportional to the use in all documents; all tokens whose
+   log-odds are significant make the model, however many they are.
 3. A document's words score their log-odds less a constant. One linear scan finds all
    maximal scoring segments (Ruzzo and Tompa 1999).
 4. By extreme-value statistics (Karlin and Altschul 1990) a segment of score ``s`` in
@@ -28,15 +30,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.llm.bitset import fitting, has
 from vacantia.llm.labelled import fit_logistic, held_out, logistic, sampled_docs, training_labels
+from vacantia.llm.session import Scratch
 
-#: Labelled documents of each kind that are read to propose tokens and to calibrate.
+#: Labelled documents of each kind that the calibration reads.
 SAMPLE_PER_CLASS = 3000
-#: Most tokens of a model.
-MODEL_TOKENS = 2000
+#: Candidate tokens that tasks are told; with more, tasks count all words.
+KNOWN_TOKENS = 200_000
+#: Words that a task counts before it hands them on.
+_COUNTED = 1_000_000
 PREFIXES = (4, 5, 6)
 #: Words of the Dirichlet prior, as a share of the words of toxic documents.
 PRIOR_SHARE = 0.1
@@ -134,90 +140,127 @@ class ToxicityModel:
         return logistic(evidence, self.calibration)
 
 
-def _propose(sample: DataFrame, limit: int) -> list[str]:
-    """Tokens that more toxic than clean documents of the sample use, the clearest first."""
+def _word_counts(texts: DataFrame, kinds: int, wanted: set[str] | None = None) -> DataFrame:
+    """``word, kind, n``: how many texts of each kind have a word, summed in each task.
+
+    With ``wanted`` only words that have such a token are told. The word '' stands for all
+    words of all texts.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        told = Lookup(lambda word: known is None or any(t in known for t in tokens_of(word)))
+        found, totals = [Counter() for _ in range(kinds)], [0] * kinds
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for kind, own in enumerate(found):
+                words = [w for w in own if told[w]]
+                columns = {"word": words, "kind": [kind] * len(words), "n": [own[w] for w in words]}
+                yield pa.RecordBatch.from_pydict(columns, _COUNTS)
+                own.clear()
+
         for batch in batches:
-            toxic, clean = Counter(), Counter()
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                (toxic if label else clean).update({t for w in set(words_of(text or "")) for t in tokens_of(w)})
-            tokens = list(toxic)
-            yield pa.RecordBatch.from_pydict(
-                {"token": tokens, "toxic": [toxic[t] for t in tokens], "clean": [clean[t] for t in tokens]}, _COUNTS
-            )
-            rest = [t for t in clean if t not in toxic]
-            yield pa.RecordBatch.from_pydict(
-                {"token": rest, "toxic": [0] * len(rest), "clean": [clean[t] for t in rest]}, _COUNTS
-            )
+            for text, kind in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist(), strict=True):
+                own = set(words_of(text or ""))
+                totals[kind] += len(own)
+                found[kind].update(own)
+            if sum(map(len, found)) > _COUNTED:
+                yield from rows()
+        yield from rows()
+        yield pa.RecordBatch.from_pydict({"word": [""] * kinds, "kind": list(range(kinds)), "n": totals}, _COUNTS)
 
-    # Copies of one text must not make its rare words look like a habit.
-    texts = sample.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("label").alias("label"))
-    counts = texts.mapInArrow(count, "token string, toxic bigint, clean bigint")
-    sizes = {row.label: row["count"] for row in sample.groupBy("label").count().collect()}
-    if len(sizes) < 2:
-        return []
-    a, b = F.sum("toxic") / sizes[1], (F.sum("clean") + 1) / sizes[0]
-    found = (
-        counts.groupBy("token")
-        .agg(F.sum("toxic").alias("uses"), (a / b).alias("ratio"))
-        .where("uses >= 3 AND ratio >= 2")
-        .orderBy((F.col("uses") * F.log("ratio")).desc(), "token")
-        .limit(limit)
-    )
-    return [row.token for row in found.collect()]
+    counts = texts.select("text", "kind").mapInArrow(count, "word string, kind int, n bigint")
+    return counts.groupBy("word", "kind").agg(F.sum("n").alias("n"))
+
+
+_COUNTS = pa.schema([("word", pa.string()), ("kind", pa.int32()), ("n", pa.int64())])
 
 
-_COUNTS = pa.schema([("token", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
-_USES = pa.schema([("doc_id", pa.int64()), ("words", pa.int64()), ("tokens", pa.list_(pa.int32()))])
+def _token_column() -> Column:
+    """``tokens_of`` as an expression."""
+    beginnings = [F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in PREFIXES]
+    return F.explode(F.array_compact(F.array(F.col("word"), *beginnings))).alias("token")
 
 
-def _count_uses(docs: DataFrame, training: DataFrame, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Uses of each token in all, clean and toxic documents, and the words of these."""
-    number = {token: i for i, token in enumerate(tokens)}
+def _labelled_texts(docs: DataFrame, training: DataFrame, scratch: Scratch) -> DataFrame:
+    """``text, kind`` of the rows to learn from, one row of each text.
 
-    def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(lambda word: [number[t] for t in tokens_of(word) if t in number])
+    Only texts that a bit array of bounded size does not rule out are shuffled.
+    """
+    digest = F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest).join(training, "doc_id")
+    # Of rows of one text the least id stands for all; toxic if one of them is.
+    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("kind"))
+    firsts = scratch.stage(firsts, "labelled-texts")
+    hashes = firsts.select(F.xxhash64("doc_id").alias("hash"))
+    shared = docs.sparkSession.sparkContext.broadcast(fitting(hashes, "hash"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, words, found = batch.column("doc_id").to_pylist(), [], []
-            for text in batch.column("text").to_pylist():
-                own = words_of(text or "")
-                words.append(len(own))
-                found.append([n for numbers in map(lookup.__getitem__, own) if numbers for n in numbers])
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "words": words, "tokens": found}, _USES)
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(uses, "doc_id bigint, words bigint, tokens array<int>")
-    kinds = rows.join(training, "doc_id", "left").withColumn("kind", F.coalesce("label", F.lit(2)))
-    # Number -1 stands for all words of a document.
-    parts = kinds.select(
-        "kind",
-        F.explode(
-            F.concat(
-                F.transform("tokens", lambda t: F.struct(t.alias("token"), F.lit(1).cast("long").alias("n"))),
-                F.array(F.struct(F.lit(-1).alias("token"), F.col("words").alias("n"))),
-            )
-        ).alias("use"),
+            likely = has(shared.value, batch.column("hash").to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(likely)).select(["doc_id", "digest", "text"])
+
+    texts = docs.where(F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), digest, "text", F.xxhash64(F.col("doc_id").cast("long")).alias("hash")
     )
-    table, totals = np.zeros((len(tokens), 3)), np.zeros(3)
-    for row in parts.groupBy("kind", "use.token").agg(F.sum("use.n").alias("n")).collect():  # 3 rows a token at most
-        (totals if row.token < 0 else table[row.token])[row.kind] = row.n
-    return table, totals
+    likely = texts.mapInArrow(choose, "doc_id bigint, digest bigint, text string")
+    return likely.join(firsts, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("text", "kind")
 
 
-def _log_odds(tokens: list[str], table: np.ndarray, totals: np.ndarray) -> dict[str, float]:
-    strength = PRIOR_SHARE * totals[1] + 1
-    prior = strength * (table.sum(1) + 0.5) / (totals.sum() + 1)
-    clean, toxic = table[:, 0] + prior, table[:, 1] + prior
+def least_uses(clean: float, toxic: float) -> int:
+    """Fewest toxic uses of a token with which its log-odds can be significant at all.
+
+    Whatever its uses and prior elsewhere, ``y`` in all: ``z`` of ``k`` toxic uses and a
+    prior ``p <= y`` is at most the greatest over ``y`` of the value here.
+    """
+    ratio = (clean + 1) / (toxic + 1)
+    y = np.exp(np.linspace(np.log(1e-3), np.log(1e6), 4000))
+    k = 1
+    while k < 1000:
+        # Half a use more than counted bounds what the prior may add.
+        z = np.log(np.maximum(1e-300, (k + 0.5) * 1.1 * ratio / y)) / np.sqrt(1 / (k + 0.5) + 1 / y)
+        if z.max() >= LEAST_Z:
+            return k
+        k += 1
+    return k
+
+
+def _significant(docs: DataFrame, training: DataFrame, scratch: Scratch) -> tuple[dict[str, tuple[float, float]], float]:
+    """Log-odds and clean uses of all significant tokens, and the clean words counted."""
+    labelled = scratch.stage(_word_counts(_labelled_texts(docs, training, scratch), 2), "labelled-words")
+    totals = {row.kind: row.n for row in labelled.where("word = ''").collect()}  # two rows
+    clean, toxic = totals.get(0, 0), totals.get(1, 0)
+    if not toxic or not clean:
+        return {}, 0.0
+    tokens = labelled.where("word <> ''").select(_token_column(), "kind", "n").groupBy("token").agg(
+        F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("toxic"),
+        F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("clean"),
+    )
+    # A prior draws both rates together, so log-odds of no more than these cannot pass.
+    likelier = F.col("toxic") * F.lit(float(clean)) > F.col("clean") * F.lit(float(toxic))
+    candidates = scratch.stage(tokens.where((F.col("toxic") >= least_uses(clean, toxic)) & likelier), "candidate-tokens")
+    wanted = None
+    if candidates.count() <= KNOWN_TOKENS:
+        wanted = {row.token for row in candidates.select("token").collect()}  # KNOWN_TOKENS at most
+    everywhere = scratch.stage(_word_counts(docs.select("text", F.lit(0).alias("kind")), 1, wanted), "all-words")
+    total = everywhere.where("word = ''").agg(F.sum("n")).first()[0] or 0
+    uses = everywhere.where("word <> ''").select(_token_column(), "n")
+    uses = uses.join(candidates.select("token"), "token", "left_semi").groupBy("token").agg(F.sum("n").alias("uses"))
+    strength = PRIOR_SHARE * toxic + 1
+    prior = F.lit(strength) * (F.col("uses") + 0.5) / F.lit(total + 1.0)
+    y1, y0 = F.col("toxic") + prior, F.col("clean") + prior
     # The rest of the words, with the rest of the prior.
-    delta = np.log(toxic / (totals[1] + strength - toxic)) - np.log(clean / (totals[0] + strength - clean))
-    z = delta / np.sqrt(1 / toxic + 1 / clean)
-    return {t: float(d) for t, d, s in zip(tokens, delta, z, strict=True) if s >= LEAST_Z and d > DRIFT}
+    delta = F.log(y1 / (F.lit(toxic + strength) - y1)) - F.log(y0 / (F.lit(clean + strength) - y0))
+    judged = candidates.join(uses, "token").select("token", "clean", delta.alias("delta"), (delta / F.sqrt(1 / y1 + 1 / y0)).alias("z"))
+    found = judged.where((F.col("z") >= LEAST_Z) & (F.col("delta") > DRIFT)).collect()  # the model
+    return {row.token: (row.delta, float(row.clean)) for row in found}, float(clean)
 
 
-def _karlin_rate(weights: dict[str, float], tokens: list[str], table: np.ndarray, totals: np.ndarray) -> float:
+def _karlin_rate(found: dict[str, tuple[float, float]], clean: float) -> float:
     """The positive root of the mean of ``exp(lambda * score)`` over clean words being 1."""
-    number = {token: i for i, token in enumerate(tokens)}
-    share = {t: (table[number[t], 0] + 0.5) / (totals[0] + 1) for t in weights}
+    weights = {t: delta for t, (delta, _) in found.items()}
+    share = {t: (uses + 0.5) / (clean + 1) for t, (_, uses) in found.items()}
     rest = max(0.0, 1 - sum(share.values()))
 
     def excess(rate: float) -> float:
@@ -233,26 +276,26 @@ def _karlin_rate(weights: dict[str, float], tokens: list[str], table: np.ndarray
     return high
 
 
-def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS, model_tokens: int = MODEL_TOKENS
-) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
     """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
-    The driver receives ``model_tokens`` tokens with their counts and three numbers for
-    each of at most ``2 * sample_per_class`` documents.
+    The driver receives the significant tokens, which are the model, at most
+    ``KNOWN_TOKENS`` candidates for them, and three numbers for each of at most
+    ``2 * sample_per_class`` documents.
     """
     training = training_labels(labels, "toxic")
     sizes = {row.label: row["count"] for row in training.groupBy("label").count().collect()}
     prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    sample = sampled_docs(docs, labels, "toxic", sample_per_class)
-    tokens = _propose(sample, model_tokens)
+    if len(sizes) < 2:
+        return ToxicityModel(prior=prior)
+    scratch = Scratch(docs.sparkSession)
+    tokens, clean_words = _significant(docs, training, scratch)
+    scratch.clear()
     if not tokens:
         return ToxicityModel(prior=prior)
-    table, totals = _count_uses(docs, training, tokens)
-    model = ToxicityModel(weights=_log_odds(tokens, table, totals), prior=prior)
-    if not model.weights:
-        return model
-    model.rate = _karlin_rate(model.weights, tokens, table, totals)
+    model = ToxicityModel(weights={t: delta for t, (delta, _) in tokens.items()}, prior=prior)
+    model.rate = _karlin_rate(tokens, clean_words)
+    sample = sampled_docs(docs, labels, "toxic", sample_per_class)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(model.weight)
