@@ -9,6 +9,11 @@ of that length (block ``b`` of level ``l`` covers the positions ``b * 2**l`` up
 experience or more than any limit) lies in the cells of "any" only. The axes do not depend
 on the searches, so any number of distinct bounds is answered in the same way.
 
+First pages need fewer cells. Where results are ordered by the bounded column itself, the
+rows that a bound accepts are the first ones of all rows that some bound could accept,
+whatever the bound: such an axis has the cells "any" and "known" only, and the bound is
+applied to the short list.
+
 Postings are widened only into cells that some search asks for, one filter after the
 other. Row counts first rule out the postings that can be on no first page; of the rest
 every cell keeps the best ``MAX_LIMIT``, cut within each task before the shuffle, and
@@ -34,7 +39,9 @@ SHAPE = ["seniority", "experience_max", "salary_min", "country", "sort"]
 AREA = ["seniority", "country"]
 PERIOD = [*AREA, "year_level", "year_block"]
 CELL = [*PERIOD, "salary_level", "salary_block"]
-ANY = -1
+ANY, KNOWN = -1, -2
+#: The axis that each order runs along, if any.
+ALONG = {"year": "experience_asc", "salary": "salary_max_desc"}
 YEAR_BITS = (MAX_EXPERIENCE_YEARS + 1).bit_length()
 SALARY_BITS = (MAX_SALARY_FILTER + 1).bit_length()
 BEYOND_YEARS, UNKNOWN_YEARS = MAX_EXPERIENCE_YEARS + 1, MAX_EXPERIENCE_YEARS + 2
@@ -75,8 +82,18 @@ def _position_cells(position: Column, bits: int) -> Column:
     return F.concat(_any_cell(), F.when(position.isNotNull(), even).otherwise(F.slice(_any_cell(), 2, 0)))
 
 
-def _any_cell() -> Column:
-    return F.array(F.struct(F.lit(ANY).alias("level"), F.lit(0).cast("bigint").alias("block")))
+def _any_cell(level: int = ANY) -> Column:
+    return F.array(F.struct(F.lit(level).alias("level"), F.lit(0).cast("bigint").alias("block")))
+
+
+def _row_cells(df: DataFrame, axis: str, bits: int) -> Column:
+    """Cells of rows; rows of an order along the axis need not be told apart on it."""
+    position = F.col(f"{axis}_position")
+    cells = _position_cells(position, bits)
+    if "sort" not in df.columns:
+        return cells
+    known = F.when(position.isNotNull(), F.concat(_any_cell(), _any_cell(KNOWN))).otherwise(_any_cell())
+    return F.when(F.col("sort") != ALONG[axis], cells).otherwise(known)
 
 
 def _in_cells(df: DataFrame, cells: Column, name: str) -> DataFrame:
@@ -85,13 +102,18 @@ def _in_cells(df: DataFrame, cells: Column, name: str) -> DataFrame:
     return wide.withColumns({f"{name}_level": F.col("cell.level"), f"{name}_block": F.col("cell.block")}).drop("cell")
 
 
-def _searches_in_cells(shapes: DataFrame) -> DataFrame:
-    """One row per cell that a search shape accepts."""
+def _searches_in_cells(shapes: DataFrame, first_page: bool) -> DataFrame:
+    """One row per cell that a search shape accepts; for its first page the order counts too."""
     years = F.col("experience_max").cast("bigint") + 1
     salaries = F.lit(MAX_SALARY_FILTER + 1).cast("bigint") - F.col("salary_min")
-    in_years = _in_cells(shapes, _prefix_cells(years, YEAR_BITS), "year")
-    in_both = _in_cells(in_years, _prefix_cells(salaries, SALARY_BITS), "salary")
-    return in_both.select("shape_id", *CELL, "sort", "limit")
+    year_cells, salary_cells = _prefix_cells(years, YEAR_BITS), _prefix_cells(salaries, SALARY_BITS)
+    if first_page:
+        year_cells = F.when(F.col("sort") != ALONG["year"], year_cells).when(years.isNull(), _any_cell()).otherwise(_any_cell(KNOWN))
+        salary_cells = (
+            F.when(F.col("sort") != ALONG["salary"], salary_cells).when(salaries.isNull(), _any_cell()).otherwise(_any_cell(KNOWN))
+        )
+    in_both = _in_cells(_in_cells(shapes, year_cells, "year"), salary_cells, "salary")
+    return in_both.select("shape_id", *CELL, "sort", "limit", "experience_max", "salary_min")
 
 
 def _also_any(df: DataFrame, column: str) -> DataFrame:
@@ -131,18 +153,26 @@ def _meet(wanted: DataFrame, cells: DataFrame, names: list[str], how: str = "inn
 
 
 def _asked(cells: DataFrame, wanted: DataFrame, names: list[str]) -> DataFrame:
-    """The rows whose cell, as far as ``names`` go, some search asks for."""
+    """The rows whose cell, as far as ``names`` go, some search asks for, in their order if they have one."""
+    names = [*names, "sort"] if "sort" in cells.columns else names
     return _meet(wanted.select(*names).distinct(), cells, names, "left_semi")
 
 
 def _in_periods(placed: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows in each asked seniority, country and stretch of years that holds them."""
     areas = _asked(_also_any(_also_any(placed, "seniority"), "country"), wanted, AREA)
-    return _asked(_in_cells(areas, _position_cells(F.col("year_position"), YEAR_BITS), "year"), wanted, PERIOD)
+    return _asked(_in_cells(areas, _row_cells(areas, "year", YEAR_BITS), "year"), wanted, PERIOD)
 
 
 def _in_salaries(periods: DataFrame, wanted: DataFrame) -> DataFrame:
-    return _asked(_in_cells(periods, _position_cells(F.col("salary_position"), SALARY_BITS), "salary"), wanted, CELL)
+    return _asked(_in_cells(periods, _row_cells(periods, "salary", SALARY_BITS), "salary"), wanted, CELL)
+
+
+def _within_bounds() -> Column:
+    """Whether a search's bound along its own order accepts a row; the key tells."""
+    by_years = (F.col("sort") == ALONG["year"]) & (F.col("sort_key") > F.col("of_experience_max"))
+    by_salary = (F.col("sort") == ALONG["salary"]) & (-F.col("sort_key") < F.col("of_salary_min"))
+    return ~F.coalesce(by_years | by_salary, F.lit(False))
 
 
 def _best(rows: DataFrame, group: list[str], limit: int = MAX_LIMIT) -> DataFrame:
@@ -229,7 +259,7 @@ def _shapes(searches: DataFrame) -> tuple[DataFrame, DataFrame]:
 def saved_search_totals(searches: DataFrame, silver: DataFrame) -> DataFrame:
     """``request_id, total`` for every search, zero included."""
     labelled, shapes = _shapes(searches)
-    wanted = _searches_in_cells(shapes)
+    wanted = _searches_in_cells(shapes, first_page=False)
     n = F.sum("n").alias("n")
     finest = (
         _placed(silver.select("seniority", "country", "years_exp", "salary_max"))
@@ -249,14 +279,14 @@ def saved_search_totals(searches: DataFrame, silver: DataFrame) -> DataFrame:
     )
 
 
-def saved_search_hits(searches: DataFrame, silver: DataFrame) -> DataFrame:
+def saved_search_hits(searches: DataFrame, silver: DataFrame, with_key: bool = False) -> DataFrame:
     """``request_id, pos, job_id``: the first page of every search.
 
     ``searches`` holds valid requests: ``request_id``, one typed column per
-    filter, ``sort`` and ``limit``.
+    filter, ``sort`` and ``limit``. ``with_key`` adds the ``sort_key`` of each row.
     """
     labelled, shapes = _shapes(searches)
-    wanted = _searches_in_cells(shapes)
+    wanted = _searches_in_cells(shapes, first_page=True)
     keys = F.inline(
         F.array(
             *[F.struct(F.lit(name).alias("sort"), ORDERINGS[name].key().alias("sort_key")) for name in SORTS]
@@ -269,14 +299,14 @@ def saved_search_hits(searches: DataFrame, silver: DataFrame) -> DataFrame:
     lists = _best(widened, [*CELL, "sort"])
     met = (
         _meet(wanted, lists, [*CELL, "sort"])
-        .where(F.col("place") <= F.col("of_limit"))
+        .where((F.col("place") <= F.col("of_limit")) & _within_bounds())
         .select(F.col("of_shape_id").alias("shape_id"), "job_id", "sort_key")
     )
     hits = _best(met, ["shape_id"]).select(
-        own_shuffle("shape_id").alias("shape_id"), F.col("place").alias("pos"), "job_id"
+        own_shuffle("shape_id").alias("shape_id"), F.col("place").alias("pos"), "job_id", "sort_key"
     )
     return (
         labelled.join(hits, "shape_id")
         .where(F.col("pos") <= F.col("limit"))
-        .select("request_id", F.col("pos").cast("bigint").alias("pos"), "job_id")
+        .select("request_id", F.col("pos").cast("bigint").alias("pos"), "job_id", *(["sort_key"] if with_key else []))
     )
