@@ -22,6 +22,11 @@ from vacantia.operators.requests import (
     validate,
 )
 from vacantia.operators.saved_searches import saved_search_hits, saved_search_totals
+from vacantia.operators.standing_searches import (
+    read_standing_hits,
+    start_standing_searches,
+    update_standing_searches,
+)
 from vacantia.operators.token_bucket import admit_requests
 from vacantia.plans.access import decide_access
 from vacantia.plans.export import numbered_result
@@ -450,6 +455,18 @@ def _saved_totals(spark: SparkSession, folder: str) -> DataFrame:
     return saved_search_totals(searches, _silver(spark, folder))
 
 
+def _standing_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages that an earlier load left, brought up to date by what came and went since."""
+    path, table = new_path(spark, "standing-searches"), new_path(spark, "silver")
+    searches = typed_search_requests(samples.searches(spark, folder))
+    silver = _silver(spark, folder)
+    first = refresh_postings(_earlier(silver), table, buckets=32)
+    start_standing_searches(searches, read_bucketed(spark, table), path)
+    refresh_postings(silver, table)
+    update_standing_searches(searches, read_bucketed(spark, table), changes_between(spark, table, first.version), path)
+    return read_standing_hits(spark, path).select("request_id", "pos", "job_id")
+
+
 def _priced_hits(spark: SparkSession, folder: str) -> DataFrame:
     return saved_search_hits(samples.priced_searches(spark, folder), _silver(spark, folder))
 
@@ -617,13 +634,16 @@ UNION ALL SELECT 'gold', count(*) FROM gold""",
 SELECT dimension_value, CASE WHEN posting_count >= 5 THEN median_salary END AS median_salary,
        posting_count, as_of FROM gold WHERE dimension = 'country'""",
     ),
-    "saved_search_hits": (
-        _saved_hits,
-        f"""{SILVER_SQL}, {SEARCHES_SQL} SELECT request_id, pos, job_id FROM (
+    **{
+        name: (
+            query,
+            f"""{SILVER_SQL}, {SEARCHES_SQL} SELECT request_id, pos, job_id FROM (
   SELECT request_id, w_limit, job_id,
          row_number() OVER (PARTITION BY request_id ORDER BY sort_key, job_id) AS pos FROM matches)
 WHERE pos <= w_limit""",
-    ),
+        )
+        for name, query in (("saved_search_hits", _saved_hits), ("standing_search_hits", _standing_hits))
+    },
     "saved_search_totals": (
         _saved_totals,
         f"""{SILVER_SQL}, {SEARCHES_SQL} SELECT s.request_id, count(job_id) AS total
