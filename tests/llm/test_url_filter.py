@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from vacantia.llm.url_filter import Rule, filter_urls, host_of, host_reputation, path_of
+from vacantia.llm.url_filter import Rule, domain_of, filter_urls, host_of, host_reputation, path_of, suffix_of
 
 RULES = [
     Rule("allow", "com/"),
@@ -61,3 +61,21 @@ def test_bad_host_is_blocked_unless_a_rule_allows(spark):
 def test_parts_of_a_url(spark):
     row = spark.range(1).select(host_of(F.lit("s://H:80/p?q")).alias("h"), path_of(F.lit("s://H:80/p?q")).alias("p")).first()
     assert (row.h, row.p) == ("h:80", "/p")
+
+
+def test_registered_domains_suffixes_ports_and_addresses(spark):
+    wanted = {
+        "a.b.example.com:8080": ("example.com", "com"),
+        "shop.a.co.uk": ("a.co.uk", "co.uk"),
+        "co.uk": ("co.uk", "co.uk"),
+        "10.0.0.1:80": ("10.0.0.1", ""),
+        "[2001:db8::1]:443": ("[2001:db8::1]", ""),
+        "localhost": ("localhost", "localhost"),
+        "": ("", ""),
+        "x.y.blog.test": ("blog.test", "test"),
+    }
+    hosts = spark.createDataFrame([(h,) for h in wanted], "host string")
+    found = hosts.select("host", domain_of(F.col("host")).alias("d"), suffix_of(F.col("host")).alias("s")).collect()
+    assert {r.host: (r.d, r.s) for r in found} == wanted
+    own = hosts.select("host", domain_of(F.col("host"), ["blog.test"]).alias("d"), suffix_of(F.col("host"), ["blog.test"]).alias("s"))
+    assert ("x.y.blog.test", "y.blog.test", "blog.test") in [tuple(r) for r in own.collect()]

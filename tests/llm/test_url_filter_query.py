@@ -10,7 +10,8 @@ def test_bad_hosts_are_blocked_like_in_sql(spark, tmp_path):
     for host in range(12):
         for _ in range(60):
             page_id += 1
-            pages.append((page_id, f"https://h{host}.d{host % 5}.org/xx/{page_id}.html"))
+            name = ("10.0.0.8", "h9.d1.co.uk", "h10.d2.co.uk:81")[host - 8] if 8 <= host < 11 else f"h{host}.d{host % 5}.org"
+            pages.append((page_id, f"https://{name}/xx/{page_id}.html"))
             bad = host in (3, 7) or page_id % 12 == 0
             labels.append((page_id, 0 if bad else 1, 0))
     spark.createDataFrame(pages, "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")

@@ -20,7 +20,7 @@ from vacantia.llm.substring_dedup import remove_repeats
 from vacantia.llm.token_alignment import align_tokens
 from vacantia.llm.topk_search import top_k
 from vacantia.llm.toxicity import fit_toxicity, score_toxicity
-from vacantia.llm.url_filter import Rule, filter_urls, host_of, path_of
+from vacantia.llm.url_filter import SUFFIXES, Rule, filter_urls, host_of, path_of
 from vacantia.sources.workspace import new_path
 
 URL_RULES = [
@@ -211,9 +211,12 @@ WITH parts AS (
 marks AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
 hosts AS (
   SELECT host, count(bad) AS seen, coalesce(sum(bad), 0) AS bad,
-         array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
-  FROM parts LEFT JOIN marks ON doc_id = TRY_CAST(regexp_extract(path, '/([0-9]{1,18})(?:[./]|$)', 1) AS BIGINT)
-  GROUP BY host),
+         CASE WHEN is_address THEN name WHEN two IN SUFFIXES_ THEN array_to_string(string_split(name, '.')[-3:], '.') ELSE two END AS domain,
+         CASE WHEN is_address THEN '' WHEN two IN SUFFIXES_ THEN two ELSE string_split(name, '.')[-1] END AS suffix
+  FROM (SELECT *, array_to_string(string_split(name, '.')[-2:], '.') AS two,
+               regexp_matches(name, '^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[.*\])$') AS is_address
+        FROM (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name FROM parts)) LEFT JOIN marks ON doc_id = TRY_CAST(regexp_extract(path, '/([0-9]{1,18})(?:[./]|$)', 1) AS BIGINT)
+  GROUP BY host, name, two, is_address),
 domains AS (SELECT domain, suffix, sum(seen) AS seen, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(seen) AS seen, sum(bad) AS bad FROM domains GROUP BY suffix),
 base AS (SELECT (sum(bad) + 1) / (sum(seen) + 2) AS rate FROM suffixes),
@@ -241,7 +244,7 @@ FROM (SELECT *, CASE
     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
     WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM parts)
-LEFT JOIN rated USING (host)""",
+LEFT JOIN rated USING (host)""".replace("SUFFIXES_", "(" + ", ".join(f"'{x}'" for x in SUFFIXES) + ")"),
     "op9_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -11,6 +11,9 @@ Rules:
 * Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased.
   Path: what follows up to ``?``, ``#`` or the end. A null URL or one without ``://`` has
   an empty host and path; it is judged like a host without labels of an unknown domain.
+* The registered domain of a host is one label and its suffix: the longest of the suffixes
+  of several labels that the caller names, or else the last label. A port is no part of
+  either. An address is its own domain.
 * A rule ``host/path`` fits its host and all subdomains when the URL's path starts with
   the rule's path; the longest rule wins.
 * Repeated page rows are judged one by one; null outcomes count for nothing; without any
@@ -24,7 +27,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.sources.workspace import stage
+
 LEVELS = ("suffix", "domain", "host")
+#: Common suffixes of two labels. Callers with other hosts pass a fuller list.
+SUFFIXES = (
+    "ac.uk co.uk gov.uk ltd.uk me.uk net.uk org.uk plc.uk com.au edu.au gov.au net.au org.au ac.nz co.nz govt.nz net.nz "
+    "org.nz ac.jp co.jp go.jp ne.jp or.jp com.br net.br org.br com.cn edu.cn gov.cn net.cn org.cn com.mx org.mx com.tr "
+    "org.tr co.in net.in org.in co.kr or.kr co.za org.za com.ar com.sg com.tw com.hk com.pl com.ua co.il org.il co.id"
+).split()
+_ADDRESS = r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[.*\])$"
 
 
 @dataclass(frozen=True)
@@ -54,12 +66,26 @@ def rule_target(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.coalesce(*targets)
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def _name_of(host: Column) -> Column:
+    return F.regexp_replace(host, r":[0-9]*$", "")
+
 
+def suffix_of(host: Column, suffixes: list[str] = SUFFIXES) -> Column:
+    """The part below which names are registered; '' of an address."""
+    name = _name_of(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(F.rlike(name, F.lit(_ADDRESS)), F.lit("")).when(two.isin(*suffixes), two).otherwise(F.substring_index(name, ".", -1))
 
-def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+
+def domain_of(host: Column, suffixes: list[str] = SUFFIXES) -> Column:
+    """The suffix and one label more."""
+    name = _name_of(host)
+    two = F.substring_index(name, ".", -2)
+    return (
+        F.when(F.rlike(name, F.lit(_ADDRESS)), name)
+        .when(two.isin(*suffixes), F.substring_index(name, ".", -3))
+        .otherwise(two)
+    )
 
 
 def _strength(groups: DataFrame) -> float:
@@ -82,7 +108,7 @@ def _strength(groups: DataFrame) -> float:
     return float(min(10_000.0, max(1.0, inside / between - 1)))
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+def host_reputation(outcomes: DataFrame, z: float = 1.645, suffixes: list[str] = SUFFIXES) -> DataFrame:
     """Posterior per host from ``outcomes(host, bad)``; ``bad`` is 0, 1 or null (not labelled).
 
     Returns ``host, seen, bad, bad_rate, bad_at_least``. Only one small row of moments
@@ -91,7 +117,9 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     hosts = outcomes.groupBy("host").agg(
         F.count("bad").alias("seen"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
     )
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    host = F.col("host")
+    # Read for every level and for the result, so counted once.
+    hosts = stage(hosts.withColumns({"domain": domain_of(host, suffixes), "suffix": suffix_of(host, suffixes)}), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
     total = suffixes.agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).first()
@@ -116,6 +144,7 @@ def filter_urls(
     url: str = "url",
     max_bad: float = 0.5,
     z: float = 1.645,
+    suffixes: list[str] = SUFFIXES,
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict, bad_rate, bad_at_least`` of every page.
 
@@ -125,7 +154,7 @@ def filter_urls(
     judged = pages.select(
         F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")
     ).withColumn("rule", rule_target(F.col("host"), F.col("path"), rules))
-    rated = judged.join(host_reputation(outcomes, z), "host", "left")
+    rated = judged.join(host_reputation(outcomes, z, suffixes), "host", "left")
     by_method = F.when(F.col("bad_at_least") >= max_bad, F.lit("block")).otherwise(F.lit("allow"))
     verdict = F.coalesce(verdicts[F.col("rule")], by_method) if rules else by_method
     return rated.select(
