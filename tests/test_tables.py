@@ -171,11 +171,16 @@ def test_jdbc_options():
 class Session:
     """The parts of a session that choosing a folder looks at."""
 
-    def __init__(self, folder):
-        self.conf = {"spark.checkpoint.dir": folder} if folder else {"spark.sql.warehouse.dir": "file:/house"}
-        self.sparkContext = type("Context", (), {"applicationId": "app-1"})
+    def __init__(self, folder, master="local[2]", warehouse="file:/house"):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {"spark.sql.warehouse.dir": warehouse}
+        self.sparkContext = type("Context", (), {"applicationId": "app-1", "master": master})
 
 
 def test_shared_folder():
     assert shared_folder(Session("s3://bucket/work/")) == "s3://bucket/work/app-1"
     assert shared_folder(Session(None)) == "file:/house/_working/app-1"
+    assert shared_folder(Session("s3://bucket/work", "yarn")) == "s3://bucket/work/app-1"
+    assert shared_folder(Session(None, "yarn", "s3://house")) == "s3://house/_working/app-1"
+    for warehouse in ("file:/house", "/house"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_folder(Session(None, "yarn", warehouse))

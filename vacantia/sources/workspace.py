@@ -2,7 +2,7 @@
 
 Working tables lie in the folder named by ``spark.checkpoint.dir`` or, where that is not
 set, in ``_working`` beside the session's warehouse tables; both are shared by all
-executors. They are needed until the results built on them are written, and belong to
+executors. On a cluster whose warehouse is a local folder the setting must be made. They are needed until the results built on them are written, and belong to
 whoever owns the folder: a cluster's own clean-up, or ``remove_working_tables`` at the
 end of an application.
 """
@@ -21,6 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The application's folder for working tables."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        own_disk = "://" not in warehouse or warehouse.startswith("file:")
+        if own_disk and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir: executors do not share the folder of the warehouse")
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_working"
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
