@@ -1,7 +1,7 @@
 import hashlib
 from collections import defaultdict
 
-from vacantia.llm.exact_dedup import DigestIndex
+from vacantia.llm.exact_dedup import DigestIndex, bucket_count
 from vacantia.sources.workspace import new_path
 
 SCHEMA = "doc_id bigint, text string, digest string, keep_id int"
@@ -61,3 +61,16 @@ def test_anti_join_reads_the_index_without_a_shuffle(spark):
     plan = batch.hint("merge").join(index.rows().select("digest"), "digest", "left_anti")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in text and "Bucketed: true" in text
+
+
+def test_buckets_follow_the_rows_and_the_catalog_entry_goes(spark):
+    assert [bucket_count(n) for n in (0, 1, 128_000_000, 128_000_001, 10**9)] == [64, 64, 64, 128, 512]
+    path = new_path(spark, "test-digests")
+    index = DigestIndex(spark, path, buckets=4)
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "doc_id bigint, text string")
+    index.add(docs)
+    found = index.resolve(docs)
+    index.close()
+    assert not spark.catalog.tableExists(index.table)
+    assert sorted((r.doc_id, r.keep_id) for r in found.collect()) == [(1, 2), (2, 2), (3, 3)]
+    assert DigestIndex(spark, path, buckets=4).rows().count() == 2

@@ -26,14 +26,25 @@ from pyspark.sql import functions as F
 #: A digest with more than this share of all rows is joined by broadcast; there can be
 #: at most ``HOT_PARTS`` such digests, whatever the data.
 HOT_PARTS = 1000
+#: Rows that a bucket of the index is meant for, and the fewest buckets.
+ROWS_PER_BUCKET, FEWEST_BUCKETS = 2_000_000, 64
 
 
 def text_digest(text: str) -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
 
 
+def bucket_count(rows: int) -> int:
+    """Buckets for an index of so many rows: a power of two, so that it can be doubled."""
+    return max(FEWEST_BUCKETS, 1 << (-(-rows // ROWS_PER_BUCKET) - 1).bit_length()) if rows else FEWEST_BUCKETS
+
+
 class DigestIndex:
-    """A digest table at ``path``; a later session opens it again by the same path."""
+    """A digest table at ``path``; a later session opens it again by the same path.
+
+    ``buckets`` is that of the first opening; ``bucket_count`` finds it for the rows that
+    the index is to hold.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path, self.buckets = spark, path, buckets
@@ -46,6 +57,10 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def close(self) -> None:
+        """Take the table out of the catalog; its files stay, and frames that read them work on."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> None:
         """Append the digests of ``docs`` that the index does not have yet."""
         batch = (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm.exact_dedup import DigestIndex
+from vacantia.llm.exact_dedup import DigestIndex, bucket_count
 from vacantia.llm.html_wrapper import extract_main_text
 from vacantia.llm.lexical_search import rank_documents
 from vacantia.llm.license_scan import LEAST_DICE, TEMPLATES, scan_licenses, size_bounds, template_bigrams
@@ -56,12 +56,18 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents come in two batches, the greater ids first, since those are to stay."""
     docs = _table(spark, folder, "documents")
-    index = DigestIndex(spark, new_path(spark, "digests"))
-    index.add(docs)
-    return index.resolve(docs).select(
+    size = docs.agg(F.count(F.lit(1)).alias("rows"), F.percentile_approx("doc_id", 0.5).alias("middle")).first()
+    index = DigestIndex(spark, new_path(spark, "digests"), bucket_count(size.rows))
+    later = F.coalesce(F.col("doc_id") <= F.lit(size.middle), F.lit(True))
+    index.add(docs.where(~later))
+    index.add(docs.where(later))
+    found = index.resolve(docs).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
+    index.close()
+    return found
 
 
 def topk_search(spark: SparkSession, folder: str) -> DataFrame:
