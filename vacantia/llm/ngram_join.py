@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from vacantia.llm.bitset import BITS, bit_array, is_set
 from vacantia.llm.components import connected_components
 from vacantia.llm.hashing import U, Words, mix, slices, text_bytes
-from vacantia.llm.session import Scratch
+from vacantia.llm.session import Scratch, released
 
 SHINGLE, PERCENT = 4, 85
 #: Frequencies only order the shingles, so they are counted in a fixed number of hash
@@ -72,7 +72,7 @@ def _frequent_buckets(docs: DataFrame, size: int) -> np.ndarray:
             [pa.array(found), pa.array(table[found].astype(np.int64))], names=["bucket", "uses"]
         )
 
-    counts = docs.select("text").mapInArrow(count, "bucket bigint, uses bigint").groupBy("bucket").agg(F.sum("uses").alias("uses"))
+    counts = docs.select("text").mapInArrow(released(count), "bucket bigint, uses bigint").groupBy("bucket").agg(F.sum("uses").alias("uses"))
     rows = counts.orderBy(F.col("uses").desc(), "bucket").limit(KNOWN_BUCKETS).toArrow()
     classes = np.zeros(BUCKETS, np.uint8)
     classes[rows.column("bucket").to_numpy()] = np.log2(rows.column("uses").to_numpy() + 1).astype(np.uint8)
@@ -150,7 +150,7 @@ def _profiles(docs: DataFrame, size: int, percent: int, classes: np.ndarray) ->
                 )
 
     # The number of a row is fixed by the write that follows.
-    return docs.select("id", "text").mapInArrow(profile, _PROFILE).withColumn("row", F.monotonically_increasing_id())
+    return docs.select("id", "text").mapInArrow(released(profile), _PROFILE).withColumn("row", F.monotonically_increasing_id())
 
 
 def _bit(value: str | Column) -> Column:
@@ -193,7 +193,7 @@ def _partnered(block_pairs: DataFrame, percent: int) -> DataFrame:
                 if kept:
                     yield pa.RecordBatch.from_pylist([{**g, "shingle": row["shingle"]} for g in kept], schema)
 
-    return block_pairs.mapInArrow(judge, "shingle bigint, key bigint, pos int, size bigint").distinct()
+    return block_pairs.mapInArrow(released(judge), "shingle bigint, key bigint, pos int, size bigint").distinct()
 
 
 def _group_entries(groups: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -228,7 +228,7 @@ def _group_entries(groups: DataFrame, percent: int, scratch: Scratch) -> DataFra
 
     bits = F.transform("prefix", _bit).alias("bits")
     rows = groups.select("key", "n", "size", "prefix", bits).mapInArrow(
-        spread, "shingle bigint, key bigint, n bigint, size bigint, pos int"
+        released(spread), "shingle bigint, key bigint, n bigint, size bigint, pos int"
     )
     lists = (
         rows.join(uses.select("shingle", F.ceil(F.col("kinds") / BLOCK).cast("int").alias("blocks")), "shingle")
@@ -378,7 +378,7 @@ def _forests(block_pairs: DataFrame, percent: int) -> DataFrame:
                     head = {k: row[k] for k in ("shingle", "x", "y")} | {"complete": len(forest) == len(pairs)}
                     yield pa.RecordBatch.from_pylist([head | {"a": a, "b": b} for _, a, b in forest], _PAIR_ARROW)
 
-    return block_pairs.mapInArrow(choose, _PAIR)
+    return block_pairs.mapInArrow(released(choose), _PAIR)
 
 
 def _all_pairs_between_components(block_pairs: DataFrame, percent: int) -> DataFrame:
@@ -395,7 +395,7 @@ def _all_pairs_between_components(block_pairs: DataFrame, percent: int) -> DataF
                 if left:
                     yield pa.RecordBatch.from_pylist([head | {"a": a, "b": b} for a, b in left], _PAIR_ARROW)
 
-    return block_pairs.mapInArrow(choose, _PAIR)
+    return block_pairs.mapInArrow(released(choose), _PAIR)
 
 
 def _sets(docs: DataFrame, pairs: DataFrame, size: int, repeats: bool) -> DataFrame:
@@ -416,7 +416,7 @@ def _sets(docs: DataFrame, pairs: DataFrame, size: int, repeats: bool) -> DataFr
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(data, pa.binary())], names=["id", "shingles"])
 
     known = docs.where(F.col("id").isNotNull())
-    found = known.select("id", "text", _bit("id").alias("bit")).mapInArrow(read, "id bigint, shingles binary")
+    found = known.select("id", "text", _bit("id").alias("bit")).mapInArrow(released(read), "id bigint, shingles binary")
     return found.distinct() if repeats else found
 
 
@@ -437,7 +437,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
         .select("a", "b", "left", "right")
     )
-    checked = joined.mapInArrow(verify, "a bigint, b bigint, linked boolean")
+    checked = joined.mapInArrow(released(verify), "a bigint, b bigint, linked boolean")
     # An id with several rows is linked if one of them is.
     return checked.groupBy("a", "b").agg(F.max("linked").alias("linked"))
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from vacantia.session import pin_session
@@ -17,6 +22,31 @@ def corpus_session(spark: SparkSession) -> SparkSession:
     return pin_session(spark)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def released(function: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``function`` for a worker that serves one operator after the other.
+
+    Before it runs, what tokenizers remember from earlier operators is forgotten; after it
+    has run, memory that is free again goes back to the system.
+    """
+
+    def run(batches: Batches) -> Batches:
+        tokenizers = sys.modules.get("vacantia.llm.byte_bpe")
+        if tokenizers is not None:
+            tokenizers.ByteBpe.shared.cache_clear()
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 class Scratch:
     """Working tables that can be dropped before the application ends.
 

@@ -19,7 +19,7 @@ its words or so.
 3. The texts are read once more. Bit arrays of bounded size, known to all tasks, say which
    of a text's paths and windows may be repeated. Texts without any are finished at once; of
    the others the source coordinates of all such places are joined with the exact tables,
-   and the marks that remain are joined with these texts.
+   and the marks that remain are joined with these texts, which are packed for that.
 
 Tables of counts are written before they are joined, so these joins are plain sort-merge
 joins whose large partitions Spark can split, however many documents share a passage.
@@ -35,6 +35,7 @@ Rules:
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -45,9 +46,11 @@ from pyspark.sql import functions as F
 
 from vacantia.llm.bitset import fitting, has
 from vacantia.llm.hashing import U, Words, mix, slices, text_bytes
-from vacantia.llm.session import Scratch
+from vacantia.llm.session import Scratch, released
 
 WINDOW, KMER = 35, 8
+#: Texts that are unpacked at once.
+ROWS = 64
 def _least_of(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of ``width`` consecutive values at each position that has as many."""
     size = 1
@@ -90,7 +93,7 @@ def _paths(docs: DataFrame, window: int, kmer: int) -> DataFrame:
                 columns = [pa.array(anchor.view(np.int64)), pa.array(path.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, names=["anchor", "path"])
 
-    return docs.select("text").mapInArrow(find, "anchor bigint, path bigint")
+    return docs.select("text").mapInArrow(released(find), "anchor bigint, path bigint")
 
 
 def _windows_of(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -115,11 +118,11 @@ def _branching_windows(docs: DataFrame, branches: np.ndarray, window: int, kmer:
                     sides = [w.spans(at, at + window).view(np.int64) for w in (words, Words(texts, seed=1))]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in sides], names=["one", "two"])
 
-    return docs.select("text").mapInArrow(find, "one bigint, two bigint")
+    return docs.select("text").mapInArrow(released(find), "one bigint, two bigint")
 
 
 _JUDGED = (
-    "n_words bigint, n_removed bigint, kept string, kept_sha256 string, text string, "
+    "n_words bigint, n_removed bigint, kept string, kept_sha256 string, packed binary, "
     "paths array<struct<anchor:bigint,begin:int,count:int>>, windows array<struct<one:bigint,two:bigint,begin:int>>"
 )
 _JUDGED_ARROW = pa.schema(
@@ -128,7 +131,7 @@ _JUDGED_ARROW = pa.schema(
         ("n_removed", pa.int64()),
         ("kept", pa.string()),
         ("kept_sha256", pa.string()),
-        ("text", pa.string()),
+        ("packed", pa.binary()),
         ("paths", pa.list_(pa.struct([("anchor", pa.int64()), ("begin", pa.int32()), ("count", pa.int32())]))),
         ("windows", pa.list_(pa.struct([("one", pa.int64()), ("two", pa.int64()), ("begin", pa.int32())]))),
     ]
@@ -197,25 +200,25 @@ def _judge(docs: DataFrame, sets: tuple, window: int, kmer: int, keep_text: bool
                     [("one", one.view(np.int64)), ("two", two.view(np.int64)), ("begin", at - words.first[of])], of, len(part)
                 )
                 rows = [
-                    {"text": own, "paths": p, "windows": w} if p or w else _cut(own, [], window, keep_text)
+                    {"packed": zlib.compress(own.encode(), 1), "paths": p, "windows": w} if p or w else _cut(own, [], window, keep_text)
                     for own, p, w in zip(part.column("text").to_pylist(), paths, windows)
                 ]
                 yield _with_rest(rows, part)
 
-    return docs.select("text", "rest").mapInArrow(judge, _judged_schema(docs))
+    return docs.select("text", "rest").mapInArrow(released(judge), _judged_schema(docs))
 
 
 def _finish(open_docs: DataFrame, window: int, keep_text: bool) -> DataFrame:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in (batch.slice(i, ROWS) for i in range(0, len(batch), ROWS)):
                 rows = []
-                for row in part.select(["text", "runs"]).to_pylist():
+                for row in part.select(["packed", "runs"]).to_pylist():
                     runs = [(r["begin"], r["count"]) for r in row["runs"] or []]
-                    rows.append(_cut(row["text"], runs, window, keep_text))
+                    rows.append(_cut(zlib.decompress(row["packed"]).decode(), runs, window, keep_text))
                 yield _with_rest(rows, part)
 
-    return open_docs.select("text", "runs", "rest").mapInArrow(finish, _judged_schema(open_docs))
+    return open_docs.select("packed", "runs", "rest").mapInArrow(released(finish), _judged_schema(open_docs))
 
 
 def remove_repeats(
@@ -260,7 +263,7 @@ def remove_repeats(
     )
     marks = needed.stage(marks, "marks")
     own.clear()
-    finished = _finish(left.select("row", "text", "rest").join(marks, "row", "left"), window, keep_text)
+    finished = _finish(left.select("row", "packed", "rest").join(marks, "row", "left"), window, keep_text)
     carried = [F.col(f"rest.carried_{i}").alias(name) for i, name in enumerate(carry)]
     result = done.drop("row").unionByName(finished)
     return result.select(F.col("rest.id").alias(doc_id), "n_words", "n_removed", "kept", "kept_sha256", *carried)
