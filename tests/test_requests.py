@@ -194,3 +194,18 @@ def test_any_number_of_bounds(spark):
     totals = saved_search_totals(df, silver).collect()
     assert len(totals) == 6000
     assert all(r["total"] == len(upper) - bisect_left(upper, r["request_id"]) for r in totals)
+
+
+def test_totals_merge_what_grows_with_the_searches(spark):
+    """A broadcast of cells or of shapes passes through the driver."""
+    edges = [0, 1, 2, 1023, 1024, 1025, 2**20 - 1, 2**20, 2**20 + 1, 10**9 - 2**20, 10**9 - 1024, 10**9 - 1, 10**9, 10**9 + 1, None, -1]
+    silver = postings(spark, [(i, "t", "c", "DK", "mid", i % 4, 1, salary) for i, salary in enumerate(edges)])
+    bounds = [salary for salary in edges if salary is not None and 0 <= salary <= 10**9]
+    searches = [(2 * i + j, None, years, salary, None, "experience_asc", 1) for i, salary in enumerate([*bounds, None]) for j, years in enumerate((None, 1))]
+    totals = saved_search_totals(spark.createDataFrame(searches, SEARCHES), silver)
+    found = {r["request_id"]: r["total"] for r in totals.collect()}
+    assert "Broadcast" not in totals._jdf.queryExecution().executedPlan().toString()
+    for request_id, _, years, bound, *_ in searches:
+        assert found[request_id] == sum(
+            (years is None or i % 4 <= years) and (bound is None or (salary is not None and salary >= bound)) for i, salary in enumerate(edges)
+        )

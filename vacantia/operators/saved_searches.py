@@ -20,6 +20,10 @@ every cell keeps the best ``MAX_LIMIT``, cut within each task before the shuffle
 searches meet these short lists by equi-join. The result is exact: the best rows of a
 union are among the best rows of its parts.
 
+Totals need no cells of salaries. Postings and searches are told apart by their *period*, the
+cells of seniority, country and experience, and a bound on the salary accepts the postings
+before a point of the axis: counts run along it, and a search looks up one point per period.
+
 Searches must be valid requests. A limit, experience or salary outside the contract stops
 the job: cells could not answer it rightly.
 """
@@ -34,16 +38,21 @@ from pyspark.sql import functions as F
 from vacantia.functions.columns import own_shuffle
 from vacantia.operators.ordering import ORDERINGS
 from vacantia.schema import MAX_EXPERIENCE_YEARS, MAX_LIMIT, MAX_SALARY_FILTER, SORTS
+from vacantia.sources.workspace import stage
 
-SHAPE = ["seniority", "experience_max", "salary_min", "country", "sort"]
+BOUNDS = ["seniority", "experience_max", "salary_min", "country"]
+SHAPE = [*BOUNDS, "sort"]
 AREA = ["seniority", "country"]
 PERIOD = [*AREA, "year_level", "year_block"]
 CELL = [*PERIOD, "salary_level", "salary_block"]
+KIND = [*AREA, "year_position"]
 ANY, KNOWN = -1, -2
 #: The axis that each order runs along, if any.
 ALONG = {"year": "experience_asc", "salary": "salary_max_desc"}
 YEAR_BITS = (MAX_EXPERIENCE_YEARS + 1).bit_length()
 SALARY_BITS = (MAX_SALARY_FILTER + 1).bit_length()
+#: Totals count along the salary axis, by blocks of this many bits.
+POSITION_BITS, DIGIT_BITS = (MAX_SALARY_FILTER + 2).bit_length(), 10
 BEYOND_YEARS, UNKNOWN_YEARS = MAX_EXPERIENCE_YEARS + 1, MAX_EXPERIENCE_YEARS + 2
 STRETCHES = 2847  # of the salary axis, told apart when rows are ruled out; the last has no salary
 
@@ -102,16 +111,15 @@ def _in_cells(df: DataFrame, cells: Column, name: str) -> DataFrame:
     return wide.withColumns({f"{name}_level": F.col("cell.level"), f"{name}_block": F.col("cell.block")}).drop("cell")
 
 
-def _searches_in_cells(shapes: DataFrame, first_page: bool) -> DataFrame:
-    """One row per cell that a search shape accepts; for its first page the order counts too."""
+def _searches_in_cells(shapes: DataFrame) -> DataFrame:
+    """One row per cell that a search shape accepts for its first page."""
     years = F.col("experience_max").cast("bigint") + 1
     salaries = F.lit(MAX_SALARY_FILTER + 1).cast("bigint") - F.col("salary_min")
     year_cells, salary_cells = _prefix_cells(years, YEAR_BITS), _prefix_cells(salaries, SALARY_BITS)
-    if first_page:
-        year_cells = F.when(F.col("sort") != ALONG["year"], year_cells).when(years.isNull(), _any_cell()).otherwise(_any_cell(KNOWN))
-        salary_cells = (
-            F.when(F.col("sort") != ALONG["salary"], salary_cells).when(salaries.isNull(), _any_cell()).otherwise(_any_cell(KNOWN))
-        )
+    year_cells = F.when(F.col("sort") != ALONG["year"], year_cells).when(years.isNull(), _any_cell()).otherwise(_any_cell(KNOWN))
+    salary_cells = (
+        F.when(F.col("sort") != ALONG["salary"], salary_cells).when(salaries.isNull(), _any_cell()).otherwise(_any_cell(KNOWN))
+    )
     in_both = _in_cells(_in_cells(shapes, year_cells, "year"), salary_cells, "salary")
     return in_both.select("shape_id", *CELL, "sort", "limit", "experience_max", "salary_min")
 
@@ -248,33 +256,71 @@ def _promising(placed: DataFrame) -> DataFrame:
     return hinted.join(limits, ["cell", "stretch_key"], "left").where(kept).select(*placed.columns)
 
 
-def _shapes(searches: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _shapes(searches: DataFrame, shape: list[str]) -> tuple[DataFrame, DataFrame]:
     """Searches with their shape, and each distinct shape with its largest limit."""
-    shape_id = F.sha2(F.to_json(F.struct(*SHAPE)), 256)
+    shape_id = F.sha2(F.to_json(F.struct(*shape)), 256)
     labelled = _in_contract(searches).withColumn("shape_id", shape_id)
-    shapes = labelled.groupBy("shape_id", *SHAPE).agg(F.max("limit").alias("limit"))
+    shapes = labelled.groupBy("shape_id", *shape).agg(F.max("limit").alias("limit"))
     return labelled, shapes
 
 
+def _named(df: DataFrame) -> DataFrame:
+    """Seniority and country without NULL, so that they join and group as plain keys."""
+    return df.withColumns({name: F.coalesce(F.concat(F.lit("="), name), F.lit("")) for name in AREA})
+
+
+def _counts_before(points: DataFrame, bits: int) -> DataFrame:
+    """The asked points with ``before``: the ``n`` of all points before them in their period.
+
+    Counts run within blocks of ``1 << DIGIT_BITS`` positions, and what lies before a block
+    is found alike from the sums of blocks; no task needs a whole period.
+    """
+    blocks = points.withColumn("block", F.call_function("shiftright", F.col("position"), F.lit(DIGIT_BITS)))
+    earlier_here = Window.partitionBy(*PERIOD, "block").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    here = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier_here), F.lit(0))).where("asked")
+    if bits <= DIGIT_BITS:
+        return here.select(*PERIOD, "position", "before")
+    sums = blocks.groupBy(*PERIOD, F.col("block").alias("position")).agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    of_blocks = _counts_before(sums, bits - DIGIT_BITS)
+    # Merged, since blocks grow with the searches and a broadcast passes through the driver.
+    of_blocks = of_blocks.select(*PERIOD, F.col("position").alias("block"), F.col("before").alias("before_block"))
+    met = here.join(of_blocks.hint("merge"), [*PERIOD, "block"])
+    return met.select(*PERIOD, "position", (F.col("before") + F.col("before_block")).alias("before"))
+
+
 def saved_search_totals(searches: DataFrame, silver: DataFrame) -> DataFrame:
-    """``request_id, total`` for every search, zero included."""
-    labelled, shapes = _shapes(searches)
-    wanted = _searches_in_cells(shapes, first_page=False)
-    n = F.sum("n").alias("n")
-    finest = (
-        _placed(silver.select("seniority", "country", "years_exp", "salary_max"))
-        .groupBy(*AREA, "year_position", "salary_position")
-        .agg(F.count(F.lit(1)).alias("n"))
+    """``request_id, total`` for every search, zero included.
+
+    A bound on the salary accepts what lies before a point of the axis; what no bound
+    accepts lies behind them all, and before the point of a search without a bound.
+    """
+    labelled, shapes = _shapes(searches, BOUNDS)
+    beyond = F.lit(MAX_SALARY_FILTER + 1).cast("bigint")
+    years = F.col("experience_max").cast("bigint") + 1
+    bounded = stage(shapes, "shapes").withColumn("position", F.coalesce(beyond - F.col("salary_min"), beyond + 1))
+    wanted = _in_cells(bounded, _prefix_cells(years, YEAR_BITS), "year").select("shape_id", *PERIOD, "position")
+    placed = _placed(silver.select("seniority", "country", "years_exp", "salary_max"))
+    placed = placed.withColumn("position", F.coalesce("salary_position", beyond)).withColumn("kind", F.to_json(F.struct(*KIND)))
+    # Kinds are few: they are widened into asked periods, and counts then meet them.
+    kinds = placed.select("kind", *KIND).distinct()
+    periods = _named(_in_periods(kinds, wanted)).select("kind", *PERIOD)
+    counts = placed.groupBy("kind", "position").agg(F.count(F.lit(1)).alias("n")).join(periods, "kind")
+    wanted = _named(wanted)
+    asked = wanted.select(*PERIOD, "position", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("asked"))
+    points = (
+        counts.select(*PERIOD, "position", "n", F.lit(False).alias("asked"))
+        .unionByName(asked)
+        .groupBy(*PERIOD, "position")
+        .agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
     )
-    periods = _in_periods(finest, wanted).groupBy(*PERIOD, "salary_position").agg(n)
-    counts = _in_salaries(periods, wanted).groupBy(*CELL).agg(n)
+    points = stage(points, "points")
     totals = (
-        _meet(wanted, counts, CELL)
-        .groupBy(F.col("of_shape_id").alias("shape_id"))
-        .agg(F.sum("n").alias("total"))
+        wanted.join(_counts_before(points, POSITION_BITS).hint("merge"), [*PERIOD, "position"])
+        .groupBy("shape_id")
+        .agg(F.sum("before").alias("total"))
         .select(own_shuffle("shape_id").alias("shape_id"), "total")
     )
-    return labelled.join(totals, "shape_id", "left").select(
+    return labelled.join(totals.hint("merge"), "shape_id", "left").select(
         "request_id", F.coalesce("total", F.lit(0)).cast("bigint").alias("total")
     )
 
@@ -285,8 +331,8 @@ def saved_search_hits(searches: DataFrame, silver: DataFrame, with_key: bool = F
     ``searches`` holds valid requests: ``request_id``, one typed column per
     filter, ``sort`` and ``limit``. ``with_key`` adds the ``sort_key`` of each row.
     """
-    labelled, shapes = _shapes(searches)
-    wanted = _searches_in_cells(shapes, first_page=True)
+    labelled, shapes = _shapes(searches, SHAPE)
+    wanted = _searches_in_cells(shapes)
     keys = F.inline(
         F.array(
             *[F.struct(F.lit(name).alias("sort"), ORDERINGS[name].key().alias("sort_key")) for name in SORTS]
