@@ -74,3 +74,16 @@ def test_buckets_follow_the_rows_and_the_catalog_entry_goes(spark):
     assert not spark.catalog.tableExists(index.table)
     assert sorted((r.doc_id, r.keep_id) for r in found.collect()) == [(1, 2), (2, 2), (3, 3)]
     assert DigestIndex(spark, path, buckets=4).rows().count() == 2
+
+
+def test_every_bucket_is_one_file_whatever_the_partitions(spark, tmp_path, monkeypatch):
+    docs = spark.range(2000).selectExpr("id doc_id", "cast(id as string) text")
+    frame = type(docs)
+    repartition = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda df, n, *by: repartition(df, max(n, 21), *by))
+    path = tmp_path / "digests"
+    index = DigestIndex(spark, str(path), buckets=8)
+    index.add(docs)
+    buckets = [f.name.split("_")[1].split(".")[0] for f in path.rglob("*.parquet")]
+    assert len(buckets) == len(set(buckets)) == 8
+    assert index.rows().count() == 2000

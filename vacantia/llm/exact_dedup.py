@@ -69,7 +69,9 @@ class DigestIndex:
             .agg(F.max("id").alias("keep_id"))
         )
         known = self.rows().select("digest")
-        fresh = batch.hint("merge").join(known, "digest", "left_anti").repartition(self.buckets, "digest")
+        # By bucket and not by digest: a task then writes whole buckets, however many tasks there are.
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
+        fresh = batch.hint("merge").join(known, "digest", "left_anti").repartitionById(self.buckets, bucket)
         (
             fresh.write.format("parquet")
             .bucketBy(self.buckets, "digest")
