@@ -41,7 +41,7 @@ from vacantia.sources.buckets import changes_between, read_bucketed, refresh_pos
 from vacantia.sources.rank_index import build_rank_index, page_behind, page_by_number
 from vacantia.sources.sinks import write_metrics, write_postings
 from vacantia.sources.tables import read_metrics, read_postings
-from vacantia.sources.workspace import new_path
+from vacantia.sources.workspace import new_path, stage
 from vacantia.streaming.token_bucket import read_decisions, start_admission
 
 RUN_AT = datetime(2024, 2, 1, tzinfo=timezone.utc)
@@ -458,8 +458,9 @@ def _saved_totals(spark: SparkSession, folder: str) -> DataFrame:
 def _standing_hits(spark: SparkSession, folder: str) -> DataFrame:
     """The pages that an earlier load left, brought up to date by what came and went since."""
     path, table = new_path(spark, "standing-searches"), new_path(spark, "silver")
-    searches = typed_search_requests(samples.searches(spark, folder))
-    silver = _silver(spark, folder)
+    # Both are read several times.
+    searches = stage(typed_search_requests(samples.searches(spark, folder)), "searches")
+    silver = stage(_silver(spark, folder), "source-silver")
     first = refresh_postings(_earlier(silver), table, buckets=32)
     start_standing_searches(searches, read_bucketed(spark, table), path)
     refresh_postings(silver, table)

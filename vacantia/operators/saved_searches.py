@@ -14,10 +14,12 @@ rows that a bound accepts are the first ones of all rows that some bound could a
 whatever the bound: such an axis has the cells "any" and "known" only, and the bound is
 applied to the short list.
 
-Postings are widened only into cells that some search asks for, one filter after the
-other. Row counts first rule out the postings that can be on no first page; of the rest
-every cell keeps the best ``MAX_LIMIT``, cut within each task before the shuffle, and
-searches meet these short lists by equi-join. The result is exact: the best rows of a
+Postings between two neighbouring bounds on the salary that searches ask for are accepted by
+the same searches, as far as salaries go: of each such stretch only the best ``MAX_LIMIT`` per
+seniority, country, experience and order go on. Postings are widened only into cells that
+some search asks for, one filter after the other. Row counts first rule out the postings that
+can be on no first page; of the rest every cell keeps the best ``MAX_LIMIT``, cut within each
+task before the shuffle, and searches meet these short lists by equi-join. The result is exact: the best rows of a
 union are among the best rows of its parts.
 
 Totals need no cells of salaries. Postings and searches are told apart by their *period*, the
@@ -216,6 +218,44 @@ def _in_level(df: DataFrame, bits: int, block: Callable[[Column], Column], parit
     return wide.withColumn("block", block(F.col("level"))).where(F.pmod("block", F.lit(2)) == parity)
 
 
+def _stretch(position: Column) -> Column:
+    """The stretch of the salary axis around a position; rows that no bound accepts come last."""
+    last = F.lit(STRETCHES - 1).cast("bigint")
+    return F.coalesce(last - 1 - _coarse(F.lit(MAX_SALARY_FILTER).cast("bigint") - position), last)
+
+
+def _reached(placed: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Rows with ``reach``, the first asked bound on the axis that accepts them, if any.
+
+    Bounds and salaries, once each, are ordered within the stretches of the axis; what lies
+    behind the last bound of its stretch is reached by the first one of a later stretch.
+    """
+    asked = shapes.where(F.col("salary_min").isNotNull())
+    bound = (F.lit(MAX_SALARY_FILTER).cast("bigint") - F.col("salary_min")).alias("salary_position")
+    bounds = asked.select(bound).distinct().select("salary_position", F.col("salary_position").alias("bound"))
+    salaries = placed.where(F.col("salary_position").isNotNull()).select("salary_position").distinct()
+    points = (
+        bounds.unionByName(salaries.withColumn("bound", F.lit(None).cast("bigint")))
+        .groupBy("salary_position")
+        .agg(F.min("bound").alias("bound"))
+        .withColumn("stretch", _stretch(F.col("salary_position")))
+    )
+    # Backwards, so that a running minimum does.
+    from_here = Window.partitionBy("stretch").orderBy(F.desc("salary_position")).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    all_stretches = shapes.sparkSession.range(STRETCHES).select(F.col("id").alias("stretch"))
+    first = bounds.groupBy(_stretch(F.col("salary_position")).alias("stretch")).agg(F.min("bound").alias("first"))
+    # One row per stretch, whatever the tables hold.
+    behind = all_stretches.join(first, "stretch", "left").select("stretch", F.min("first").over(later).alias("behind"))
+    reach = points.select("salary_position", "stretch", F.min("bound").over(from_here).alias("here")).join(
+        F.broadcast(behind), "stretch"
+    )
+    reach = reach.select("salary_position", F.coalesce("here", "behind").alias("reach"))
+    # A plain shuffle, which can be split where very many postings have one salary.
+    reach = reach.select(own_shuffle(F.col("salary_position").cast("string")).alias("key"), "reach")
+    return placed.join(reach, F.col("salary_position").cast("string") == F.col("key"), "left").drop("key")
+
+
 def _promising(placed: DataFrame) -> DataFrame:
     """Leave out rows that ``MAX_LIMIT`` other rows beat in every search.
 
@@ -226,11 +266,8 @@ def _promising(placed: DataFrame) -> DataFrame:
     """
     bits = STRETCHES.bit_length()
     cell = F.struct("seniority", "country", "years", "sort")
-    # Rows that no bound accepts come last: what accepts them accepts all.
-    last = F.lit(STRETCHES - 1).cast("bigint")
-    salary = F.lit(MAX_SALARY_FILTER).cast("bigint") - F.col("salary_position")
-    stretch = F.coalesce(last - 1 - _coarse(salary), last)
-    hinted = placed.withColumns({"cell": cell, "stretch": stretch, "hint": _hint()})
+    # What accepts rows of the last stretch accepts all.
+    hinted = placed.withColumns({"cell": cell, "stretch": _stretch(F.col("salary_position")), "hint": _hint()})
     counts = hinted.groupBy("cell", "stretch", "hint").agg(F.count(F.lit(1)).alias("n"))
     upward = Window.partitionBy("cell", "level", "block").orderBy("hint")
     cutoffs = (
@@ -256,7 +293,7 @@ def _promising(placed: DataFrame) -> DataFrame:
     return hinted.join(limits, ["cell", "stretch_key"], "left").where(kept).select(*placed.columns)
 
 
-def _shapes(searches: DataFrame, shape: list[str]) -> tuple[DataFrame, DataFrame]:
+def shapes_of(searches: DataFrame, shape: list[str]) -> tuple[DataFrame, DataFrame]:
     """Searches with their shape, and each distinct shape with its largest limit."""
     shape_id = F.sha2(F.to_json(F.struct(*shape)), 256)
     labelled = _in_contract(searches).withColumn("shape_id", shape_id)
@@ -294,7 +331,7 @@ def saved_search_totals(searches: DataFrame, silver: DataFrame) -> DataFrame:
     A bound on the salary accepts what lies before a point of the axis; what no bound
     accepts lies behind them all, and before the point of a search without a bound.
     """
-    labelled, shapes = _shapes(searches, BOUNDS)
+    labelled, shapes = shapes_of(searches, BOUNDS)
     beyond = F.lit(MAX_SALARY_FILTER + 1).cast("bigint")
     years = F.col("experience_max").cast("bigint") + 1
     bounded = stage(shapes, "shapes").withColumn("position", F.coalesce(beyond - F.col("salary_min"), beyond + 1))
@@ -325,13 +362,9 @@ def saved_search_totals(searches: DataFrame, silver: DataFrame) -> DataFrame:
     )
 
 
-def saved_search_hits(searches: DataFrame, silver: DataFrame, with_key: bool = False) -> DataFrame:
-    """``request_id, pos, job_id``: the first page of every search.
-
-    ``searches`` holds valid requests: ``request_id``, one typed column per
-    filter, ``sort`` and ``limit``. ``with_key`` adds the ``sort_key`` of each row.
-    """
-    labelled, shapes = _shapes(searches, SHAPE)
+def shape_pages(shapes: DataFrame, silver: DataFrame) -> DataFrame:
+    """``shape_id, pos, job_id, sort_key``: the first page of every distinct search."""
+    shapes = stage(shapes, "shapes")
     wanted = _searches_in_cells(shapes)
     keys = F.inline(
         F.array(
@@ -339,20 +372,30 @@ def saved_search_hits(searches: DataFrame, silver: DataFrame, with_key: bool = F
         )
     )
     columns = silver.select("job_id", "seniority", "country", "years_exp", "salary_min", "salary_max")
-    placed = _placed(columns).select("job_id", *AREA, "years", "year_position", "salary_position", keys)
-    promising = _promising(placed)
-    widened = _in_salaries(_in_periods(promising, wanted), wanted).select(*CELL, "job_id", "sort", "sort_key")
+    placed = _reached(_placed(columns), shapes)
+    placed = placed.select("job_id", *AREA, "years", "year_position", "salary_position", "reach", keys)
+    # Written once, since what follows reads them several times.
+    short = stage(_best(placed, [*AREA, "years", "reach", "sort"]).drop("place"), "short-lists")
+    periods = _in_periods(_promising(short), wanted)
+    # What is short per year is cut once more per stretch of years, "any" country and "any" seniority.
+    periods = stage(_best(periods, [*PERIOD, "reach", "sort"]).drop("place"), "periods")
+    widened = _in_salaries(periods, wanted).select(*CELL, "job_id", "sort", "sort_key")
     lists = _best(widened, [*CELL, "sort"])
     met = (
         _meet(wanted, lists, [*CELL, "sort"])
         .where((F.col("place") <= F.col("of_limit")) & _within_bounds())
-        .select(F.col("of_shape_id").alias("shape_id"), "job_id", "sort_key")
-    )
-    hits = _best(met, ["shape_id"]).select(
-        own_shuffle("shape_id").alias("shape_id"), F.col("place").alias("pos"), "job_id", "sort_key"
-    )
-    return (
-        labelled.join(hits, "shape_id")
-        .where(F.col("pos") <= F.col("limit"))
-        .select("request_id", F.col("pos").cast("bigint").alias("pos"), "job_id", *(["sort_key"] if with_key else []))
+        .select(F.col("of_shape_id").alias("shape_id"), F.col("of_limit").alias("limit"), "job_id", "sort_key")
     )
+    pages = _best(met, ["shape_id"]).where(F.col("place") <= F.col("limit"))
+    return pages.select("shape_id", F.col("place").cast("bigint").alias("pos"), "job_id", "sort_key")
+
+
+def saved_search_hits(searches: DataFrame, silver: DataFrame) -> DataFrame:
+    """``request_id, pos, job_id``: the first page of every search.
+
+    ``searches`` holds valid requests: ``request_id``, one typed column per
+    filter, ``sort`` and ``limit``.
+    """
+    labelled, shapes = shapes_of(searches, SHAPE)
+    hits = shape_pages(shapes, silver).withColumn("shape_id", own_shuffle("shape_id"))
+    return labelled.join(hits, "shape_id").where(F.col("pos") <= F.col("limit")).select("request_id", "pos", "job_id")

@@ -81,6 +81,24 @@ def _accepted(rows: DataFrame) -> DataFrame:
     return rows.where(F.size("violations") == 0)
 
 
+def _surplus(spark: SparkSession, checked: DataFrame, broken: Column, before: list, buckets: int) -> DataFrame:
+    """Per bucket how many rows came and went, and how many new ones are broken or there at all."""
+    new = checked.select(KEY, *_DIGEST, broken.alias("broken"), F.lit(1).cast("bigint").alias("sign"))
+    old = _rows_of(spark, list(_folders(before).values())).select(
+        KEY, *_DIGEST, F.lit(False).alias("broken"), F.lit(-1).cast("bigint").alias("sign")
+    )
+    # Per row its surplus in the new table; the shuffle is on key and digest, so no key is hot.
+    surplus = new.unionByName(old).groupBy(KEY, *_DIGEST).agg(
+        F.sum("sign").alias("more"), F.count_if("broken").alias("broken"), F.count_if(F.col("sign") > 0).alias("now")
+    )
+    return surplus.groupBy(_bucket(buckets)).agg(
+        F.sum(F.greatest("more", F.lit(0))).alias("inserted"),
+        F.sum(F.greatest(-F.col("more"), F.lit(0))).alias("deleted"),
+        F.sum("broken").alias("broken"),
+        F.sum("now").alias("now"),
+    )
+
+
 def refresh_postings(
     silver: DataFrame,
     path: str,
@@ -107,20 +125,14 @@ def refresh_postings(
         buckets = max(1, -(-silver.count() // ROWS_PER_BUCKET))
     checked = with_violations(silver).select("*", *_digests())
     broken = F.size("violations") > 0
-    new = checked.select(KEY, *_DIGEST, broken.alias("broken"), F.lit(1).cast("bigint").alias("sign"))
-    old = _rows_of(spark, list(_folders(before).values())).select(
-        KEY, *_DIGEST, F.lit(False).alias("broken"), F.lit(-1).cast("bigint").alias("sign")
-    )
-    # Per row its surplus in the new table; the shuffle is on key and digest, so no key is hot.
-    surplus = new.unionByName(old).groupBy(KEY, *_DIGEST).agg(
-        F.sum("sign").alias("more"), F.count_if("broken").alias("broken"), F.count_if(F.col("sign") > 0).alias("now")
-    )
-    found = surplus.groupBy(_bucket(buckets)).agg(
-        F.sum(F.greatest("more", F.lit(0))).alias("inserted"),
-        F.sum(F.greatest(-F.col("more"), F.lit(0))).alias("deleted"),
-        F.sum("broken").alias("broken"),
-        F.sum("now").alias("now"),
-    ).collect()
+    if before:
+        found = _surplus(spark, checked, broken, before, buckets).collect()
+    else:
+        # All rows came, so nothing is compared.
+        number, none = F.count(F.lit(1)), F.lit(0).cast("bigint")
+        found = checked.groupBy(_bucket(buckets)).agg(
+            number.alias("inserted"), F.max(none).alias("deleted"), F.count_if(broken).alias("broken"), number.alias("now")
+        ).collect()
     if on_bad == "raise" and any(row.broken for row in found):
         first = checked.where(broken).agg(F.min(F.struct(KEY, "violations")).alias("x")).first().x
         raise ContractError(f"posting {first[KEY]} breaks {first['violations']}")
